@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import packing, simhash, toxicity
+from lamella.llm import packing, simhash, substring, toxicity
 from lamella.llm.shared import written
 from lamella.llm.wordbpe import default_path
 
@@ -27,12 +27,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return known.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unknown.dropDuplicates(["text"]))
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has too are cut; every document stays."""
+    return substring.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents packed into sequences of 4096 tokens."""
     return packing.pack_documents(docs, default_path())
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", drop_near_duplicates), ("best-fit packing", pack_sequences)]
+STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", drop_near_duplicates), ("substring dedup", cut_repeats), ("best-fit packing", pack_sequences)]
 
 #: The stages learn a model, chain links and pack; SQL can't express them.
 ORACLE_SQL = None

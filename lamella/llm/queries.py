@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import packing, simhash, token_counts, toxicity
+from lamella.llm import packing, simhash, substring, token_counts, toxicity
 from lamella.llm.wordbpe import default_path
 
 
@@ -28,12 +28,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document with passages that an earlier document has too: those documents, the spans and how many words they cover."""
+    found = substring.repeated_passages(_table(spark, sf_dir, "documents"))
+    per_doc = found.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return per_doc.select("doc_id", "sources", F.size("spans").alias("n_spans"), F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).alias("spans"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs.select("doc_id", "text"), default_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op6_simhash_near_dedup, op10_token_counts)
+    f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op6_simhash_near_dedup, op9_substring_dedup, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}

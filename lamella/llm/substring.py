@@ -170,10 +170,12 @@ def _agreeing(pairs: DataFrame, s: Settings) -> DataFrame:
 def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
     """Spans of words in ``x`` that are near-duplicates of spans in ``y``, both given as shingle hashes.
 
-    Places of x whose shingle is in y are runs; runs join while the share of such places stays
-    at ``similarity`` or more; the span of y is where the matched places point to. A span counts
-    if it has enough words and the Jaccard index of both spans' shingles reaches ``similarity``.
-    Ends are word numbers, exclusive.
+    Places of x whose shingle is in y form runs, each pointing at a stretch of y. Runs join over
+    gaps while the share of places found stays at what two passages of that Jaccard index share
+    (2s / (1 + s)); a joined span counts if it has enough words and the Jaccard index of both
+    spans' shingles reaches ``similarity``; if not, it is split at its widest gap and both parts
+    are tried, down to single runs. So every common stretch of enough words is found, alone or
+    within a longer span. Ends are word numbers, exclusive.
     """
     if not len(x) or not len(y):
         return []
@@ -181,26 +183,32 @@ def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
     ranks = np.minimum(np.searchsorted(y, x, sorter=order), len(y) - 1)
     to = order[ranks]
     hit = y[to] == x
-    edges = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-    runs = edges.reshape(-1, 2)
-    penalty = s.similarity / (1 - s.similarity) if s.similarity < 1 else float("inf")
-    segments, open_at, score, best, best_end = [], None, 0.0, 0.0, 0
-    for start, end in runs.tolist():
-        if open_at is not None:
-            score -= penalty * (start - last_end)
-            if score <= 0:
-                segments.append((open_at, best_end))
-                open_at = None
-        if open_at is None:
-            open_at, score, best = start, 0.0, 0.0
-        score += end - start
-        last_end = end
-        if score >= best:
-            best, best_end = score, end
-    if open_at is not None:
-        segments.append((open_at, best_end))
+    ordered = y[order]
+    if (ordered[1:] == ordered[:-1]).any():  # of equal shingles, the one that goes on where the place before points
+        follow = to.tolist()
+        for i in range(1, len(x)):
+            on = follow[i - 1] + 1
+            if hit[i] and hit[i - 1] and on < len(y) and y[on] == x[i]:
+                follow[i] = on
+        to = np.array(follow)
+    turn = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | hit[1:] & (to[1:] != to[:-1] + 1), True])
+    runs = [(i, j) for i, j in zip(turn[:-1].tolist(), turn[1:].tolist(), strict=True) if hit[i]]
+    share = 2 * s.similarity / (1 + s.similarity)
+    penalty = share / (1 - share) if share < 1 else float("inf")
+    groups: list[list[tuple[int, int]]] = []
+    score = 0.0
+    for start, end in runs:
+        gap = start - groups[-1][-1][1] if groups else 0
+        if not groups or score <= penalty * gap:
+            groups.append([])
+            score = 0.0
+            gap = 0
+        groups[-1].append((start, end))
+        score += end - start - penalty * gap if gap else end - start
     out = []
-    for start, end in segments:
+    while groups:
+        group = groups.pop()
+        start, end = group[0][0], group[-1][1]
         if end - start < s.window:
             continue
         places = np.flatnonzero(hit[start:end]) + start
@@ -212,7 +220,11 @@ def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
         similarity = both / (len(a) + len(b) - both)
         if similarity >= s.similarity:
             out.append({"start": start, "end": end + s.words - 1, "source_start": low, "source_end": high + s.words - 1, "similarity": similarity})
-    return out
+        elif len(group) > 1:
+            gaps = [(group[k + 1][0] - group[k][1], abs(to[group[k + 1][0]] - to[group[k][1] - 1])) for k in range(len(group) - 1)]
+            k = max(range(len(gaps)), key=gaps.__getitem__) + 1
+            groups += [group[:k], group[k:]]
+    return sorted(out, key=lambda o: o["start"])
 
 
 def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import packing, simhash, substring, token_counts, toxicity
+from lamella.llm import media, packing, simhash, substring, token_counts, toxicity, warc
 from lamella.llm.wordbpe import default_path
 
 
@@ -15,10 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_archives(_table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), default_path())
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score_documents(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
@@ -41,6 +49,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op6_simhash_near_dedup, op9_substring_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_warc_transactions, op2_best_fit_packing, op3_media_columns, op4_toxicity, op6_simhash_near_dedup, op9_substring_dedup, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}

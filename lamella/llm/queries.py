@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import media, packing, simhash, substring, token_counts, toxicity, warc
+from lamella.llm import embed_dedup, media, packing, simhash, substring, token_counts, toxicity, urlfilter, warc
 from lamella.llm.wordbpe import default_path
 
 
@@ -32,10 +32,53 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+RULES = [
+    urlfilter.Rule("com", "/en/", "block"),
+    urlfilter.Rule("example.com", "/en/7", "allow"),
+    urlfilter.Rule("net", "/de/", "allow"),
+    urlfilter.Rule("example.net", "/de/8", "block"),
+    urlfilter.Rule("org", "/es/", "block"),
+]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of blocked hosts holds those whose MD5 begins with 0 or 1, an eighth of all."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = urlfilter.host_and_path(F.col("url"))
+    blocked = pages.select(host.alias("host")).distinct().filter(F.substring(F.md5(F.col("host").cast("binary")), 1, 1).isin("0", "1"))
+    return urlfilter.judge(pages, RULES, blocked)
+
+
+OP5_SQL = """
+WITH split AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM split)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN substr(md5(host), 1, 1) IN ('0', '1') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document with passages that an earlier document has too: those documents, the spans and how many words they cover."""
     found = substring.repeated_passages(_table(spark, sf_dir, "documents"))
@@ -49,6 +92,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_transactions, op2_best_fit_packing, op3_media_columns, op4_toxicity, op6_simhash_near_dedup, op9_substring_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_warc_transactions, op2_best_fit_packing, op3_media_columns, op4_toxicity, op5_url_filters, op6_simhash_near_dedup, op8_embedding_near_dedup, op9_substring_dedup, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}

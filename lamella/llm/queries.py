@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import embed_dedup, media, packing, simhash, substring, token_counts, toxicity, urlfilter, warc
+from lamella.llm import embed_dedup, media, packing, pieces, simhash, substring, token_counts, toxicity, urlfilter, warc
 from lamella.llm.wordbpe import default_path
 
 
@@ -75,6 +76,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -92,6 +97,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_transactions, op2_best_fit_packing, op3_media_columns, op4_toxicity, op5_url_filters, op6_simhash_near_dedup, op8_embedding_near_dedup, op9_substring_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_warc_transactions, op2_best_fit_packing, op3_media_columns, op4_toxicity, op5_url_filters, op6_simhash_near_dedup, op7_sentencepiece, op8_embedding_near_dedup, op9_substring_dedup, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}

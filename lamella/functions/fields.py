@@ -13,6 +13,15 @@ from lamella.plans.naming import col
 from lamella.plans.schema import schema_of
 
 
+def _method(name: str) -> Callable[..., Field]:
+    """The method of columns of that name, put off until the column is known."""
+
+    def method(self: Field, *args: Any) -> Field:
+        return Field(lambda s, a: getattr(self.resolve(s, a), name)(*[_resolved(o, s, a) for o in args]))
+
+    return method
+
+
 class Field:
     """An expression over the fields of the struct around it, resolved when that struct is known.
 
@@ -28,25 +37,13 @@ class Field:
         """``fn`` of this expression and ``others`` (fields, columns or values)."""
         return Field(lambda s, a: fn(self.resolve(s, a), *[_resolved(o, s, a) for o in others]))
 
-    def _binary(name: str):  # noqa: N805
-        def method(self, other: Any) -> Field:
-            return Field(lambda s, a: getattr(self.resolve(s, a), name)(_resolved(other, s, a)))
-
-        return method
-
-    def _named(name: str):  # noqa: N805
-        def method(self, *args: Any) -> Field:
-            return Field(lambda s, a: getattr(self.resolve(s, a), name)(*[_resolved(o, s, a) for o in args]))
-
-        return method
-
-    __add__, __radd__, __sub__, __rsub__ = (_binary(n) for n in ("__add__", "__radd__", "__sub__", "__rsub__"))
-    __mul__, __rmul__, __truediv__, __rtruediv__ = (_binary(n) for n in ("__mul__", "__rmul__", "__truediv__", "__rtruediv__"))
-    __mod__, __rmod__, __pow__, __rpow__ = (_binary(n) for n in ("__mod__", "__rmod__", "__pow__", "__rpow__"))
-    __eq__, __ne__, __lt__, __le__, __gt__, __ge__ = (_binary(n) for n in ("__eq__", "__ne__", "__lt__", "__le__", "__gt__", "__ge__"))  # type: ignore[assignment]
-    __and__, __rand__, __or__, __ror__ = (_binary(n) for n in ("__and__", "__rand__", "__or__", "__ror__"))
-    cast, isNull, isNotNull, isin, getField, getItem = (_named(n) for n in ("cast", "isNull", "isNotNull", "isin", "getField", "getItem"))
-    between, like, rlike, startswith, endswith, contains, substr = (_named(n) for n in ("between", "like", "rlike", "startswith", "endswith", "contains", "substr"))
+    __add__, __radd__, __sub__, __rsub__ = map(_method, ("__add__", "__radd__", "__sub__", "__rsub__"))
+    __mul__, __rmul__, __truediv__, __rtruediv__ = map(_method, ("__mul__", "__rmul__", "__truediv__", "__rtruediv__"))
+    __mod__, __rmod__, __pow__, __rpow__ = map(_method, ("__mod__", "__rmod__", "__pow__", "__rpow__"))
+    __eq__, __ne__, __lt__, __le__, __gt__, __ge__ = map(_method, ("__eq__", "__ne__", "__lt__", "__le__", "__gt__", "__ge__"))  # type: ignore[assignment]
+    __and__, __rand__, __or__, __ror__ = map(_method, ("__and__", "__rand__", "__or__", "__ror__"))
+    cast, isNull, isNotNull, isin, getField, getItem = map(_method, ("cast", "isNull", "isNotNull", "isin", "getField", "getItem"))
+    between, like, rlike, startswith, endswith, contains, substr = map(_method, ("between", "like", "rlike", "startswith", "endswith", "contains", "substr"))
     __hash__ = None  # type: ignore[assignment]
 
     def __neg__(self) -> Field:

@@ -126,7 +126,7 @@ def features(media: Column, size: int = 64, tile: int = 32) -> Column:
 
     Gives the samples as stored (rows from the top, channels together), the whole image's
     difference hash, and the image area-resized to ``size`` x ``size`` 8-bit samples as NPY tiles
-    of ``tile`` x ``tile``, each with its own hash. Null media give null; media that can't be
+    of ``tile`` x ``tile``, each with its own hash. Null media give nulls; media that can't be
     decoded give ``error`` and null for the rest; an image without pixels has no tiles.
     """
 
@@ -152,7 +152,8 @@ def features(media: Column, size: int = 64, tile: int = 32) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = ["width", "height", "channels", "samples", "hash", "tiles", "error"]
         for values in batches:
-            yield pd.DataFrame([one(v) or {} for v in values], columns=names, dtype=object)
+            rows = [one(v) or {} for v in values]
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     return run(media)
 

@@ -25,11 +25,11 @@ class Settings:
 
     bits: int = 20
     sample: int = 12_000
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 4.0
     l2: float = 0.1
-    epochs: int = 3
+    epochs: int = 5
 
 
 @dataclass(frozen=True)

@@ -158,7 +158,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     paired = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     paired = paired.withColumns({"low": F.least("block", "_other").cast("int"), "high": F.greatest("block", "_other").cast("int")})
 
-    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a, b = _links(group, int(key[1]), bits, tables, s)
         n, size = group["n"].to_numpy(), len(group)
         links = np.bincount(a, n[b], size) + np.bincount(b, n[a], size)

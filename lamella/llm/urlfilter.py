@@ -74,7 +74,7 @@ class Level:
         return cls(number, max(64, math.ceil(keys * math.log2(1 / wrong) / math.log(2))), max(1, round(math.log2(1 / wrong))))
 
     def places(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        a = _mix(h1 + np.uint64(self.number * 2 + 1) * np.uint64(0x9E3779B97F4A7C15))
+        a = _mix(h1 + np.uint64((self.number * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         b = _mix(h2 ^ a) | np.uint64(1)
         return np.stack([(a + np.uint64(j) * b) % np.uint64(self.bits) for j in range(self.probes)])
 

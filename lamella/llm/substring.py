@@ -171,10 +171,10 @@ def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
     """Spans of words in ``x`` that are near-duplicates of spans in ``y``, both given as shingle hashes.
 
     Places of x whose shingle is in y form runs, each pointing at a stretch of y. Runs join over
-    gaps while the share of places found stays at what two passages of that Jaccard index share
-    (2s / (1 + s)); a joined span counts if it has enough words and the Jaccard index of both
-    spans' shingles reaches ``similarity``; if not, it is split at its widest gap and both parts
-    are tried, down to single runs. So every common stretch of enough words is found, alone or
+    gaps of up to a window. A joined span counts if it has enough words, its share of places
+    found is what two passages of that Jaccard index have (2s / (1 + s)), and the Jaccard index
+    of both spans' shingles reaches ``similarity``; if not, it is split at its widest gap and both
+    parts are tried, down to single runs. So every common stretch of enough words is found, alone or
     within a longer span. Ends are word numbers, exclusive.
     """
     if not len(x) or not len(y):
@@ -194,35 +194,33 @@ def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
     turn = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | hit[1:] & (to[1:] != to[:-1] + 1), True])
     runs = [(i, j) for i, j in zip(turn[:-1].tolist(), turn[1:].tolist(), strict=True) if hit[i]]
     share = 2 * s.similarity / (1 + s.similarity)
-    penalty = share / (1 - share) if share < 1 else float("inf")
+    hits = np.r_[0, np.cumsum(hit)]
     groups: list[list[tuple[int, int]]] = []
-    score = 0.0
-    for start, end in runs:
-        gap = start - groups[-1][-1][1] if groups else 0
-        if not groups or score <= penalty * gap:
+    for run in runs:
+        if not groups or run[0] - groups[-1][-1][1] > s.window:
             groups.append([])
-            score = 0.0
-            gap = 0
-        groups[-1].append((start, end))
-        score += end - start - penalty * gap if gap else end - start
+        groups[-1].append(run)
     out = []
     while groups:
         group = groups.pop()
         start, end = group[0][0], group[-1][1]
         if end - start < s.window:
             continue
-        places = np.flatnonzero(hit[start:end]) + start
-        shift = to[places] - places
-        near = places[np.abs(shift - np.median(shift)) <= (end - start) // 4 + 4]
-        low, high = int(to[near].min()), int(to[near].max()) + 1
-        a, b = np.unique(x[start:end]), np.unique(y[low:high])
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        similarity = both / (len(a) + len(b) - both)
-        if similarity >= s.similarity:
-            out.append({"start": start, "end": end + s.words - 1, "source_start": low, "source_end": high + s.words - 1, "similarity": similarity})
-        elif len(group) > 1:
-            gaps = [(group[k + 1][0] - group[k][1], abs(to[group[k + 1][0]] - to[group[k][1] - 1])) for k in range(len(group) - 1)]
-            k = max(range(len(gaps)), key=gaps.__getitem__) + 1
+        if hits[end] - hits[start] >= share * (end - start):
+            places = np.flatnonzero(hit[start:end]) + start
+            shift = to[places] - places
+            near = places[np.abs(shift - np.sort(shift)[len(shift) // 2]) <= (end - start) // 4 + 4]
+            low, high = int(to[near].min()), int(to[near].max()) + 1
+            a, b = np.unique(x[start:end]), np.unique(y[low:high])
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            similarity = both / (len(a) + len(b) - both)
+            if similarity >= s.similarity:
+                out.append({"start": start, "end": end + s.words - 1, "source_start": low, "source_end": high + s.words - 1, "similarity": similarity})
+                continue
+        if len(group) > 1:
+            edges = np.array(group)
+            gaps = edges[1:, 0] - edges[:-1, 1]
+            k = int(np.lexsort((np.abs(to[edges[1:, 0]] - to[edges[:-1, 1] - 1]), gaps))[-1]) + 1
             groups += [group[:k], group[k:]]
     return sorted(out, key=lambda o: o["start"])
 

@@ -20,6 +20,15 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_archives(_table(spark, sf_dir, "pages"))
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+ CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), default_path())
 
@@ -99,4 +108,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_transactions, op2_best_fit_packing, op3_media_columns, op4_toxicity, op5_url_filters, op6_simhash_near_dedup, op7_sentencepiece, op8_embedding_near_dedup, op9_substring_dedup, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_transactions": OP1_SQL, "op5_url_filters": OP5_SQL}

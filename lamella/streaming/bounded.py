@@ -6,27 +6,16 @@ from functools import reduce
 from pathlib import Path
 from typing import Literal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.operators.attributes import Attributes
 from lamella.plans.naming import col
+from lamella.sources.scratch import written
 
 BUCKET, COUNT = "__hier_bucket", "__hier_n"
 
 
-def greedy_buckets(counts: list[int], partitions: int) -> list[int]:
-    """Bucket numbers for entities in order: a bucket closes when it has its share of all rows. No entity is split, so there may be more buckets than asked for."""
-    share = -(-sum(counts) // max(1, partitions))
-    out, bucket, held = [], 0, 0
-    for n in counts:
-        if held and held + n > share:
-            bucket, held = bucket + 1, 0
-        out.append(bucket)
-        held += n
-    return out
-
-
 class Bounded(Attributes):
     def pack_streaming(
         self,
@@ -73,29 +62,25 @@ class Bounded(Attributes):
         return df.sparkSession.read.parquet(path)
 
     def balanced_buckets(self, frame: DataFrame, partitions: int) -> DataFrame:
-        """``frame`` with an exact greedy bucket per row, nulls among root keys included.
+        """``frame`` with an exact bucket per row, even in rows, nulls among root keys included.
 
         The walk is over running sums of entities' counts, summed per range of keys first, so
         that no task sees all entities: a bucket boundary is where the running sum passes a
-        multiple of the even share.
+        multiple of the even share. No entity is split.
         """
         df = self._prepared(frame)
         keys = [k for k in self.levels[self.spec.root].id_columns if k in df.columns]
         counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(COUNT))
-        ranged = counts.repartitionByRange(partitions, *[col(k) for k in keys]).withColumn("__hier_part", F.spark_partition_id())
-        total = df.count()
-        share = max(1, -(-total // partitions))
-        from pyspark.sql import Window
-
-        per_part = ranged.groupBy("__hier_part").agg(F.sum(COUNT).alias("__hier_sum"))
-        offsets = {r[0]: r[1] for r in per_part.collect()}
-        starts, run = {}, 0
-        for part in sorted(offsets):
-            starts[part], run = run, run + offsets[part]
-        begin = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.create_map()
+        # written, because a range shuffle samples anew each time it runs
+        ranged = written(counts.repartitionByRange(partitions, *[col(k) for k in keys]).withColumn("__hier_part", F.spark_partition_id()), "ranges")[0]
+        sums = {r[0]: r[1] for r in ranged.groupBy("__hier_part").agg(F.sum(COUNT)).collect()}
+        share = max(1, -(-sum(sums.values()) // partitions))
+        starts = [(part, sum(n for other, n in sums.items() if other < part)) for part in sums]
+        begin = df.sparkSession.createDataFrame(starts, "__hier_part int, __hier_start long")
         within = Window.partitionBy("__hier_part").orderBy(*[col(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum(COUNT).over(within), F.lit(0)) + F.coalesce(begin[F.col("__hier_part")], F.lit(0))
-        mapped = ranged.withColumn(BUCKET, F.floor(before / share).cast("int")).select(*[col(k).alias(f"__hier_k{i}") for i, k in enumerate(keys)], BUCKET)
+        before = F.coalesce(F.sum(COUNT).over(within), F.lit(0)) + F.col("__hier_start")
+        mapped = ranged.join(F.broadcast(begin), "__hier_part").withColumn(BUCKET, F.floor(before / share).cast("int"))
+        mapped = mapped.select(*[col(k).alias(f"__hier_k{i}") for i, k in enumerate(keys)], BUCKET)
         on = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"__hier_k{i}")) for i, k in enumerate(keys)])
         return df.join(mapped, on, "left").drop(*[f"__hier_k{i}" for i in range(len(keys))])
 

@@ -224,3 +224,33 @@ def test_co_located_pack_shuffles_once(flat):
     p = HierarchicalPacker(LINEAR)
     plan = p.pack(flat, "country", co_locate=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_balanced_buckets_hold_whole_entities(spark):
+    p = HierarchicalPacker(HierarchySpec.from_levels([LevelSpec("a", ["id"]), LevelSpec("b", ["id"])]))
+    df = spark.range(1000).selectExpr("CASE WHEN id % 40 = 3 THEN NULL ELSE id % 40 END AS `a.id`", "id AS `a.b.id`")
+    got = p.balanced_buckets(df, 8).groupBy("`a.id`").agg(F.count_distinct("__hier_bucket").alias("n"), F.first("__hier_bucket").alias("b")).collect()
+    assert len(got) == 40 and all(r["n"] == 1 for r in got) and {r["b"] for r in got} == set(range(8))
+
+
+def test_unpack_runs_on_a_stream(spark, flat, tmp_path):
+    p = HierarchicalPacker(LINEAR)
+    packed = p.pack(flat, "country")
+    packed.write.parquet(str(tmp_path / "in"))
+    stream = p.unpack_streaming(spark.readStream.schema(packed.schema).parquet(str(tmp_path / "in")), "street")
+    query = stream.writeStream.format("memory").queryName("unpacked").start()
+    query.processAllAvailable()
+    query.stop()
+    assert rows(spark.table("unpacked")) == rows(flat)
+
+
+def test_pack_streaming_from_a_path_and_written(spark, flat, tmp_path):
+    p = HierarchicalPacker(LINEAR)
+    flat.write.parquet(str(tmp_path / "flat"))
+    got = p.pack_streaming(str(tmp_path / "flat"), "country", partitions=2, defer=False, tmp_dir=str(tmp_path), spark=spark)
+    assert rows(p.unpack(got, "street")) == rows(flat)
+    empty = p.pack_streaming(flat.limit(0), "city")
+    assert empty.count() == 0 and empty.schema == p.pack(flat, "city").schema
+    for bad in ({"partitions": 0}, {"partition_strategy": "round"}):
+        with pytest.raises(ValueError):
+            p.pack_streaming(flat, "city", **bad)

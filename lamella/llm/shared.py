@@ -2,54 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.sources.scratch import delete_path, new_path, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor can read, as the session names it.
-
-    On a local master without the setting (tests) a temporary folder is made and kept for the
-    session; on a cluster a missing setting is an error, because a machine-local folder would
-    not be readable by other executors.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lamella-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_folder(spark)}/lamella/{label}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet in the shared folder and read again, with its path.
-
-    This cuts the lineage like ``checkpoint()`` does, but stays columnar and survives the loss
-    of any executor.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+__all__ = ["components", "delete_path", "fewer", "new_path", "shared_folder", "written"]
 
 
 def fewer(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:

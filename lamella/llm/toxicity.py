@@ -152,7 +152,7 @@ def sampled_labels(labels: DataFrame, key: str, label: str, rows: int) -> DataFr
     """
     one = labels.filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isin(0, 1)).groupBy(F.col(f"`{key}`").alias(key)).agg(F.max(f"`{label}`").alias(label))
     there = one.count()
-    share = min(1.0, rows / max(1, there))
+    share = 1.0 if there <= rows else 0.95 * rows / there  # the limit below is a bound that the sample by hash stays under
     return one.filter(F.pmod(F.xxhash64(F.lit(11), F.col(f"`{key}`")), F.lit(1 << 24)) < int(share * (1 << 24))).limit(rows)
 
 
@@ -183,12 +183,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """``docs`` with ``held_out, score, predicted``.
 
     Learns from documents whose labels may be used, on at most ``settings.sample`` labelled ids
-    (and no more than 50 rows for each, should ids repeat), and scores every document. Only the
+    (the least text of each, should ids repeat), and scores every document. Only the
     text enters a score. Columns of the new names are replaced, others pass through.
     """
     usable = sampled_labels(labels.filter(~held_out(F.col(f"`{doc_id}`"))), doc_id, label, settings.sample)
     side = usable.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").alias("_label"))
-    known = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(side), "_id")
-    model = train(known.limit(50 * settings.sample), "_text", "_label", settings)
+    known = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).join(F.broadcast(side), "_id")
+    model = train(known.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), "_text", "_label", settings)
     out = docs.withColumns({"held_out": held_out(F.col(f"`{doc_id}`")), "score": toxicity(F.col(f"`{text}`"), model)})
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

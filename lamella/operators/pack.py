@@ -165,11 +165,6 @@ class Packing(Introspection):
         attributes = [n for n in self.own_columns(root, df.schema) if n not in root_keys]
         if co_locate and root_keys:
             df = df.repartition(*[col(k) for k in root_keys])
-        if parent_strategy == "split_join" and root_keys and attributes and level.name != root.name:
-            dimension = df.select(*[col(n) for n in root_keys + attributes])
-            dimension = dimension.groupBy(*[col(k) for k in root_keys]).agg(*[F.first(col(n), ignorenulls=True).alias(n) for n in attributes])
-            folded = self._folded(df.drop(*attributes), level)
-            return self._finished(folded.join(dimension, root_keys, "left"))
         if parent_strategy == "split_join" and root_keys and attributes:
             dimension = df.groupBy(*[col(k) for k in root_keys]).agg(*[F.first(col(n), ignorenulls=True).alias(n) for n in attributes])
             right, on = null_safe_on(df, dimension, root_keys)

@@ -254,3 +254,33 @@ def test_pack_streaming_from_a_path_and_written(spark, flat, tmp_path):
     for bad in ({"partitions": 0}, {"partition_strategy": "round"}):
         with pytest.raises(ValueError):
             p.pack_streaming(flat, "city", **bad)
+
+
+def test_null_root_keys_keep_their_attributes(spark):
+    p = HierarchicalPacker(LINEAR)
+    df = spark.createDataFrame([(None, "none", "a", 1), (None, "none", "b", 2), ("x", None, "c", 3)], f"`{K}` string, `country.name` string, `{C}` string, `country.city.population` long")
+    assert rows(p.pack(df, "country", parent_strategy="split_join")) == rows(p.pack(df, "country"))
+    assert {r[K]: (r["country.name"], len(r["country.city"])) for r in p.pack(df, "country").collect()} == {None: ("none", 2), "x": (None, 1)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attributes_read_only_their_own_leaf(spark, flat, tmp_path):
+    p = HierarchicalPacker(LINEAR)
+    p.pack(flat, "country").write.parquet(str(tmp_path / "packed"))
+    packed = spark.read.parquet(str(tmp_path / "packed"))
+    schema = plan_of(packed.select(p.attribute_expr("population", from_level="city", to_level="country", agg="sum"))).split("ReadSchema: ")[1]
+    assert "population" in schema and "length" not in schema and "street" not in schema
+
+
+def test_view_pushes_filters_and_columns_to_the_scans(spark, flat, tmp_path):
+    p = HierarchicalPacker(LINEAR)
+    HierarchyView.from_frame(flat, p).sink_parquet(str(tmp_path))
+    v = HierarchyView.scan_parquet(str(tmp_path), p, spark=spark, empty_parents="keep")
+    plan = plan_of(v.filter(col(K) == "US").tables()["street"].select(col("country.city.street.length")))
+    assert "EqualTo(country.code,US)" in plan or "EqualTo(`country.code`,US)" in plan
+    plan = plan_of(v.level("street").select(col("country.city.street.length")))
+    assert "population" not in plan and "country.name" not in plan
+    assert "Join" not in plan_of(v.tables()["street"])

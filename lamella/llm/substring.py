@@ -109,17 +109,17 @@ def compact_windows(values: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
 
 
 def _windows(docs: DataFrame, s: Settings) -> DataFrame:
-    """``key, doc_id, centre, reach``: a row per document, hash function and compact window.
+    """``key, doc_id, place``: a row per document, hash function and compact window.
 
-    ``reach`` holds how far the window goes to the left and right (never more than needed for
-    subsequences of the least length) and the number of the hash function.
+    ``place`` holds the window's centre, how far it goes to the left and right (never more than
+    needed for subsequences of the least length), and the number of the hash function.
     """
     salts = mixed(np.arange(1, s.hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     most = s.window - 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, centres, reaches = [], [], [], []
+            ids, keys, places = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = shingles(text.as_py(), s.words)
                 if len(own) < s.window:
@@ -128,18 +128,17 @@ def _windows(docs: DataFrame, s: Settings) -> DataFrame:
                     values = mixed(own ^ salt)
                     c, left, right = compact_windows(values, s.window)
                     keys.append(values[c])
-                    centres.append(c)
-                    reaches.append((np.minimum(c - left, most) * 1024 + np.minimum(right - c, most)) * 16 + j)
+                    places.append(((c * 1024 + np.minimum(c - left, most)) * 1024 + np.minimum(right - c, most)) * 16 + j)
                     ids.append(np.full(len(c), doc_id))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(centres).astype(np.int32)), pa.array(np.concatenate(reaches).astype(np.int32))],
-                    names=["key", "doc_id", "centre", "reach"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))],
+                    names=["key", "doc_id", "place"],
                 )
 
     if s.hashes > 16 or s.window > 1024:
         raise ValueError("at most 16 hash functions and windows of 1024 shingles")
-    return docs.mapInArrow(of, "key bigint, doc_id bigint, centre int, reach int")
+    return docs.mapInArrow(of, "key bigint, doc_id bigint, place bigint")
 
 
 def _agreeing(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -242,35 +241,34 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     s = settings
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     windows, _ = written(_windows(docs.filter(F.octet_length("text") >= 2 * s.passage - 1), s), "windows")
-    firsts = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).filter("source < _last").select("key", "source")
-    met, _ = written(windows.join(firsts, "key"), "met")
-    held = met.filter("doc_id = source").groupBy("key").agg(F.min(F.struct("centre", "reach")).alias("_at")).select("key", F.col("_at.centre").alias("_centre"), F.col("_at.reach").alias("_reach"))
-    back = lambda c: F.shiftright(c, 14)
-    on = lambda c: F.shiftright(c, 4).bitwiseAND(1023)
+    groups = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"), F.min_by("place", "doc_id").alias("_place"))
+    # written, so that the join below is one of two plain exchanges, which Spark splits where a key is hot
+    firsts, _ = written(groups.filter("source < _last").select("key", "source", "_place"), "firsts")
+    centre = lambda p: F.shiftright(p, 24)
+    back = lambda p: F.shiftright(p, 14).bitwiseAND(1023)
+    on = lambda p: F.shiftright(p, 4).bitwiseAND(1023)
     aligned = (
-        met.filter("doc_id <> source")
-        .join(held, "key")
+        windows.join(firsts, "key")
+        .filter("doc_id <> source")
         .select(
             "doc_id",
             "source",
-            (F.col("centre") - F.least(back("reach"), back("_reach"))).alias("first"),
-            (F.col("centre") + F.least(on("reach"), on("_reach")) - (s.window - 1)).alias("last"),
+            (centre("place") - F.least(back("place"), back("_place"))).cast("int").alias("first"),
+            (centre("place") + F.least(on("place"), on("_place")) - (s.window - 1)).cast("int").alias("last"),
         )
         .filter("first <= last")
     )
-    pairs = _agreeing(aligned.groupBy("doc_id", "source").agg(F.collect_list(F.struct("first", "last")).alias("found")), s)
-    pairs, _ = written(pairs, "pairs")
-    involved = pairs.select("doc_id").union(pairs.select("source")).distinct()
-    texts, _ = written(docs.join(involved, "doc_id", "left_semi"), "texts")
+    pairs, _ = written(_agreeing(aligned.groupBy("doc_id", "source").agg(F.collect_list(F.struct("first", "last")).alias("found")), s), "pairs")
 
     @F.pandas_udf(SPANS)
     def verify(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([matching_passages(shingles(x, s.words), shingles(y, s.words), s) for x, y in zip(xs, ys, strict=True)])
 
-    own = texts.withColumnRenamed("text", "_x")
-    other = texts.select(F.col("doc_id").alias("source"), F.col("text").alias("_y"))
-    checked = pairs.join(own, "doc_id").join(other, "source").select("doc_id", F.md5("_x").alias("digest"), "source", verify("_x", "_y").alias("spans"))
-    return checked.filter("size(spans) > 0")
+    # pairs grow with the corpus, so they are never broadcast; both joins read one exchange of the texts
+    x, y = docs.alias("x"), docs.alias("y")
+    own = x.join(pairs.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("x.doc_id") == F.col("_id")).select("_id", "source", F.col("x.text").alias("_x"))
+    both = own.hint("merge").join(y, F.col("source") == F.col("y.doc_id")).select(F.col("_id").alias("doc_id"), F.md5("_x").alias("digest"), "source", verify("_x", F.col("y.text")).alias("spans"))
+    return both.filter("size(spans) > 0")
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import packing, simhash, substring, toxicity
+from lamella.llm import packing, similar, substring, toxicity
 from lamella.llm.shared import written
 from lamella.llm.wordbpe import default_path
 
@@ -19,11 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id stays.
 
+    Groups are those of SimHash, joined by verified links of a similarity of 0.8 in five-word shingles.
     Of rows that repeat an id, one stays. Rows without an id can't lead a group; of those with
     equal texts one stays.
     """
     known, unknown = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
-    first = simhash.near_duplicates(known).filter("doc_id = component_id").select("doc_id").distinct()
+    first = similar.near_duplicates(known).filter("doc_id = component_id").select("doc_id").distinct()
     return known.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unknown.dropDuplicates(["text"]))
 
 

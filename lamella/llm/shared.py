@@ -9,7 +9,19 @@ from pyspark.sql import functions as F
 
 from lamella.sources.scratch import delete_path, new_path, shared_folder, written
 
-__all__ = ["components", "delete_path", "fewer", "new_path", "shared_folder", "written"]
+__all__ = ["claim", "components", "delete_path", "fewer", "new_path", "shared_folder", "written"]
+
+_STORES: list[dict] = []
+
+
+def claim(store: dict) -> dict:
+    """``store``, one worker's memory of what it has encoded; the stores of other operators, which ran in the worker before, are emptied."""
+    if not any(s is store for s in _STORES):
+        _STORES.append(store)
+    for other in _STORES:
+        if other is not store and other:
+            other.clear()
+    return store
 
 
 def fewer(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:

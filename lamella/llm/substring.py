@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import written
+from lamella.llm.shared import claim, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PLACE = np.uint64((1 << 24) - 1)
@@ -40,7 +40,7 @@ class Settings:
 
 
 class _WordHashes(dict):
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
@@ -59,15 +59,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: bytes | None, words: int) -> np.ndarray:
-    """A 64-bit hash of the words at each place of a text, A-Z lower-cased; empty if there are too few words."""
-    if len(_WORDS) > _WORDS.limit:
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """A 64-bit hash of each word of a text, A-Z lower-cased."""
+    if len(claim(_WORDS)) > _WORDS.limit:
         _WORDS.clear()
     split = (text or b"").lower().split()
-    if len(split) < words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, split), dtype=np.uint64, count=len(split))
+    return np.fromiter(map(_WORDS.__getitem__, split), dtype=np.uint64, count=len(split))
+
+
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """A 64-bit hash of the words from each place of a text on; empty if there are too few words."""
+    h = word_hashes(text)
     n = len(h) - words + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(words):
         out = out * np.uint64(0xD6E8FEB86659FD93) + h[k : k + n]

@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.shared import claim
+
 EDGES = string.punctuation + string.whitespace + "«»“”„’‘…–—"
 
 
@@ -51,7 +53,7 @@ class Model:
 class _Hashes(dict):
     """Word -> row of ``both``: 64-bit hashes of its lower-case form without punctuation at its ends and of that form's first letters; 0 for punctuation alone."""
 
-    def __init__(self, stem: int = 5, limit: int = 400_000):
+    def __init__(self, stem: int = 5, limit: int = 300_000):
         super().__init__()
         self.stem, self.limit, self.both = stem, limit, array("Q")
 
@@ -62,10 +64,13 @@ class _Hashes(dict):
         self[word] = out = len(self.both) // 2 - 1
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.both = array("Q")
+
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.limit:
+        if len(claim(self)) > self.limit:
             self.clear()
-            self.both = array("Q")
         rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         return np.frombuffer(self.both, dtype=np.uint64).reshape(-1, 2)[rows] if len(rows) else np.empty((0, 2), np.uint64)
 

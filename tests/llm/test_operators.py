@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lamella.llm import embed_dedup, media, packing, pieces, queries, simhash, substring, token_counts, toxicity, urlfilter, warc
+from lamella.llm import embed_dedup, media, packing, pieces, queries, similar, simhash, substring, token_counts, toxicity, urlfilter, warc
 from lamella.llm.shared import components
 from lamella.llm.wordbpe import WholeText, default_path
 
@@ -291,6 +291,31 @@ def test_simhash_near_duplicates(spark, odd):
     assert [r["component_id"] for r in out if r["doc_id"] is None] == [None] and simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    sets = {d: frozenset(substring.shingles(t, 5).tolist()) for d, t in texts.items()}
+    prints = {d: slow_simhash(t.decode()) for d, t in texts.items()}
+
+    def alike(a, b):
+        both = len(sets[a] & sets[b])
+        return (prints[a] ^ prints[b]).bit_count() <= 2 or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    want = slow_components([p for p in combinations(sorted(texts), 2) if alike(*p)], texts)
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    assert sum(got[d] == want[d] for d in texts) >= 0.998 * len(texts)
+    assert all(got[d] >= want[d] for d in texts)
+    assert sum(d != c for d, c in got.items()) >= 0.95 * sum(d != c for d, c in want.items())
+
+
+def test_segments_move_with_the_text():
+    words = [f"w{x}".encode() for x in np.random.default_rng(1).integers(0, 900, 600)]
+    keys, sizes, n = similar.segments(b" ".join(words))
+    edited, _, _ = similar.segments(b" ".join([*words[:300], b"new", *words[301:]]))
+    assert n == 600 and sizes.sum() <= 600 and len(set(keys.tolist()) - set(edited.tolist())) <= 3
+    assert similar.segments(b" ")[2] == 0 and similar.segments(None)[2] == 0
+
+
 # 7
 
 
@@ -493,7 +518,7 @@ def test_pipeline_stages(spark):
     left = {r["doc_id"]: r["text"] for r in now.collect()}
     assert None in left and len(left) == now.count()
     prints = defaultdict(list)
-    for r in simhash.near_duplicates(docs.join(now.select("doc_id"), "doc_id", "left_semi")).collect():
+    for r in similar.near_duplicates(docs.join(now.select("doc_id"), "doc_id", "left_semi")).collect():
         prints[r["component_id"]].append(r["doc_id"])
     assert all(len(v) == 1 for v in prints.values())
     out = corpus_pipeline.run(spark, SMALL)

@@ -151,7 +151,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
     dealt, _ = written(classes.select("cid", "n", "vec").mapInPandas(cells, "dim int, tab int, cell bigint, cid bigint, n bigint, vec array<double>"), "cells")
     large = dealt.groupBy("dim", "tab", "cell").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > s.block)
-    blocks = large.select("dim", "tab", "cell", F.ceil(F.col("_rows") / (s.block // 2)).cast("int").alias("_blocks"))
+    blocks, _ = written(large.select("dim", "tab", "cell", F.ceil(F.col("_rows") / (s.block // 2)).cast("int").alias("_blocks")), "blocks")
     placed = dealt.join(blocks, ["dim", "tab", "cell"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
     # a cell of several blocks has a group for each pair of blocks; pairs within a block belong to the group of the block with itself

@@ -73,7 +73,7 @@ def linked_fingerprints(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """
     tables = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
     keyed = distinct.select("fp", F.posexplode(tables).alias("_table", "_mask")).select("fp", "_table", F.expr("fp & _mask").alias("_key"))
-    shared = keyed.groupBy("_table", "_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_table", "_key")
+    shared, _ = written(keyed.groupBy("_table", "_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_table", "_key"), "buckets")
     candidates = keyed.join(shared, ["_table", "_key"], "left_semi").select("fp").distinct()
     single = F.array(*[F.lit(_signed(1 << i)) for i in range(BITS)])
     ball = F.array(F.col("fp"))

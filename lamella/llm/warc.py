@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import new_path
+from lamella.llm.shared import new_path, written
 
 
 RECORD = "record_id string, type string, concurrent_to array<string>, headers map<string,string>, block_bytes bigint, payload binary, payload_bytes bigint, payload_digest string"
@@ -47,11 +47,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, rows_per_fil
     All of it is made of built-in functions and written by Spark's text writer (its line
     separator ends each record), so archives go to any file system that Spark can write, whole
     and once, also if executors are lost. Copies of one payload meet in a minimum that is
-    aggregated before the shuffle, and the join back is one that Spark splits if it is skewed.
+    aggregated before the shuffle; it is written, so that the join back is one of two plain
+    exchanges, which Spark splits if it is skewed.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html")).withColumn("_sha1", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    firsts = own.filter(F.octet_length("html") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("_sha1", "first")
+    groups = own.filter(F.octet_length("html") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts, _ = written(groups.filter("n > 1").select("_sha1", "first"), "firsts")
     known = own.join(firsts, "_sha1", "left")
     revisit = F.col("first").isNotNull() & (F.octet_length("html") >= min_bytes) & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
     # an id of the row itself makes record ids unique where page ids repeat; the file that a task commits is consistent
@@ -118,12 +120,13 @@ def _payload(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives below ``path``, digests computed from the bytes read.
+def read_archives(spark: SparkSession, path: str, payload_of: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each record of the archives below ``path``, lengths and digests computed from the bytes read.
 
-    An archive is parsed by one task in one piece, so it has to fit there; ``write_archives``
-    bounds the records of a file. A revisit has no payload of its own: its digest is the one
-    that it states.
+    ``payload_of`` names the types whose payloads are kept as bytes, all if it is None; those of
+    others are null. An archive is parsed by one task in one piece, so it has to fit there;
+    ``write_archives`` bounds the records of a file. A revisit has no payload of its own: its
+    digest is the one that it states. Parsing is not repeated if the result is written once.
     """
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,8 +141,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "revisit":
                         digest, payload = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, b""
                     linked = [v for k, v in listed if k == "warc-concurrent-to"]
-                    out.append((headers.get("warc-record-id"), kind, linked, headers, len(block), payload, len(payload), digest))
-                    held += len(payload)
+                    kept = payload if payload_of is None or kind in payload_of else None
+                    out.append((headers.get("warc-record-id"), kind, linked, headers, len(block), kept, len(payload), digest))
+                    held += len(kept or b"") + 1000
                     if held > 16_000_000:
                         yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
                         out, held = [], 0
@@ -188,11 +192,15 @@ def fact(field: Column, name: str) -> Column:
 
 
 def pages_through_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Per page, from archives that were written and read again: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
+    """Per page, from archives that were written and read again: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+
+    Payloads are read, measured and digested, but only those of metadata records go on.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, min_bytes)
-    captures = assemble(read_archives(spark, path))
+    records, _ = written(read_archives(spark, path, payload_of=("metadata",)), "records")
+    captures = assemble(records)
     facts = F.element_at("metadata", 1)["payload"]
     return captures.select(
         fact(facts, "pageId").cast("long").alias("page_id"),

@@ -121,7 +121,7 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def features(media: Column, size: int = 64, tile: int = 32) -> Column:
+def features(media: Column, size: int = 32, tile: int = 16) -> Column:
     """Decodes a column of Netpbm or BMP bytes.
 
     Gives the samples as stored (rows from the top, channels together), the whole image's

@@ -7,10 +7,11 @@ import os
 import re
 from array import array
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 
+from lamella.llm.shared import claim
+
 # The shape of the tokenizer file that may be split at white space.
 WHITE_SPACE_NORMALIZER = [
     {"type": "NFC"},
@@ -21,11 +22,20 @@ PRE_TOKEN_REGEX = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
 
-#: Texts with other characters, or with what may be a special token, go to the library whole.
-UNSAFE = re.compile("[^\t\n\x0b\x0c\r -~¡-ÿ]|<\\|")
+#: Latin-1 characters that the two sides may not take alike as white space or text.
+UNSAFE = bytes([*range(9), *range(14, 32), *range(127, 161)])
 PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
+def splits(text: str) -> bool:
+    """Whether a text may be split at white space: Latin-1 without ``UNSAFE`` characters and without what may be a special token."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return len(data.translate(None, UNSAFE)) == len(data) and "<|" not in text
+
+
 def byte_letters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -34,25 +44,20 @@ def byte_letters() -> list[str]:
 
 
 class _Words(dict):
-    """White-space-free word -> row of ``starts``; a missing word is encoded once and kept."""
+    """White-space-free word -> its ids as bytes, four each; a missing word is encoded once and kept."""
 
     def __init__(self, model, limit: int):
         super().__init__()
         self.model, self.limit, self.letters = model, limit, byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.ids, self.starts = array("I"), array("q", [0])
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I")
         for part in PRE_TOKEN.findall(word):
             if not part.isascii():
                 part = "".join([self.letters[b] for b in part.encode()])
-            self.ids.extend([t.id for t in self.model.tokenize(part)])
-        self.starts.append(len(self.ids))
-        self[word] = row = len(self.starts) - 2
-        return row
+            ids.extend([t.id for t in self.model.tokenize(part)])
+        self[word] = out = ids.tobytes()
+        return out
 
 
 class WholeText:
@@ -65,7 +70,7 @@ class WholeText:
     outside Latin-1 or a possible special token, are given to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.words = None
         if path.endswith(".model"):
@@ -88,10 +93,10 @@ class WholeText:
 
     def _split(self, text: str) -> list[str] | None:
         """The words of a text that may be split at white space, else None."""
-        if self.words is None or UNSAFE.search(text):
+        if self.words is None or not splits(text):
             return None
-        if len(self.words) > self.words.limit:
-            self.words.forget()
+        if len(claim(self.words)) > self.words.limit:
+            self.words.clear()
         return text.lower().split()
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -99,9 +104,7 @@ class WholeText:
         split = self._split(text)
         if split is None:
             return np.array(self.whole(text), dtype=np.uint32)
-        rows = list(map(self.words.__getitem__, split))
-        ids, starts = self.words.ids, self.words.starts
-        return np.array(list(chain.from_iterable([ids[starts[r] : starts[r + 1]] for r in rows])), dtype=np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, split)), dtype=np.uint32)
 
     def count(self, text: str | None) -> int:
         """Sum over distinct words of pieces times frequency; no ids are gathered."""
@@ -109,12 +112,8 @@ class WholeText:
         split = self._split(text)
         if split is None:
             return len(self.whole(text))
-        often = Counter(split)
-        rows = np.fromiter(map(self.words.__getitem__, often), dtype=np.int64, count=len(often))
-        starts = np.frombuffer(self.words.starts, dtype=np.int64)
-        total = int(((starts[rows + 1] - starts[rows]) * np.fromiter(often.values(), dtype=np.int64, count=len(often))).sum())
-        del starts  # else the store could not grow
-        return total
+        words = self.words
+        return sum(len(words[w]) * n for w, n in Counter(split).items()) // 4
 
 
 _OPEN: dict[str, WholeText] = {}

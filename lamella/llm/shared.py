@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.sources.scratch import delete_path, new_path, shared_folder, written
 
-__all__ = ["claim", "components", "delete_path", "fewer", "new_path", "shared_folder", "written"]
+__all__ = ["claim", "components", "delete_path", "fewer", "give_back", "new_path", "shared_folder", "written"]
 
 _STORES: list[dict] = []
 
@@ -18,12 +20,22 @@ def claim(store: dict) -> dict:
     """``store``, one worker's memory of what it has encoded; the stores of other operators, which ran in the worker before, are emptied."""
     if not any(s is store for s in _STORES):
         _STORES.append(store)
-    for other in _STORES:
-        if other is not store and other:
-            other.clear()
+    others = [s for s in _STORES if s is not store and s]
+    for other in others:
+        other.clear()
+    if others:
+        give_back()
     return store
 
 
+def give_back() -> None:
+    """Returns to the system what a reused worker's allocators hold but don't use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def fewer(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
     """``df`` in a number of tasks that follows its known row count, without another shuffle."""
     return df.coalesce(max(8, rows // per_task))

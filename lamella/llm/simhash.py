@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import components, written
+from lamella.llm.shared import components, give_back, written
 
 BITS = 64
 
@@ -40,6 +40,7 @@ def simhash(text: Column, words: int = 3) -> Column:
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([simhash_of(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+        give_back()
 
     return fingerprint(F.coalesce(text.cast("binary"), F.lit(b"")))
 

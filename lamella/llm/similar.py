@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import simhash
-from lamella.llm.shared import components, written
+from lamella.llm.shared import components, give_back, written
 from lamella.llm.substring import mixed, shingles, word_hashes
 
 ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -59,6 +59,7 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(totals).astype(np.int32))],
                     names=["key", "doc_id", "size", "total"],
                 )
+        give_back()
 
     return docs.mapInArrow(of, "key bigint, doc_id bigint, size int, total int")
 

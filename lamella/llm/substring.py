@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import claim, written
+from lamella.llm.shared import claim, give_back, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PLACE = np.uint64((1 << 24) - 1)
@@ -40,7 +40,7 @@ class Settings:
 
 
 class _WordHashes(dict):
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -140,6 +140,7 @@ def _windows(docs: DataFrame, s: Settings) -> DataFrame:
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))],
                     names=["key", "doc_id", "place"],
                 )
+        give_back()
 
     if s.hashes > 16 or s.window > 1024:
         raise ValueError("at most 16 hash functions and windows of 1024 shingles")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import claim
+from lamella.llm.shared import claim, give_back
 
 EDGES = string.punctuation + string.whitespace + "«»“”„’‘…–—"
 
@@ -53,7 +53,7 @@ class Model:
 class _Hashes(dict):
     """Word -> row of ``both``: 64-bit hashes of its lower-case form without punctuation at its ends and of that form's first letters; 0 for punctuation alone."""
 
-    def __init__(self, stem: int = 5, limit: int = 300_000):
+    def __init__(self, stem: int = 5, limit: int = 200_000):
         super().__init__()
         self.stem, self.limit, self.both = stem, limit, array("Q")
 
@@ -175,6 +175,7 @@ def toxicity(text: Column, model: Model) -> Column:
                 used = np.unique(at[w[at] != 0])
                 out[i] = model.bias + float(w[used].astype(np.float64).sum())
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
+        give_back()
 
     return score(F.coalesce(text, F.lit("")))
 

@@ -1,4 +1,4 @@
-"""Near-duplicate documents of a given similarity: SimHash groups, joined by verified links between documents that share segments."""
+"""Near-duplicate documents of a given similarity: SimHash groups, joined by verified links between documents that share min-hashes."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import simhash
-from lamella.llm.shared import components, give_back, written
+from lamella.llm.shared import components, delete_path, give_back, written
 from lamella.llm.substring import mixed, shingles, word_hashes
 
 ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -43,25 +43,49 @@ def segments(text: bytes | None, every: int = 8, least: int = 6) -> tuple[np.nda
     return keys, (ends - begins)[first], n
 
 
-def _segment_rows(docs: DataFrame) -> DataFrame:
+class Sketches:
+    """Min-hashes of a set of shingles in ``bands`` bands of ``rows`` functions each.
+
+    Two sets of Jaccard index s share a band's key with probability s ** rows, so all keys differ
+    with probability (1 - s ** rows) ** bands: 3 in a million for 0.8, whatever the length of the texts.
+    """
+
+    def __init__(self, bands: int = 24, rows: int = 4):
+        self.bands, self.rows = bands, rows
+        numbers = np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.salts, odd = np.split(mixed(numbers)[:, None], 2)
+        self.factors = odd | np.uint64(1)
+
+    def keys(self, own: np.ndarray) -> np.ndarray:
+        least = np.full(len(self.salts), ~np.uint64(0))
+        for start in range(0, len(own), 1 << 11):
+            least = np.minimum(least, ((own[start : start + (1 << 11)] ^ self.salts) * self.factors).min(axis=1))
+        out = np.arange(self.bands, dtype=np.uint64)
+        for column in least.reshape(self.bands, self.rows).T:
+            out = mixed(out * ODD + column)
+        return out
+
+
+def _sketch_rows(docs: DataFrame, words: int, sketches: Sketches) -> DataFrame:
+    """``doc_id, mark, size, keys`` of the texts that have a shingle; equal sets of shingles have equal marks."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, sizes, totals = [], [], [], []
+            ids, marks, sizes, keys = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own, size, n = segments(text.as_py())
-                if n:
-                    keys.append(own)
-                    sizes.append(size)
-                    totals.append(np.full(len(own), n))
-                    ids.append(np.full(len(own), doc_id))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(totals).astype(np.int32))],
-                    names=["key", "doc_id", "size", "total"],
-                )
+                own = np.unique(shingles(text.as_py(), words))
+                if len(own):
+                    ids.append(doc_id)
+                    marks.append(mixed(own).sum(dtype=np.uint64))
+                    sizes.append(len(own))
+                    keys.append(sketches.keys(own))
+            if ids:
+                flat = pa.array(np.concatenate(keys).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * sketches.bands), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["doc_id", "mark", "size", "keys"])
         give_back()
 
-    return docs.mapInArrow(of, "key bigint, doc_id bigint, size int, total int")
+    return docs.mapInArrow(of, "doc_id bigint, mark bigint, size int, keys array<bigint>")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -70,36 +94,82 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, share: float = 0.3) -> DataFrame:
+def _rooted(rows: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """``rows`` with column ``root`` moved on to what ``found`` says of ``node``."""
+    to = found.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return rows.join(to, F.col(node) == F.col("_node"), "left").withColumn("root", F.coalesce("_root", node)).drop("_node", "_root")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, sketches: Sketches = Sketches()) -> DataFrame:
     """``doc_id, component_id``: documents linked by SimHash, or by a Jaccard index of their ``words``-word shingles of ``similarity`` or more.
 
     Fingerprints of near-copies with a few edits differ in more bits than covering masks can span
     (a pair of similarity 0.8 in about ten of 64), so a fingerprint alone groups copies that
-    are all but exact. Other candidates share segments: each segment meets the document of
-    smallest id that has it, and pairs that share segments of ``share`` of the document's words are
-    verified on whole texts. A segment that very many documents have costs each one row.
+    are all but exact. Other candidates share a key of ``sketches``; of texts with equal shingles
+    the smallest id stands for all. Every two holders of a key are verified on their whole sets of shingles, unless they
+    are in one component already or their sizes rule the similarity out. This goes in rounds: a
+    few holders of each key meet all others and are done with it, the ones with most company
+    first, so that a family of copies is linked by its base and needs no pairs; a key goes when its
+    holders are one component. Each round takes eight times as many holders, so rounds follow
+    the logarithm of the largest number of holders.
     Documents of fewer words than a shingle are linked by SimHash alone. Rows without an id are
     left out.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")).filter("doc_id IS NOT NULL")
     prints, _ = written(simhash.near_duplicates(docs.withColumn("text", F.col("text").cast("string"))).select("doc_id", "component_id").distinct(), "prints")
-    rows, _ = written(_segment_rows(docs), "segments")
-    groups = rows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"))
-    firsts, _ = written(groups.filter("source < _last").select("key", "source"), "firsts")
-    met = rows.join(firsts, "key").filter("doc_id <> source").groupBy("doc_id", "source").agg(F.sum("size").alias("shared"), F.max("total").alias("total"))
-    likely = met.filter(F.col("shared") >= share * F.col("total")).select("doc_id", "source")
-    of = lambda side: prints.select(F.col("doc_id").alias(side), F.col("component_id").alias(f"_{side}"))
-    apart = likely.join(of("doc_id"), "doc_id").join(of("source"), "source").filter("_doc_id <> _source").select("doc_id", "source")
-    pairs, _ = written(apart, "pairs")
+    sketched, sketch_path = written(_sketch_rows(docs, words, sketches), "sketches")
+    # grouped sides of joins are written, so that the joins are of two plain exchanges, which Spark splits where a key is hot
+    leads, _ = written(sketched.groupBy("mark").agg(F.min("doc_id").alias("lead")), "leads")
+    equal = sketched.select("doc_id", "mark").join(leads, "mark").filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    first, _ = written(components(prints.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(equal)), "components")
+    chosen = sketched.join(leads.select("mark", F.col("lead").alias("doc_id")), ["mark", "doc_id"])
+    keyed, keyed_path = written(chosen.select("doc_id", "size", F.explode("keys").alias("key")), "keys")
+    shared, _ = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    held, held_path = written(keyed.join(shared, "key"), "held")
+    company, _ = written(held.groupBy("doc_id").agg((-F.sum("n")).alias("rank")), "company")
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, words)).tobytes() for t in texts])
+
+    sets, _ = written(docs.join(company.hint("merge"), "doc_id", "left_semi").select("doc_id", packed("text").alias("own")), "sets")
 
     @F.pandas_udf("boolean")
     def alike(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(shingles(x, words), shingles(y, words)) >= similarity for x, y in zip(xs, ys, strict=True)])
-
-    # pairs grow with the corpus, so they are never broadcast; both joins read one exchange of the texts
-    x, y = docs.alias("x"), docs.alias("y")
-    own = x.join(pairs.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("x.doc_id") == F.col("_id")).select("_id", "source", F.col("x.text").alias("_x"))
-    links = own.hint("merge").join(y, F.col("source") == F.col("y.doc_id")).filter(alike("_x", F.col("y.text"))).select(F.col("_id").alias("a"), F.col("source").alias("b"))
-    edges = links.union(prints.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-    found = components(edges).select(F.col("node").alias("doc_id"), F.col("root"))
-    return prints.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+        return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(xs, ys, strict=True)], dtype=bool)
+
+    live, live_path = written(_rooted(held.select("key", "doc_id", "size").join(company, "doc_id"), first, "doc_id"), "live")
+    for path in (sketch_path, keyed_path, held_path):
+        delete_path(spark, path)
+    merges, tried, share = [], None, 1
+    while True:
+        split, split_path = written(live.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("key"), "split")
+        if split.isEmpty():
+            break
+        rest, rest_path = written(live.join(split, "key"), "rest")
+        delete_path(spark, live_path)
+        delete_path(spark, split_path)
+        one = F.min(F.struct("rank", "doc_id", "size", "root"))
+        stand, _ = written(rest.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(share)).alias("_deal")).agg(one.alias("r")).select("key", F.col("r.doc_id").alias("_id"), F.col("r.size").alias("_size"), F.col("r.root").alias("_root")), "stand")
+        met = rest.join(stand, "key").filter("doc_id <> _id AND root <> _root").filter(F.least("size", "_size") >= similarity * F.greatest("size", "_size") - 1e-6)
+        low = F.col("doc_id") < F.col("_id")
+        turned = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+        pairs = met.select(turned("doc_id", "_id").alias("a"), turned("_id", "doc_id").alias("b"), turned("root", "_root").alias("root_a"), turned("_root", "root").alias("root_b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs, _ = written(pairs, "pairs")
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        # pairs grow with the corpus, so they are never broadcast
+        own = pairs.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("_x")), "a")
+        links = own.hint("merge").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("_y")), "b").filter(alike("_x", "_y"))
+        found, _ = written(components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "components")
+        merges.append(found)
+        done = stand.select("key", F.col("_id").alias("doc_id"))
+        live, live_path = written(_rooted(rest.join(done, ["key", "doc_id"], "left_anti"), found, "root"), "live")
+        delete_path(spark, rest_path)
+        share *= 8
+    out = _rooted(prints.select("doc_id").distinct(), first, "doc_id")
+    for found in merges:
+        out = _rooted(out, found, "root")
+    return out.select("doc_id", F.col("root").alias("component_id"))

@@ -308,6 +308,27 @@ def test_near_duplicates_of_a_similarity(spark):
     assert sum(d != c for d, c in got.items()) >= 0.95 * sum(d != c for d, c in want.items())
 
 
+def test_a_family_is_linked_by_a_base_of_any_rank(spark):
+    rng = np.random.default_rng(21)
+    rows, want, at = [], {}, 0
+    for n in (40, 120, 300, 900):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        family = [base]
+        while len(family) < 100:
+            copy = list(base)
+            while similar.jaccard(*(substring.shingles(" ".join(x).encode(), 5) for x in (base, copy))) > 0.87:
+                copy[int(rng.integers(0, n))] = f"e{rng.integers(0, 10**9)}"
+            if similar.jaccard(*(substring.shingles(" ".join(x).encode(), 5) for x in (base, copy))) >= 0.8:
+                family.append(copy)
+        family[0], family[50] = family[50], family[0]
+        for t in family:
+            rows.append((at, " ".join(t)))
+            want[at] = at // 100 * 100
+            at += 1
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_segments_move_with_the_text():
     words = [f"w{x}".encode() for x in np.random.default_rng(1).integers(0, 900, 600)]
     keys, sizes, n = similar.segments(b" ".join(words))

@@ -329,6 +329,18 @@ def test_a_family_is_linked_by_a_base_of_any_rank(spark):
     assert got == want
 
 
+def test_short_near_copies_of_any_length_are_linked(spark):
+    rng = np.random.default_rng(22)
+    rows = []
+    for n in (14, 16, 20, 25, 30, 60):
+        for k in range(60):
+            text = [f"w{x}" for x in rng.integers(0, 10**7, n)]
+            edited = [["new", *text[1:]], [*text[:-1], "new"], [*text, "new"]][k % 3]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(edited))]
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
 def test_segments_move_with_the_text():
     words = [f"w{x}".encode() for x in np.random.default_rng(1).integers(0, 900, 600)]
     keys, sizes, n = similar.segments(b" ".join(words))

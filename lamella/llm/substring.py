@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import claim, give_back, written
+from lamella.llm.shared import claim, delete_path, give_back, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PLACE = np.uint64((1 << 24) - 1)
@@ -117,7 +117,8 @@ def _windows(docs: DataFrame, s: Settings) -> DataFrame:
     """``key, doc_id, place``: a row per document, hash function and compact window.
 
     ``place`` holds the window's centre, how far it goes to the left and right (never more than
-    needed for subsequences of the least length), and the number of the hash function.
+    needed for subsequences of the least length; the farthest of the document's windows with that key),
+    and the number of the hash function.
     """
     salts = mixed(np.arange(1, s.hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     most = s.window - 1
@@ -133,7 +134,14 @@ def _windows(docs: DataFrame, s: Settings) -> DataFrame:
                     values = mixed(own ^ salt)
                     c, left, right = compact_windows(values, s.window)
                     keys.append(values[c])
-                    places.append(((c * 1024 + np.minimum(c - left, most)) * 1024 + np.minimum(right - c, most)) * 16 + j)
+                    back, on = np.minimum(c - left, most), np.minimum(right - c, most)
+                    _, which = np.unique(values[c], return_inverse=True)
+                    if len(which) and which.max() + 1 < len(which):  # a key at several places goes as far as any of them
+                        for reach in (back, on):
+                            widest = np.zeros(which.max() + 1, reach.dtype)
+                            np.maximum.at(widest, which, reach)
+                            reach[:] = widest[which]
+                    places.append(((c * 1024 + back) * 1024 + on) * 16 + j)
                     ids.append(np.full(len(c), doc_id))
             if keys:
                 yield pa.RecordBatch.from_arrays(
@@ -172,6 +180,41 @@ def _agreeing(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.mapInArrow(sweep, "doc_id bigint, source bigint")
 
 
+def _grams(crowded: DataFrame, s: Settings) -> DataFrame:
+    """``gram, doc_id``: hashes of the runs of ``passage`` words of a text that may lack their first holder as a partner.
+
+    Two documents with the same run have the same minimum there for all functions. If fewer than
+    ``enough`` of them made the pair meet, the others are also held by an earlier document, so the run starts
+    where that many windows with three holders or more overlap.
+    """
+    offsets = [*range(0, s.window - 1, s.words), s.window - 1]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, grams = [], []
+            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = shingles(text.as_py(), s.words)
+                n = len(own) - s.window + 1
+                if n < 1:
+                    continue
+                steps = np.zeros(n + 1, np.int64)
+                first, last = (found.values.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last"))
+                inside = (last >= 0) & (first < n) & (first <= last)
+                np.add.at(steps, np.maximum(first[inside], 0), 1)
+                np.add.at(steps, np.minimum(last[inside] + 1, n), -1)
+                starts = np.flatnonzero(np.cumsum(steps[:n]) > s.hashes - s.enough)
+                out = np.zeros(len(starts), np.uint64)
+                for k in offsets:
+                    out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + own[starts + k])
+                grams.append(np.unique(out))
+                ids.append(np.full(len(grams[-1]), doc_id))
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))], names=["gram", "doc_id"])
+        give_back()
+
+    return crowded.mapInArrow(of, "gram bigint, doc_id bigint")
+
+
 def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
     """Spans of words in ``x`` that are near-duplicates of spans in ``y``, both given as shingle hashes.
 
@@ -241,21 +284,24 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     ``spans`` are in words (runs without the bytes 9-13 and 32), ends exclusive; ``digest`` is the
     MD5 of the text that they belong to. Documents are compared with the first holder of each of
-    their min-hashes, which is how the work stays linear. Null ids, null and short texts have no
+    their min-hashes and, where these have more holders, with the first holder of each run of
+    ``passage`` words, which is how the work stays linear and no run of equal words is missed. An edited passage
+    is compared by min-hashes alone. Null ids, null and short texts have no
     passages; repeats within one id are no result; an empty table gives an empty table.
     """
     s = settings
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows, _ = written(_windows(docs.filter(F.octet_length("text") >= 2 * s.passage - 1), s), "windows")
-    groups = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"), F.min_by("place", "doc_id").alias("_place"))
+    windows, windows_path = written(_windows(docs.filter(F.octet_length("text") >= 2 * s.passage - 1), s), "windows")
+    groups = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"), F.min_by("place", "doc_id").alias("_place"), F.count(F.lit(1)).alias("_n"))
     # written, so that the join below is one of two plain exchanges, which Spark splits where a key is hot
-    firsts, _ = written(groups.filter("source < _last").select("key", "source", "_place"), "firsts")
+    firsts, _ = written(groups.filter("source < _last").select("key", "source", "_place", "_n"), "firsts")
     centre = lambda p: F.shiftright(p, 24)
     back = lambda p: F.shiftright(p, 14).bitwiseAND(1023)
     on = lambda p: F.shiftright(p, 4).bitwiseAND(1023)
+    met, _ = written(windows.join(firsts, "key").select("doc_id", "place", "source", "_place", "_n"), "met")
+    delete_path(df.sparkSession, windows_path)
     aligned = (
-        windows.join(firsts, "key")
-        .filter("doc_id <> source")
+        met.filter("doc_id <> source")
         .select(
             "doc_id",
             "source",
@@ -264,7 +310,14 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
         )
         .filter("first <= last")
     )
-    pairs, _ = written(_agreeing(aligned.groupBy("doc_id", "source").agg(F.collect_list(F.struct("first", "last")).alias("found")), s), "pairs")
+    agreeing, _ = written(_agreeing(aligned.groupBy("doc_id", "source").agg(F.collect_list(F.struct("first", "last")).alias("found")), s), "agreeing")
+    reach = F.struct((centre("place") - back("place")).cast("int").alias("first"), (centre("place") + on("place") - (s.window - 1)).cast("int").alias("last"))
+    crowds, _ = written(met.filter("_n > 2").groupBy("doc_id").agg(F.collect_list(reach).alias("found")), "crowds")
+    grams, _ = written(_grams(docs.join(crowds.hint("merge"), "doc_id"), s), "grams")
+    holders = grams.groupBy("gram").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"))
+    held, _ = written(holders.filter("source < _last").select("gram", "source"), "holders")
+    runs = grams.join(held, "gram").filter("doc_id <> source").select("doc_id", "source")
+    pairs, _ = written(agreeing.union(runs).distinct(), "pairs")
 
     @F.pandas_udf(SPANS)
     def verify(xs: pd.Series, ys: pd.Series) -> pd.Series:

@@ -509,6 +509,24 @@ def test_near_copies_of_a_passage(spark):
     assert [(r["doc_id"], r["source"]) for r in got] == [(2, 1)] and sum(s["end"] - s["start"] for s in got[0]["spans"]) >= 110
 
 
+def test_passages_of_lines_that_earlier_documents_have(spark):
+    rng = np.random.default_rng(23)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    texts, later, at = {}, {}, 0
+    for k in range(40):
+        size = (10, 15, 20, 30)[k % 4]
+        lines = [word(size) for _ in range(60 // size)]
+        for line in lines:
+            texts[at] = word(60) + line + word(60)
+            at += 1
+        texts[at], texts[at + 1] = word(70) + sum(lines, []) + word(70), word(50) + sum(lines, []) + word(90)
+        later[at + 1] = at
+        at += 2
+    found = substring.repeated_passages(spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["source"] for r in found} == later
+    assert all(min(s["start"] for s in r["spans"]) <= 50 and max(s["end"] for s in r["spans"]) >= 110 for r in found)
+
+
 def test_cut_keeps_what_is_around():
     assert substring.cut(b"a b  c\nd e", [(1, 3)]) == b"a \nd e" and substring.cut(b"a b", [(0, 2)]) == b"" and substring.cut(b" a b c ", [(1, 2), (0, 1)]) == b"   c "
 

@@ -20,12 +20,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates, the document with the smallest id stays.
 
     Groups are those of SimHash, joined by verified links of a similarity of 0.8 in five-word shingles.
-    Of rows that repeat an id, one stays. Rows without an id can't lead a group; of those with
-    equal texts one stays.
+    Rows that repeat an id with another text, and rows without an id, take part by a key of their
+    own; rows without an id lead a group only if none in it has one. Of rows with neither id nor text one stays.
     """
-    known, unknown = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
-    first = similar.near_duplicates(known).filter("doc_id = component_id").select("doc_id").distinct()
-    return known.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unknown.dropDuplicates(["text"]))
+    repeated, _ = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated")), "repeated")
+    own = F.when(F.col("doc_id").isNull() | F.col("_repeated").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keyed = docs.filter("doc_id IS NOT NULL OR text IS NOT NULL").join(repeated, F.col("doc_id") == F.col("_repeated"), "left").withColumn("_row", own)
+    groups = similar.near_duplicates(keyed, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first")
+    first = keyed.select("_row", "doc_id").distinct().join(groups, "_row").groupBy("component_id").agg(least).select("first._row")
+    kept = keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL AND text IS NULL").dropDuplicates(["text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -556,6 +556,18 @@ def test_words_are_kept_within_a_bound():
 # pipeline
 
 
+def test_rows_that_repeat_or_lack_an_id_take_part(spark):
+    rng = np.random.default_rng(24)
+    a, b, c = ([f"w{x}" for x in rng.integers(0, 10**6, 100)] for _ in range(3))
+    near = lambda t: " ".join(["new", *t[1:]])
+    a, b, c, a2, b2, c2 = *map(" ".join, (a, b, c)), *map(near, (a, b, c))
+    rows = [(1, a), (1, b), (1, a), (2, b2), (None, a2), (None, c), (None, c2), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()]
+    third = [t for t in (c, c2) if (None, t) in got]
+    assert len(third) == 1 and sorted(got, key=repr) == sorted([(1, a), (1, b), (None, third[0]), (None, None)], key=repr)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -168,17 +168,15 @@ class NestedExpressionBuilder:
 
     def _struct(self, value: Column, kind: T.StructType, spec: Mapping[str, Any], at: str, array: Column | None) -> Column:
         made = {name: self._field(value, kind, name, entry, at, array) for name, entry in spec.items()}
-        if self.struct_mode == "select":
-            if not made:
-                raise ValueError(f"A struct needs at least one field (at '{at}').")
-            return F.when(value.isNotNull(), F.struct(*[c.alias(n) for n, c in made.items()]))
-        for name, c in made.items():
-            if spec[name] is not None:
-                made[name] = c
-        out = {n: made.get(n, value.getField(n)) for n in kind.names} | {n: c for n, c in made.items() if n not in kind.names}
-        if all(spec[n] is None for n in made):
-            return value
-        return F.when(value.isNotNull(), F.struct(*[c.alias(n) for n, c in out.items()]))
+        if self.struct_mode == "with_fields":
+            if all(entry is None for entry in spec.values()):
+                return value
+            made = {n: made.get(n, value.getField(n)) for n in kind.names} | {n: c for n, c in made.items() if n not in kind.names}
+        elif not made:
+            raise ValueError(f"A struct needs at least one field (at '{at}').")
+        # arrays whose elements are mapped, and fields that are kept, keep their size and other metadata
+        kept = {f.name: f.metadata for f in kind.fields if isinstance(spec.get(f.name), (Mapping, type(None)))}
+        return F.when(value.isNotNull(), F.struct(*[c.alias(n, metadata=kept.get(n)) for n, c in made.items()]))
 
     def _field(self, struct: Column, kind: T.StructType, name: str, spec: Any, at: str, array: Column | None) -> Column:
         there = name in kind.names

@@ -47,19 +47,22 @@ LIST_AGGREGATIONS: dict[str, Callable[[Column, T.DataType | None], Column]] = {
 }
 #: ... what comes from one hop when a further hop reduces it ...
 INTERMEDIATE_AGGREGATIONS = LIST_AGGREGATIONS | {"count": lambda v, kind: list_sum(v, T.LongType())}
-#: ... and the same over the rows of a child table, grouped by the parent's key.
-GROUP_AGGREGATIONS: dict[str, Callable[[Column], Column]] = {
-    "list": lambda c: F.transform(F.collect_list(F.struct(c.alias("v"))), lambda x: x["v"]),
-    "set": F.collect_set,
-    "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
-    "mean": F.avg,
-    "min": F.min,
-    "max": F.max,
-    "first": F.first,
-    "last": F.last,
-    "count": lambda c: F.count(F.lit(1)),
-    "single": lambda c: F.first(c, ignorenulls=True),
+#: ... and the same over the rows of a child table, grouped by the parent's key; ``order`` is a
+#: unique column that says what comes first, without it that is open.
+GROUP_AGGREGATIONS: dict[str, Callable[[Column, Column | None], Column]] = {
+    "list": lambda c, order=None: F.transform(F.collect_list(F.struct(c.alias("v"))) if order is None else F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("v")))), lambda x: x["v"]),
+    "set": lambda c, order=None: F.collect_set(c),
+    "sum": lambda c, order=None: F.coalesce(F.sum(c), F.lit(0)),
+    "mean": lambda c, order=None: F.avg(c),
+    "min": lambda c, order=None: F.min(c),
+    "max": lambda c, order=None: F.max(c),
+    "first": lambda c, order=None: F.first(c) if order is None else F.min_by(F.struct(c.alias("v")), order)["v"],
+    "last": lambda c, order=None: F.last(c) if order is None else F.max_by(F.struct(c.alias("v")), order)["v"],
+    "count": lambda c, order=None: F.count(F.lit(1)),
+    "single": lambda c, order=None: F.min(c),
 }
+#: How a further hop reduces what the hop below gave; the others apply to themselves again.
+GROUP_ON = {"count": "sum", "list": "list", "set": "list"}
 
 
 def _known(agg: str) -> str:
@@ -109,6 +112,38 @@ class Attributes(Tables):
         }
         return frame.withColumns(made) if made else frame
 
+    def roll_up(self, frame: DataFrame, *attributes: LevelAttribute, at_level: str) -> DataFrame:
+        """One row per entity of ``at_level`` with a column for each request, from a flat ``frame`` at ``attributes``' own level.
+
+        The same values as ``enrich`` of the packed frame, by grouped aggregations that go up one
+        level at a time: no child is put into an array, partial aggregation runs before each
+        exchange, and a parent of any size takes one row per task. All requests are of one level.
+        "list" and "set" are not offered here, as their result is an array of all children; "first" and
+        "last" follow the levels' ``order_by``. Ancestors' columns are kept.
+        """
+        target = self._level(at_level)
+        froms = list(dict.fromkeys(a.from_level for a in attributes))
+        if len(froms) != 1 or not self.spec.is_ancestor_of(at_level, froms[0]):
+            raise ValueError(f"roll_up takes attributes of one level below '{at_level}', not of {froms}.")
+        for a in attributes:
+            if _known(a.agg) in ("list", "set"):
+                raise ValueError(f"roll_up makes no arrays, so {a.agg!r} is not offered; enrich a packed frame.")
+        hops = self.spec.axis_of(froms[0])[len(self.spec.axis_of(at_level)) :]
+        df = self._prepared(frame)
+        names = [f"__hier_made_{i}" for i in range(len(attributes))]
+        df = df.withColumns({m: col(self.naming.qualified(self.levels[froms[0]].path, a.attribute)) for m, a in zip(names, attributes, strict=True)})
+        for number, name in enumerate(reversed(hops)):
+            level = self.levels[name]
+            keys = [k for k in level.ancestor_keys if k in df.columns]
+            above = [n for v in self.spec.axis_of(name)[:-1] for n in self.own_columns(self.levels[v], df.schema) if n not in keys]
+            by = [F.expr(o) if isinstance(o, str) else o for o in level.order_by] + [col(k) for k in level.id_columns if k in df.columns]
+            order = F.struct(*[k.alias(f"o{i}") for i, k in enumerate(by)]) if by else None
+            made = [GROUP_AGGREGATIONS[GROUP_ON.get(a.agg, a.agg) if number else a.agg](col(m), order).alias(m) for m, a in zip(names, attributes, strict=True)]
+            df = df.groupBy(*[col(k) for k in keys]).agg(*made, *[self._one(n, df.schema, self.validate_on_pack) for n in above])
+        wanted = {m: self.naming.qualified(target.path, a.alias or a.attribute) for m, a in zip(names, attributes, strict=True)}
+        out = df.select(*[col(n).alias(wanted.get(n, n)) for n in df.columns])
+        return out.select(*[col(n) for n in self.canonical_order(out.schema)])
+
     def _immediate(self, from_level: str, to_level: str, what: str) -> str:
         if self._level(from_level).parent != self._level(to_level).name:
             raise ValueError(f"{what} looks from a level at its immediate children; '{from_level}' is not a child of '{to_level}'.")
@@ -133,5 +168,3 @@ class Attributes(Tables):
         """Rows whose children all satisfy ``condition``; null and empty arrays do, a null condition doesn't."""
         path = self._immediate(from_level, to_level, "all_children_satisfy")
         return frame.filter(col(path).isNull() | F.forall(col(path), lambda x: F.coalesce(condition(x), F.lit(False))))
-
-

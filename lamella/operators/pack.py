@@ -33,6 +33,8 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[Da
 class Packing(Introspection):
     preserve_child_order: bool
     validate_on_pack: bool
+    #: Helper columns that say how rows are dealt; every fold groups by them too, so that it needs no other exchange.
+    dealt_by: tuple[str, ...] = ("__hier_bucket",)
 
     # preparation
 
@@ -47,7 +49,7 @@ class Packing(Introspection):
 
     def _finished(self, df: DataFrame) -> DataFrame:
         """Helper columns dropped, canonical order."""
-        gone = {ROW_ID, *self.spec.key_aliases}
+        gone = {ROW_ID, *self.spec.key_aliases, *self.dealt_by}
         names = [n for n in self.canonical_order(df.schema) if n not in gone]
         return df.select(*[col(n) for n in names])
 
@@ -67,8 +69,8 @@ class Packing(Introspection):
             return F.collect_list(payload)
         names = [f"{ORDER}{i}" for i in range(len(keys))] + [ROW_ID] * with_row_id
         listed = F.collect_list(F.struct(*order, payload.alias("p")))
-        if with_row_id and not any(holds_map(f.dataType) for f in schema.fields):
-            ordered = F.array_sort(listed)  # the row id is unique, so the payload is never compared
+        if not any(holds_map(f.dataType) for f in schema.fields):
+            ordered = F.array_sort(listed)  # rows of equal order follow their payload, so the result is the same in every run
         else:
 
             def compare(a: Column, b: Column) -> Column:
@@ -81,19 +83,33 @@ class Packing(Introspection):
             ordered = F.array_sort(listed, compare)
         return F.transform(ordered, lambda x: x["p"])
 
-    def _fold(self, df: DataFrame, level: Level) -> DataFrame:
-        """Rows of ``level`` become an array on their parent's rows; other columns take their first value that isn't null.
+    def _one(self, name: str, schema: T.StructType, checked: bool) -> Column:
+        """The value of an ancestor's column for a group: the first that isn't null, by row id if there is one.
+
+        If it is to be ``checked``, the least and the greatest value must agree, within the same
+        aggregation; the query fails with an error that names the column if they don't.
+        """
+        if checked and self.is_hierarchy_column(name) and not isinstance(types_of(schema)[name], T.ArrayType) and not holds_map(types_of(schema)[name]):
+            low = F.min(col(name))
+            differ = F.raise_error(F.lit(f"Column '{name}' has several values within one entity. Pass validate=False to take the first."))
+            return F.when(low.eqNullSafe(F.max(col(name))), low).otherwise(differ).alias(name)
+        if ROW_ID in schema.names:
+            return F.min_by(col(name), F.when(col(name).isNotNull(), col(ROW_ID))).alias(name)
+        return F.first(col(name), ignorenulls=True).alias(name)
+
+    def _fold(self, df: DataFrame, level: Level, checked: bool = False) -> DataFrame:
+        """Rows of ``level`` become an array on their parent's rows; other columns take one value each.
 
         Grouping keys are the ancestors' keys, so folds from the leaf up group by ever shorter
         prefixes of the same list; partial aggregation runs before each exchange.
         """
         schema = df.schema
         payload, used = self._payload(level, schema)
-        keys = [k for k in level.ancestor_keys if k in schema.names]
+        keys = [k for k in (*self.dealt_by, *level.ancestor_keys) if k in schema.names]
         rest = [n for n in schema.names if n not in used and n not in keys and n != ROW_ID]
         with_id = ROW_ID in schema.names
         aggs = [self._child_list(level, payload, schema, with_id).alias(level.path)]
-        aggs += [F.first(col(n), ignorenulls=True).alias(n) for n in rest]
+        aggs += [self._one(n, schema, checked) for n in rest]
         aggs += [F.min(ROW_ID).alias(ROW_ID)] * with_id
         return df.groupBy(*[col(k) for k in keys]).agg(*aggs)
 
@@ -101,7 +117,7 @@ class Packing(Introspection):
         """Whether anything of ``level`` or below it is a flat column."""
         return any(self.own_columns(self.levels[n], schema) for n in [level.name, *self.spec.descendants_of(level.name)])
 
-    def _folded(self, df: DataFrame, level: Level) -> DataFrame:
+    def _folded(self, df: DataFrame, level: Level, checked: bool = False) -> DataFrame:
         """Everything below ``level`` folded into it.
 
         Where several branches are flat, rows are their cross product; each branch is then cut
@@ -110,21 +126,21 @@ class Packing(Introspection):
         flat = [self.levels[c] for c in level.children if self._flat(self.levels[c], df.schema)]
         if len(flat) < 2:
             for child in flat:
-                df = self._folded(df, child)
+                df = self._folded(df, child, checked)
                 if self.own_columns(child, df.schema):
-                    df = self._fold(df, child)
+                    df = self._fold(df, child, checked)
             return df
-        keys = [k for k in level.keys if k in df.columns]
+        keys = [k for k in (*self.dealt_by, *level.keys) if k in df.columns]
         branches = {c.name: [n for n in df.columns if n == c.path or n.startswith(c.prefix)] for c in flat}
         crossed = {n for names in branches.values() for n in names}
         rest = [n for n in df.columns if n not in crossed and n not in keys and n != ROW_ID]
         first = [F.min(ROW_ID).alias(ROW_ID)] * (ROW_ID in df.columns)
-        out = df.groupBy(*[col(k) for k in keys]).agg(*[F.first(col(n), ignorenulls=True).alias(n) for n in rest], *first)
+        out = df.groupBy(*[col(k) for k in keys]).agg(*[self._one(n, df.schema, checked) for n in rest], *first)
         for child in flat:
             own = [*keys, *branches[child.name]]
             plain = df.select(*[col(n) for n in own], *[col(ROW_ID)] * bool(first))
             single = plain.groupBy(*[col(n) for n in own]).agg(*first) if first else plain.distinct()
-            nested = self._fold(self._folded(single, child), child).drop(ROW_ID)
+            nested = self._fold(self._folded(single, child, checked), child, checked).drop(ROW_ID)
             right, on = null_safe_on(out, nested, keys)
             out = out.join(right, on, "left").drop(*[f"__hier_right_{k}" for k in keys])
         return out
@@ -136,14 +152,16 @@ class Packing(Introspection):
         *,
         extra_columns: Literal["preserve", "drop", "error"] = "preserve",
         parent_strategy: Literal["aggregate", "split_join"] = "aggregate",
-        validate: bool = False,
+        validate: bool | None = None,
         co_locate: bool = False,
     ) -> DataFrame:
         """One row per entity of ``at_level``; everything below nested, it and its ancestors flat.
 
         ``parent_strategy="split_join"`` keeps root attributes out of the folds: they are
-        deduplicated by root key and joined back. ``validate`` runs ``check_uniform`` first (an
-        action). ``co_locate`` deals rows by root key once, so that no fold shuffles again; of
+        deduplicated by root key and joined back. ``validate`` (``validate_on_pack`` if None) lets the
+        folds themselves compare the values of ancestors' columns: nothing runs now, and reading a
+        column that varies within an entity fails. ``check_uniform`` raises at once, by a job.
+        Without it such a column has its first value that isn't null. ``co_locate`` deals rows by root key once, so that no fold shuffles again; of
         use when roots are many. A frame coarser than ``at_level`` comes back as it is.
         """
         level = self._level(at_level)
@@ -158,19 +176,18 @@ class Packing(Introspection):
             raise HierarchyValidationError(f"Columns {extras} are not part of the hierarchy.", details={"extra_columns": extras})
         if extras and extra_columns == "drop":
             df = df.drop(*extras)
-        if validate:
-            self.check_uniform(df, at_level)
+        checked = self.validate_on_pack if validate is None else validate
         root = self.levels[self.spec.root]
         root_keys = [k for k in root.id_columns if k in df.columns]
         attributes = [n for n in self.own_columns(root, df.schema) if n not in root_keys]
         if co_locate and root_keys:
             df = df.repartition(*[col(k) for k in root_keys])
         if parent_strategy == "split_join" and root_keys and attributes:
-            dimension = df.groupBy(*[col(k) for k in root_keys]).agg(*[F.first(col(n), ignorenulls=True).alias(n) for n in attributes])
+            dimension = df.groupBy(*[col(k) for k in root_keys]).agg(*[self._one(n, df.schema, checked) for n in attributes])
             right, on = null_safe_on(df, dimension, root_keys)
-            folded = self._folded(df.drop(*attributes), level)
+            folded = self._folded(df.drop(*attributes), level, checked)
             return self._finished(folded.join(right, on, "left").drop(*[f"__hier_right_{k}" for k in root_keys]))
-        return self._finished(self._folded(df, level))
+        return self._finished(self._folded(df, level, checked))
 
     def check_uniform(self, frame: DataFrame, at_level: str) -> None:
         """Raises if a column of ``at_level`` or above has several values within one of its entities. One aggregation per level, no row leaves it."""
@@ -225,7 +242,7 @@ class Packing(Introspection):
         if not keys:
             return []
         counts = frame.agg(*[F.count_if(col(k).isNull()).alias(f"__null_count_{i}") for i, (_, k) in enumerate(keys)]).first()
-        errors = [HierarchyValidationError(f"Key column '{k}' contains {counts[i]} null values.", level=v.name, details={"column": k, "null_count": counts[i]}) for i, (v, k) in enumerate(keys) if counts[i]]
+        errors = [HierarchyValidationError(f"'{k}' is null in {counts[i]} rows, which so belong to no entity.", level=v.name, details={"column": k, "null_count": counts[i]}) for i, (v, k) in enumerate(keys) if counts[i]]
         if errors and raise_on_error:
             raise errors[0]
         return errors

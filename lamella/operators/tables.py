@@ -195,5 +195,3 @@ class Tables(Packing):
 
         deep = any(f.name in level.children for f in struct.fields)
         return F.coalesce(F.transform(value, each) if deep else value, F.array(self._absent(level, struct)).cast(kind))
-
-

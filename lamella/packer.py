@@ -13,17 +13,13 @@ class HierarchicalPacker(Bounded):
 
     ``preserve_child_order`` keeps input order within parents: a row id is taken over the input
     as it is read, so give ``order_by`` on levels for an order that doesn't depend on files.
-    ``validate_on_pack`` makes ``pack`` check that ancestors' columns agree; it runs a job.
+    ``validate_on_pack`` lets ``pack`` check, within its folds, that ancestors' columns agree.
     """
 
-    def __init__(self, spec: HierarchySpec, *, granularity_separator: str = ".", escape_char: str = "\\", preserve_child_order: bool = True, validate_on_pack: bool = False):
+    def __init__(self, spec: HierarchySpec, *, granularity_separator: str = ".", escape_char: str = "\\", preserve_child_order: bool = True, validate_on_pack: bool = True):
         self.spec = spec
         self.naming = Naming(granularity_separator, escape_char)
         self.preserve_child_order, self.validate_on_pack = preserve_child_order, validate_on_pack
         self._resolve()
 
-    def pack(self, frame, at_level, **options):
-        return super().pack(frame, at_level, **({"validate": self.validate_on_pack} | options))
-
-    pack.__doc__ = Bounded.pack.__doc__
     discover_levels = staticmethod(discover_levels)

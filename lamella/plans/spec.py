@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import warnings
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -34,12 +33,22 @@ Selector = str | Column | Computed
 
 def named(selector: Selector) -> Computed | str:
     """A selector as a name or a ``Computed``; a bare column must carry an alias."""
-    if isinstance(selector, Column):
-        m = re.search(r" AS (.+)'>$", repr(selector))
-        if not m:
-            raise ValueError(f"{selector!r} needs an alias to be referenced by.")
-        return Computed(m[1].strip("`"), selector)
-    return selector
+    if not isinstance(selector, Column):
+        return selector
+    names = _names_of(selector)
+    if len(names) != 1:
+        raise ValueError(f"{selector!r} needs an alias to be referenced by.")
+    return Computed(names[0], selector)
+
+
+def _names_of(column: Column) -> list[str]:
+    """The names that a column gives itself, by its expression: one for an alias, none for any other."""
+    if not hasattr(column, "_jc"):  # of a remote session
+        return list(getattr(column._expr, "_alias", ()))
+    node = column._jc.node()
+    if node.getClass().getSimpleName() != "Alias":
+        return []
+    return [node.name().apply(k) for k in range(node.name().size())]
 
 
 @dataclass(frozen=True)
@@ -95,44 +104,41 @@ class HierarchySpec:
     def __post_init__(self):
         names = [level.name for level in self.levels]
         if not names:
-            raise ValueError("A hierarchy needs at least one level.")
-        if len(set(names)) < len(names):
-            raise ValueError(f"Level names must be unique: {names}.")
+            raise ValueError("No levels were given; a tree begins with its root.")
+        twice = sorted({n for n in names if names.count(n) > 1})
+        if twice:
+            raise ValueError(f"{twice} name more than one level.")
         if self.key_aliases:
-            warnings.warn("key_aliases is deprecated; give computed id_fields instead.", DeprecationWarning, stacklevel=3)
+            warnings.warn("key_aliases will go; a computed id field says the same.", DeprecationWarning, stacklevel=3)
         first, *others = self.levels
         if first.parent is not None:
-            raise ValueError(f"The root level '{first.name}' cannot have a parent.")
+            raise ValueError(f"'{first.name}' stands first and so is the root, but names '{first.parent}' as its parent.")
         given = [level.name for level in others if level.parent is not None]
         if given and len(given) < len(others):
-            raise ValueError(f"Declare parent on every level below the root or on none; only {given} have one.")
+            raise ValueError(f"Of the levels below the root only {given} name a parent; name all or, for a chain, none.")
         seen = {first.name}
         parents: dict[str, str | None] = {first.name: None}
         for before, level in zip(self.levels, others, strict=False):
             parent = level.parent or before.name
-            if parent == level.name:
-                raise ValueError(f"Level '{level.name}' cannot be its own parent.")
-            if parent not in names:
-                raise ValueError(f"Level '{level.name}' has an unknown parent '{parent}'.")
             if parent not in seen:
-                raise ValueError(f"Level '{level.name}' is declared before its parent '{parent}'.")
+                why = "itself" if parent == level.name else "declared after it" if parent in names else "no level"
+                raise ValueError(f"The parent of '{level.name}', '{parent}', is {why}; a parent stands before its children.")
             seen.add(level.name)
             parents[level.name] = parent
         object.__setattr__(self, "_parents", parents)
 
     @classmethod
-    def from_levels(cls, levels: Iterable[LevelSpec], key_aliases: Mapping[str, str] | None = None) -> HierarchySpec:
-        """As the constructor, and checks foreign keys against the parents' ids."""
-        spec = cls(tuple(levels), key_aliases or {})
+    def from_levels(cls, *levels: LevelSpec | Iterable[LevelSpec], key_aliases: Mapping[str, str] | None = None) -> HierarchySpec:
+        """From levels, one after another or in one list; foreign keys must pair with the parents' ids."""
+        listed = [one for given in levels for one in ([given] if isinstance(given, LevelSpec) else given)]
+        spec = cls(tuple(listed), key_aliases or {})
         for level in spec.levels:
-            parent = spec.parent_of(level.name)
-            if not level.parent_keys:
-                continue
-            if parent is None:
-                raise ValueError(f"The root level '{level.name}' cannot have parent_keys.")
-            ids = spec.level(parent).id_fields
-            if len(level.parent_keys) != len(ids):
-                raise ValueError(f"Level '{level.name}' has {len(level.parent_keys)} parent_keys for {len(ids)} id_fields of '{parent}'.")
+            links, parent = list(level.parent_keys or ()), spec.parent_of(level.name)
+            if links and parent is None:
+                raise ValueError(f"'{level.name}' is the root; its parent_keys {links} lead nowhere.")
+            ids = list(spec.level(parent).id_fields) if links else []
+            if len(links) != len(ids):
+                raise ValueError(f"parent_keys {links} of '{level.name}' do not pair with {len(ids)} id_fields of '{parent}'.")
         return spec
 
     def _known(self, name: str) -> str:

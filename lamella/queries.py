@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.fields import apply_nested_operations, field, generate_nested_exprs, when
-from lamella.functions.flatten import convert_schema, unnest_all, unnest_rename
+from lamella.functions.flatten import FIXED_SIZE, convert_schema, unnest_all, unnest_rename
 from lamella.operators.attributes import GROUP_AGGREGATIONS
 from lamella.operators.view import HierarchyView
 from lamella.packer import HierarchicalPacker
 from lamella.plans.naming import col, q
 from lamella.plans.schema import discover_levels
-from lamella.plans.spec import Computed, HierarchySpec, LevelAttribute, LevelSpec
+from lamella.plans.spec import Computed, HierarchySpec, HierarchyValidationError, LevelAttribute, LevelSpec
+from lamella.sources.scratch import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +36,16 @@ TREE = HierarchicalPacker(
     ),
     preserve_child_order=False,
 )
+SALES = HierarchicalPacker(
+    HierarchySpec.from_levels(
+        LevelSpec("customer", ["c_custkey"]),
+        LevelSpec("orders", ["o_orderkey"], order_by=[q("customer.orders.o_orderkey")], parent_keys=["o_custkey"]),
+        LevelSpec("lineitem", ["l_linenumber"], required_fields=["l_linenumber"], order_by=[q("customer.orders.lineitem.l_linenumber")], parent_keys=["l_orderkey"]),
+    ),
+    preserve_child_order=False,
+)
+S_O, S_L = "customer.orders", "customer.orders.lineitem"
+S_CK, S_OK = "customer.c_custkey", "customer.orders.o_orderkey"
 TALK = HierarchicalPacker(
     HierarchySpec.from_levels([LevelSpec("conversation", ["conv_id"]), LevelSpec("turn", ["turn"], order_by=[q("conversation.turn.turn")])]),
     preserve_child_order=False,
@@ -61,7 +71,7 @@ def sources(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFram
 
 
 def level_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """Per-level tables with ancestors' keys, as a view holds them."""
+    """Per-level tables with ancestors' keys, as a view holds them. Parents are dimensions, whose keys alone are joined."""
     out: dict[str, DataFrame] = {}
     for name in names:
         level = TREE.levels[name]
@@ -88,6 +98,15 @@ def orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.join(orders.withColumnRenamed(f"{O}.o_custkey", "__link"), col(CK) == F.col("__link"), "left").drop("__link")
 
 
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat: a row for each line of an order, with its order and customer."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(S_CK), F.col("c_name").alias("customer.c_name"), F.col("c_mktsegment").alias("customer.c_mktsegment"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("__c"), F.col("o_orderkey").alias(S_OK), F.col("o_totalprice").alias(f"{S_O}.o_totalprice"))
+    kept = ("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("__o"), *[F.col(n).alias(f"{S_L}.{n}") for n in kept])
+    return lines.join(o, F.col("__o") == col(S_OK)).join(c, F.col("__c") == col(S_CK)).drop("__o", "__c")
+
+
 def view(spark: SparkSession, sf_dir: str, *names: str, **options) -> HierarchyView:
     return HierarchyView.from_tables(level_tables(spark, sf_dir, *names), TREE, **options)
 
@@ -105,6 +124,7 @@ def cents(c: str | Column, digits: int = 2) -> Column:
     return F.round((col(c) if isinstance(c, str) else c).cast("double"), digits)
 
 
+SALE = "customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey"
 CUSTOMERS = "region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey"
 
 
@@ -117,11 +137,14 @@ def H1_pack(spark, sf_dir):
     return packed.select(long(NK).alias("nation_key"), col(f"{R}.r_name").alias("region_name"), long(F.size(col(CU))).alias("n_customers"), cents(TREE.attribute_expr("c_acctbal", from_level="customer", to_level="nation", agg="sum")).alias("total"))
 
 
-@query(f"SELECT r_regionkey::BIGINT AS region_key, n_nationkey::BIGINT AS nation_key, min(c_custkey)::BIGINT AS first_customer, max(c_custkey)::BIGINT AS last_customer, count(*)::BIGINT AS n FROM {CUSTOMERS} GROUP BY 1, 2")
+@query(
+    "SELECT c_custkey::BIGINT AS customer_key, o_orderkey::BIGINT AS order_key, min(l_linenumber)::BIGINT AS first_line, max(l_linenumber)::BIGINT AS last_line, count(*)::BIGINT AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"
+)
 def H2_fold_order(spark, sf_dir):
-    nested = TREE.pack(customers(spark, sf_dir), "region").select(col(RK).alias("k"), F.explode(col(N)).alias("n"))
-    inner = F.col("n.customer")
-    return nested.select(long("k").alias("region_key"), long(F.col("n.n_nationkey")).alias("nation_key"), long(F.get(inner, F.lit(0))["c_custkey"]).alias("first_customer"), long(F.try_element_at(inner, F.lit(-1))["c_custkey"]).alias("last_customer"), long(F.size(inner)).alias("n"))
+    """Two folds below a root of many keys: lines by number within orders within customers."""
+    nested = SALES.pack(sales(spark, sf_dir), "customer").select(col(S_CK).alias("k"), F.explode(col(S_O)).alias("o"))
+    inner = F.col("o.lineitem")
+    return nested.select(long("k").alias("customer_key"), long(F.col("o.o_orderkey")).alias("order_key"), long(F.get(inner, F.lit(0))["l_linenumber"]).alias("first_line"), long(F.try_element_at(inner, F.lit(-1))["l_linenumber"]).alias("last_line"), long(F.size(inner)).alias("n"))
 
 
 @query("SELECT * FROM (VALUES (0::BIGINT, 'region.r_regionkey'), (1, 'region.r_name'), (2, 'region.nation.n_nationkey'), (3, 'region.nation.n_name'), (4, 'region.nation.customer')) t(place, name)")
@@ -136,11 +159,11 @@ def H4_struct_field_order(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(packed.schema[N].dataType.elementType.names)), "place long, name string")
 
 
-@query(f"SELECT r_regionkey::BIGINT AS region_key, any_value(r_name) AS region_name, count(DISTINCT n_nationkey)::BIGINT AS n_nations, count(*)::BIGINT AS n_customers FROM {CUSTOMERS} GROUP BY 1")
+@query(f"SELECT c_custkey::BIGINT AS customer_key, any_value(c_name) AS customer_name, count(DISTINCT o_orderkey)::BIGINT AS n_orders, count(*)::BIGINT AS n_lines FROM {SALE} GROUP BY 1")
 def H5_split_join(spark, sf_dir):
-    packed = TREE.pack(customers(spark, sf_dir), "region", parent_strategy="split_join")
-    count = TREE.attribute_expr("c_custkey", from_level="customer", to_level="region", agg="count")
-    return packed.select(long(RK).alias("region_key"), col(f"{R}.r_name").alias("region_name"), long(F.size(col(N))).alias("n_nations"), long(count).alias("n_customers"))
+    packed = SALES.pack(sales(spark, sf_dir), "customer", parent_strategy="split_join")
+    count = SALES.attribute_expr("l_linenumber", from_level="lineitem", to_level="customer", agg="count")
+    return packed.select(long(S_CK).alias("customer_key"), col("customer.c_name").alias("customer_name"), long(F.size(col(S_O))).alias("n_orders"), long(count).alias("n_lines"))
 
 
 SIZES_SQL = "SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY 1"
@@ -163,7 +186,11 @@ def H8_pack_streaming_hash(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), s AS (SELECT conv_id, n, coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, (SELECT ceil(count(*) / 8.0) FROM conversations) AS share FROM c) SELECT floor(b / share)::BIGINT AS bucket, count(*)::BIGINT AS n_entities, sum(n)::BIGINT AS n_rows FROM s GROUP BY 1"
+    """WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY conv_id) AS k, count(*) AS n FROM conversations GROUP BY conv_id),
+walk AS (SELECT k, n, 0 AS bucket, n AS filled FROM c WHERE k = 1 UNION ALL
+ SELECT c.k, c.n, CASE WHEN filled + c.n > share THEN bucket + 1 ELSE bucket END, CASE WHEN filled + c.n > share THEN c.n ELSE filled + c.n END
+ FROM walk JOIN c ON c.k = walk.k + 1, (SELECT ceil(count(*) / 8.0) AS share FROM conversations))
+SELECT bucket::BIGINT AS bucket, count(*)::BIGINT AS n_entities, sum(n)::BIGINT AS n_rows FROM walk GROUP BY 1"""
 )
 def H7_balanced_buckets(spark, sf_dir):
     dealt = TALK.balanced_buckets(talks(spark, sf_dir), 8)
@@ -172,8 +199,13 @@ def H7_balanced_buckets(spark, sf_dir):
 
 @query("SELECT conv_id::BIGINT AS conv_id, row_number() OVER (ORDER BY conv_id)::BIGINT AS place FROM (SELECT DISTINCT conv_id FROM conversations)")
 def H9_sorted_output(spark, sf_dir):
-    packed = TALK.pack_streaming(talks(spark, sf_dir), "conversation", partitions=8).select(long("conversation.conv_id").alias("conv_id"))
-    return packed.withColumn("place", F.row_number().over(Window.orderBy("conv_id")).cast("long"))
+    """``place`` is where a conversation stands in the files, taken in the order of their names: rows of files before, and in its own."""
+    folder = new_path(spark, "sorted")
+    packed = TALK.pack_streaming(talks(spark, sf_dir), "conversation", partitions=8, tmp_dir=folder, defer=False)
+    placed = packed.select(long("conversation.conv_id").alias("conv_id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = placed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("one").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over a row per file
+    return placed.join(F.broadcast(files.withColumn("before", before)), "file").select("conv_id", (F.col("before") + F.col("row") + 1).alias("place"))
 
 
 CUSTOMER_ROWS = f"SELECT r_name AS region_name, n_name AS nation_name, c_custkey::BIGINT AS customer_key, c_acctbal AS balance FROM {CUSTOMERS}"
@@ -183,9 +215,16 @@ def _customer_rows(flat: DataFrame) -> DataFrame:
     return flat.select(col(f"{R}.r_name").alias("region_name"), col(f"{N}.n_name").alias("nation_name"), long(CK).alias("customer_key"), col(BAL).alias("balance"))
 
 
-@query(CUSTOMER_ROWS)
+LINE_ROWS = f"SELECT c_custkey::BIGINT AS customer_key, o_orderkey::BIGINT AS order_key, l_linenumber::BIGINT AS line, l_quantity AS quantity FROM {SALE}"
+
+
+def _line_rows(flat: DataFrame) -> DataFrame:
+    return flat.select(long(S_CK).alias("customer_key"), long(S_OK).alias("order_key"), long(f"{S_L}.l_linenumber").alias("line"), col(f"{S_L}.l_quantity").alias("quantity"))
+
+
+@query(LINE_ROWS)
 def H10_unpack(spark, sf_dir):
-    return _customer_rows(TREE.unpack(TREE.pack(customers(spark, sf_dir), "region"), "customer"))
+    return _line_rows(SALES.unpack(SALES.pack(sales(spark, sf_dir), "customer"), "lineitem"))
 
 
 @query("SELECT c_custkey::BIGINT AS customer_key, o_orderkey::BIGINT AS order_key FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
@@ -194,16 +233,35 @@ def H11_explode_outer(spark, sf_dir):
     return TREE.unpack(packed, "orders").select(long(CK).alias("customer_key"), long(OK).alias("order_key"))
 
 
-@query(CUSTOMER_ROWS)
+@query(LINE_ROWS)
 def H12_unpack_streaming(spark, sf_dir):
-    return _customer_rows(TREE.unpack_streaming(TREE.pack(customers(spark, sf_dir), "region"), "customer"))
+    return _line_rows(SALES.unpack_streaming(SALES.pack(sales(spark, sf_dir), "customer"), "lineitem"))
+
+
+@query(LINE_ROWS)
+def S7_unpack_to_a_path(spark, sf_dir):
+    packed = SALES.pack(sales(spark, sf_dir), "customer")
+    return _line_rows(SALES.unpack_streaming(packed, "lineitem", sink_path=new_path(spark, "unpacked")))
+
+
+@query(SIZES_SQL)
+def S3_pack_from_a_path(spark, sf_dir):
+    _, path = written(talks(spark, sf_dir), "talks")
+    return _talk_sizes(TALK.pack_streaming(path, "conversation", partitions=4, spark=spark))
+
+
+@query(SIZES_SQL)
+def S6_bucket_results(spark, sf_dir):
+    """Two calls with one folder: each has files of its own."""
+    folder = new_path(spark, "results")
+    first, _ = (TALK.pack_streaming(talks(spark, sf_dir), "conversation", partitions=4, tmp_dir=folder, defer=False) for _ in range(2))
+    return _talk_sizes(first)
 
 
-@query("SELECT 'region' AS level, count(*)::BIGINT AS n FROM region UNION ALL SELECT 'nation', count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'customer', count(*) FROM customer")
+@query(f"WITH s AS (SELECT * FROM {SALE}) SELECT 'customer' AS level, count(DISTINCT c_custkey)::BIGINT AS n FROM s UNION ALL SELECT 'orders', count(DISTINCT o_orderkey) FROM s UNION ALL SELECT 'lineitem', count(*) FROM s")
 def H13_split_levels(spark, sf_dir):
-    parts = TREE.split_levels(TREE.pack(customers(spark, sf_dir), "region"))
-    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("level"), "n") for name, t in parts.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    packed, _ = written(SALES.pack(sales(spark, sf_dir), "customer"), "packed")  # every level's table reads it
+    return _counts(SALES.split_levels(packed))
 
 
 @query("SELECT * FROM (VALUES ('customer')) t(level)")
@@ -212,6 +270,14 @@ def H14_granularity(spark, sf_dir):
     return spark.createDataFrame([(n,) for n, v in TREE.levels.items() if TREE.is_at_granularity(v, flat.schema) and TREE.own_columns(v, flat.schema)], "level string")
 
 
+@query(f"SELECT DISTINCT c_custkey::BIGINT AS customer_key, o_orderkey::BIGINT AS order_key, o_totalprice AS price FROM {SALE}")
+def A5_distinct_by_key(spark, sf_dir):
+    """A frame finer than the level: its rows become one per key, the first by row id."""
+    p = HierarchicalPacker(SALES.spec)
+    orders = p.split_levels(sales(spark, sf_dir))["orders"]
+    return orders.select(long(S_CK).alias("customer_key"), long(S_OK).alias("order_key"), col(f"{S_O}.o_totalprice").alias("price"))
+
+
 @query(f"SELECT DISTINCT n_nationkey::BIGINT AS nation_key, r_regionkey::BIGINT AS region_key, n_name AS nation_name FROM {CUSTOMERS}")
 def H15_normalize(spark, sf_dir):
     return TREE.normalize(customers(spark, sf_dir))["nation"].select(long(NK).alias("nation_key"), long(RK).alias("region_key"), col(f"{N}.n_name").alias("nation_name"))
@@ -226,6 +292,42 @@ def H16_denormalize_branches(spark, sf_dir):
     return nested.select(long(NK).alias("nation_key"), long(size(CU)).alias("n_customers"), long(size(SU)).alias("n_suppliers"))
 
 
+@query(f"SELECT c_custkey::BIGINT AS customer_key, (SELECT count(*) FROM supplier WHERE s_nationkey = c_nationkey)::BIGINT AS n_suppliers, n_name AS nation_name FROM {CUSTOMERS}")
+def J3_branches_off_the_axis(spark, sf_dir):
+    """Customers with their ancestors and, nested, the suppliers of their nation."""
+    made = TREE.denormalize(level_tables(spark, sf_dir, "region", "nation", "customer", "supplier"), at_level="customer")
+    return made.select(long(CK).alias("customer_key"), long(F.coalesce(F.size(col(SU)), F.lit(0))).alias("n_suppliers"), col(f"{N}.n_name").alias("nation_name"))
+
+
+@query("SELECT conv_id::BIGINT AS conv_id, max(turn)::BIGINT AS first_turn, min(turn)::BIGINT AS last_turn FROM conversations GROUP BY 1")
+def H20_row_id_keeps_input_order(spark, sf_dir):
+    """Children without an ``order_by`` stand as the rows came: here by falling number."""
+    p = HierarchicalPacker(HierarchySpec.from_levels(LevelSpec("conversation", ["conv_id"]), LevelSpec("turn", ["turn"])))
+    flat = talks(spark, sf_dir).orderBy(col("conversation.conv_id"), col("conversation.turn.turn").desc())
+    turns = col("conversation.turn")
+    return p.pack(flat, "conversation").select(long("conversation.conv_id").alias("conv_id"), long(F.get(turns, F.lit(0))["turn"]).alias("first_turn"), long(F.try_element_at(turns, F.lit(-1))["turn"]).alias("last_turn"))
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE n_nationkey END::BIGINT AS nation_key, min(CASE WHEN c_custkey % 2 = 0 THEN n_name END) AS name, count(*)::BIGINT AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1 HAVING nation_key IS NOT NULL")
+def A3_first_that_is_not_null(spark, sf_dir):
+    """An attribute with gaps takes its value where there is one; a null root key is an entity too, which is left out here as its names vary."""
+    flat = customers(spark, sf_dir).withColumn(f"{N}.n_name", F.when(col(CK) % 2 == 0, col(f"{N}.n_name"))).withColumn(NK, F.when(col(CK) % 3 != 0, col(NK)))
+    packed = TREE.pack(flat.drop(*[c for c in flat.columns if c.startswith(f"{R}.r_name")]), "nation", validate=False)
+    return packed.filter(col(NK).isNotNull()).groupBy(long(NK).alias("nation_key")).agg(F.min(col(f"{N}.n_name")).alias("name"), F.sum(F.size(col(CU))).cast("long").alias("n"))
+
+
+@query(f"SELECT 'region.r_name' AS name, count(*)::BIGINT AS n FROM (SELECT r_regionkey FROM {CUSTOMERS} GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1)")
+def A4_uniformity(spark, sf_dir):
+    """Regions whose name, replaced by customers' segments, has several values."""
+    flat = customers(spark, sf_dir).withColumn(f"{R}.r_name", col(f"{CU}.c_mktsegment"))
+    try:
+        TREE.check_uniform(flat, "region")
+        found = {}
+    except HierarchyValidationError as e:
+        found = e.details["non_uniform"]
+    return spark.createDataFrame(list(found.items()), "name string, n long")
+
+
 @query("SELECT c_custkey::BIGINT AS customer_key, greatest(count(o_orderkey), 1)::BIGINT AS n_rows, min(o_orderkey)::BIGINT AS first_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def H18_build_from_tables(spark, sf_dir):
     built = TREE.build_from_tables(sources(spark, sf_dir, "region", "nation", "customer", "orders"), at_level="customer")
@@ -260,45 +362,57 @@ def H22_extra_columns(spark, sf_dir):
 
 # attributes
 
-TEN = ("sum", "mean", "min", "max", "count", "first", "last")
-TEN_SQL = """round(sum(c_acctbal), 2) AS v_sum, round(avg(c_acctbal), 4) AS v_mean, min(c_acctbal) AS v_min, max(c_acctbal) AS v_max,
+TEN = ("sum", "mean", "min", "max", "count", "first", "last", "single")
+TEN_SQL = """min(CASE WHEN c_custkey % 4 = 0 THEN n_nationkey END)::DOUBLE AS v_single, round(sum(c_acctbal), 2) AS v_sum, round(avg(c_acctbal), 4) AS v_mean, min(c_acctbal) AS v_min, max(c_acctbal) AS v_max,
  count(*)::DOUBLE AS v_count, first(c_acctbal ORDER BY c_custkey) AS v_first, last(c_acctbal ORDER BY c_custkey) AS v_last, count(DISTINCT c_mktsegment)::BIGINT AS v_set, count(*)::BIGINT AS v_list"""
 
 
 @query(f"SELECT n_nationkey::BIGINT AS nation_key, {TEN_SQL} FROM {CUSTOMERS} GROUP BY 1")
 def A12_list_aggregations(spark, sf_dir):
-    packed = TREE.pack(customers(spark, sf_dir), "nation")
+    """"single" is of a field that has the nation's key for some customers and nulls for others."""
+    packed = TREE.pack(customers(spark, sf_dir).withColumn(f"{CU}.mark", F.when(col(CK) % 4 == 0, col(NK))), "nation")
 
     def of(name: str, agg: str) -> Column:
         return TREE.attribute_expr(name, from_level="customer", to_level="nation", agg=agg, schema=packed)
 
-    made = [F.round(of("c_acctbal", a).cast("double"), 4 if a == "mean" else 2).alias(f"v_{a}") for a in TEN]
+    made = [F.round(of("mark" if a == "single" else "c_acctbal", a).cast("double"), 4 if a == "mean" else 2).alias(f"v_{a}") for a in TEN]
     return packed.select(long(NK).alias("nation_key"), *made, long(F.size(of("c_mktsegment", "set"))).alias("v_set"), long(F.size(of("c_acctbal", "list"))).alias("v_list"))
 
 
 @query(
-    f"SELECT n_nationkey::BIGINT AS nation_key, round(sum(c_acctbal), 2) AS v_sum, round(avg(c_acctbal), 4) AS v_mean, min(c_acctbal) AS v_min, max(c_acctbal) AS v_max, count(*)::BIGINT AS v_count, count(DISTINCT c_mktsegment)::BIGINT AS v_set, count(*)::BIGINT AS v_list FROM {CUSTOMERS} GROUP BY 1"
+    f"SELECT n_nationkey::BIGINT AS nation_key, round(sum(c_acctbal), 2) AS v_sum, round(avg(c_acctbal), 4) AS v_mean, min(c_acctbal) AS v_min, max(c_acctbal) AS v_max, count(*)::BIGINT AS v_count, count(DISTINCT c_mktsegment)::BIGINT AS v_set, count(*)::BIGINT AS v_list, first(c_acctbal ORDER BY c_custkey) AS v_first, last(c_acctbal ORDER BY c_custkey) AS v_last, any_value(n_name) AS v_single FROM {CUSTOMERS} GROUP BY 1"
 )
 def A11_group_aggregations(spark, sf_dir):
     g = GROUP_AGGREGATIONS
-    made = customers(spark, sf_dir).groupBy(col(NK)).agg(*[g[a](col(BAL)).alias(a) for a in ("sum", "mean", "min", "max", "count", "list")], g["set"](col(f"{CU}.c_mktsegment")).alias("set"))
-    return made.select(long(NK).alias("nation_key"), cents("sum").alias("v_sum"), cents("mean", 4).alias("v_mean"), F.col("min").alias("v_min"), F.col("max").alias("v_max"), long("count").alias("v_count"), long(F.size("set")).alias("v_set"), long(F.size("list")).alias("v_list"))
+    plain = [g[a](col(BAL), col(CK)).alias(a) for a in ("sum", "mean", "min", "max", "count", "list", "first", "last")]
+    made = customers(spark, sf_dir).groupBy(col(NK)).agg(*plain, g["set"](col(f"{CU}.c_mktsegment")).alias("set"), g["single"](col(f"{N}.n_name")).alias("v_single"))
+    return made.select(F.col("first").alias("v_first"), F.col("last").alias("v_last"), "v_single", long(NK).alias("nation_key"), cents("sum").alias("v_sum"), cents("mean", 4).alias("v_mean"), F.col("min").alias("v_min"), F.col("max").alias("v_max"), long("count").alias("v_count"), long(F.size("set")).alias("v_set"), long(F.size("list")).alias("v_list"))
 
 
 @query(
-    f"WITH n AS (SELECT r_regionkey, n_nationkey, sum(c_acctbal) s, avg(c_acctbal) m, count(*) c FROM {CUSTOMERS} GROUP BY 1, 2) SELECT r_regionkey::BIGINT AS region_key, round(sum(s), 2) AS total, round(avg(m), 4) AS mean_of_means, sum(c)::BIGINT AS n FROM n GROUP BY 1"
+    f"WITH o AS (SELECT c_custkey, o_orderkey, sum(l_quantity) s, avg(l_quantity) m, count(*) c FROM {SALE} GROUP BY 1, 2) SELECT c_custkey::BIGINT AS customer_key, round(sum(s), 2) AS total, round(avg(m), 4) AS mean_of_means, sum(c)::BIGINT AS n FROM o GROUP BY 1"
 )
 def A13_attribute_over_hops(spark, sf_dir):
-    packed = TREE.pack(customers(spark, sf_dir), "region")
-    of = lambda a: TREE.attribute_expr("c_acctbal", from_level="customer", to_level="region", agg=a)
-    return packed.select(long(RK).alias("region_key"), cents(of("sum")).alias("total"), cents(of("mean"), 4).alias("mean_of_means"), long(of("count")).alias("n"))
+    packed = SALES.pack(sales(spark, sf_dir), "customer")
+    of = lambda a: SALES.attribute_expr("l_quantity", from_level="lineitem", to_level="customer", agg=a)
+    return packed.select(long(S_CK).alias("customer_key"), cents(of("sum")).alias("total"), cents(of("mean"), 4).alias("mean_of_means"), long(of("count")).alias("n"))
+
+
+@query(
+    f"WITH n AS (SELECT r_regionkey, any_value(r_name) AS r_name, n_nationkey, sum(c_acctbal) s, avg(c_acctbal) m, count(*) c, max(c_acctbal) x, first(c_acctbal ORDER BY c_custkey) f FROM {CUSTOMERS} GROUP BY 1, 3) SELECT r_regionkey::BIGINT AS region_key, any_value(r_name) AS region_name, round(sum(s), 2) AS total, round(avg(m), 4) AS mean_of_means, sum(c)::BIGINT AS n, max(x) AS best, first(f ORDER BY n_nationkey) AS first_balance FROM n GROUP BY 1"
+)
+def A13_roll_up(spark, sf_dir):
+    """The same reductions without arrays, for a root of few keys."""
+    wanted = [LevelAttribute("c_acctbal", "customer", a, a) for a in ("sum", "mean", "count", "max", "first")]
+    made = TREE.roll_up(customers(spark, sf_dir), *wanted, at_level="region")
+    return made.select(long(RK).alias("region_key"), col(f"{R}.r_name").alias("region_name"), cents("region.sum").alias("total"), cents("region.mean", 4).alias("mean_of_means"), long("region.count").alias("n"), col("region.max").alias("best"), col("region.first").alias("first_balance"))
 
 
-@query(f"SELECT r_regionkey::BIGINT AS region_key, max(c_acctbal) AS best, count(DISTINCT n_name)::BIGINT AS n_names FROM {CUSTOMERS} GROUP BY 1")
+@query(f"SELECT c_custkey::BIGINT AS customer_key, max(l_extendedprice) AS best, count(DISTINCT o_totalprice)::BIGINT AS n_prices FROM {SALE} GROUP BY 1")
 def A14_enrich(spark, sf_dir):
-    packed = TREE.pack(customers(spark, sf_dir), "region")
-    rich = TREE.enrich(packed, LevelAttribute("c_acctbal", "customer", "max", "best"), LevelAttribute("n_name", "nation", "set", "names"), at_level="region")
-    return rich.select(long(RK).alias("region_key"), col("region.best").alias("best"), long(F.size(col("region.names"))).alias("n_names"))
+    packed = SALES.pack(sales(spark, sf_dir), "customer")
+    rich = SALES.enrich(packed, LevelAttribute("l_extendedprice", "lineitem", "max", "best"), LevelAttribute("o_totalprice", "orders", "set", "prices"), at_level="customer")
+    return rich.select(long(S_CK).alias("customer_key"), col("customer.best").alias("best"), long(F.size(col("customer.prices"))).alias("n_prices"))
 
 
 @query(f"SELECT n_nationkey::BIGINT AS nation_key, min(c_acctbal) AS worst FROM {CUSTOMERS} GROUP BY 1")
@@ -313,9 +427,11 @@ def A10_rollup(spark, sf_dir):
     return v.level("customer").groupBy(*[col(k) for k in v.key_columns("region")]).agg(F.sum(col(BAL)).alias("t")).select(long(RK).alias("region_key"), cents("t").alias("total"))
 
 
-@query("SELECT 0::BIGINT AS n_errors")
+@query(f"SELECT '{CK}' AS key, count(*)::BIGINT AS n FROM {CUSTOMERS} WHERE c_custkey % 7 = 0 UNION ALL SELECT '{NK}', count(*) FROM {CUSTOMERS} WHERE c_custkey % 10 = 0")
 def I10_validate(spark, sf_dir):
-    return spark.createDataFrame([(len(TREE.validate(customers(spark, sf_dir), raise_on_error=False)),)], "n_errors long")
+    flat = customers(spark, sf_dir).withColumns({NK: F.when(col(CK) % 10 != 0, col(NK)), CK: F.when(col(CK) % 7 != 0, col(CK))})
+    errors = TREE.validate(flat, raise_on_error=False)
+    return spark.createDataFrame([(e.details["column"], e.details["null_count"]) for e in errors], "key string, n long")
 
 
 # child predicates
@@ -378,9 +494,27 @@ def F3c_window_predicate(spark, sf_dir):
     return v.filter(col(BAL) == best).tables()["customer"].select(long(CK).alias("customer_key"))
 
 
-@query("SELECT count(*)::BIGINT AS n FROM customer")
+@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS none FROM customer")
 def F3a_filter_without_columns(spark, sf_dir):
-    return view(spark, sf_dir, "region", "nation", "customer").filter(F.lit(True)).tables()["customer"].agg(F.count(F.lit(1)).alias("n"))
+    v = view(spark, sf_dir, "region", "nation", "customer")
+    n, none = (v.filter(F.lit(kept)).tables()["customer"].agg(F.count(F.lit(1)).alias(name)) for kept, name in ((True, "n"), (False, "none")))
+    return n.crossJoin(F.broadcast(none))
+
+
+@query("SELECT c_custkey::BIGINT AS customer_key FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+def F3c_global_mean(spark, sf_dir):
+    """A predicate against an aggregate of all rows: one row, lent to each by ``with_level``, so that no window takes all rows to one task."""
+    v = view(spark, sf_dir, "region", "nation", "customer")
+    lent = v.with_level("customer", lambda t: t.crossJoin(F.broadcast(t.agg(F.avg(col(BAL)).alias(f"{CU}.mean")))))
+    return lent.filter(col(BAL) > col(f"{CU}.mean")).tables()["customer"].select(long(CK).alias("customer_key"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM customer WHERE (SELECT max(c_acctbal) FROM customer) > 100")
+def F3c_aggregate_predicate(spark, sf_dir):
+    """A predicate that is an aggregate of all rows keeps all or none."""
+    v = view(spark, sf_dir, "region", "nation", "customer", empty_parents="keep")
+    kept = v.filter(F.max(col(BAL)) > 100)
+    return kept.tables()["customer"].agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(CUSTOMER_ROWS)
@@ -388,11 +522,11 @@ def V1_level(spark, sf_dir):
     return _customer_rows(view(spark, sf_dir, "region", "nation", "customer", "supplier").level("customer"))
 
 
-@query(f"SELECT r_regionkey::BIGINT AS region_key, count(*)::BIGINT AS n_customers FROM {CUSTOMERS} WHERE c_acctbal < 0 GROUP BY 1")
+@query(f"SELECT c_custkey::BIGINT AS customer_key, any_value(n_name) AS nation_name, count(*)::BIGINT AS n_orders FROM {CUSTOMERS} JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 100000 AND c_acctbal < 0 GROUP BY 1")
 def V2_nested(spark, sf_dir):
-    nested = view(spark, sf_dir, "region", "nation", "customer").filter(col(BAL) < 0).nested()
-    count = TREE.attribute_expr("c_custkey", from_level="customer", to_level="region", agg="count")
-    return nested.select(long(RK).alias("region_key"), long(count).alias("n_customers"))
+    """Customers with their orders nested, both levels filtered."""
+    v = view(spark, sf_dir, "region", "nation", "customer", "orders").filter(col(BAL) < 0, col(f"{O}.o_totalprice") > 100000)
+    return v.nested("customer").select(long(CK).alias("customer_key"), col(f"{N}.n_name").alias("nation_name"), long(F.size(col(O))).alias("n_orders"))
 
 
 @query("SELECT c_custkey::BIGINT AS customer_key, n_name || ':' || c_name AS label FROM nation JOIN customer ON n_nationkey = c_nationkey")
@@ -428,11 +562,11 @@ def J11_existence(spark, sf_dir):
 
 @query(CUSTOMER_ROWS)
 def S1_S2_sink_and_scan(spark, sf_dir):
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lamella-")
+    folder = new_path(spark, "levels")
     v = view(spark, sf_dir, "region", "nation", "customer")
-    v.sink_parquet(f"{folder}/levels")
+    v.sink_parquet(folder)
     p = HierarchicalPacker(HierarchySpec.from_levels([LevelSpec("region", ["r_regionkey"]), LevelSpec("nation", ["n_nationkey"]), LevelSpec("customer", ["c_custkey"])]))
-    return _customer_rows(HierarchyView.scan_parquet(f"{folder}/levels", p, spark=spark).level("customer"))
+    return _customer_rows(HierarchyView.scan_parquet(folder, p, spark=spark).level("customer"))
 
 
 # nested expressions
@@ -554,6 +688,149 @@ def W12_strings_and_union(spark, sf_dir):
     return c.unionByName(s)
 
 
+# names, errors and plans: rows that follow from schemas alone
+
+
+def facts(expected: list[tuple[str, str]]):
+    """Registers a function that returns rows (name, value) beside the rows that it must give."""
+    values = ", ".join("('" + n.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for n, v in expected)
+
+    def register(f: Callable[[SparkSession, str], list[tuple[str, object]]]):
+        def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return spark.createDataFrame([(n, str(v)) for n, v in f(spark, sf_dir)], "name string, value string")
+
+        made.__name__ = f.__name__
+        made.__doc__ = f.__doc__
+        query(f"SELECT * FROM (VALUES {values}) t(name, value)")(made)
+        return made
+
+    return register
+
+
+def raised(f: Callable[[], object]) -> str:
+    """The name of the error that ``f`` raises, of ours or Python's."""
+    try:
+        f()
+    except Exception as e:  # noqa: BLE001
+        return type(e).__name__
+    return "none"
+
+
+@facts([("parent_of", "nation"), ("children_of", "customer,supplier"), ("ancestors_of", "region,nation,customer"), ("axis_of", "region,nation,supplier"), ("descendants_of", "customer,orders,supplier"), ("is_ancestor_of", "True,False"), ("root", "region"), ("leaves", "orders,supplier"), ("reverse", "supplier,orders,customer,nation,region"), ("index_of", "3"), ("next_level", "orders,None"), ("ambiguous", "ValueError"), ("unknown", "KeyError")])
+def I1_spec_navigation(spark, sf_dir):
+    s = TREE.spec
+    join = ",".join
+    return [
+        ("parent_of", s.parent_of("customer")), ("children_of", join(s.children_of("nation"))), ("ancestors_of", join(s.ancestors_of("orders"))), ("axis_of", join(s.axis_of("supplier"))),
+        ("descendants_of", join(s.descendants_of("nation"))), ("is_ancestor_of", f"{s.is_ancestor_of('region', 'orders')},{s.is_ancestor_of('supplier', 'orders')}"), ("root", s.root), ("leaves", join(s.leaves)),
+        ("reverse", join(s.reverse_topological_levels)), ("index_of", s.index_of("orders")), ("next_level", f"{s.next_level('customer').name},{s.next_level('orders')}"),
+        ("ambiguous", raised(lambda: s.next_level("nation"))), ("unknown", raised(lambda: s.parent_of("planet"))),
+    ]
+
+
+@facts([("level_names", "customer,orders,lineitem"), ("root_level", "customer"), ("leaf_level", "lineitem"), ("leaf_levels", "orders,supplier"), ("axes", "region>nation>customer>orders,region>nation>supplier"), ("ambiguous", "ValueError"), ("get_child_levels", "nation")])
+def I2_packer_navigation(spark, sf_dir):
+    join = ",".join
+    return [("level_names", join(SALES.level_names)), ("root_level", SALES.root_level), ("leaf_level", SALES.leaf_level), ("leaf_levels", join(TREE.leaf_levels)), ("axes", join(">".join(a) for a in TREE.axes)), ("ambiguous", raised(lambda: TREE.leaf_level)), ("get_child_levels", join(TREE.get_child_levels("region")))]
+
+
+@facts([("short", "c_custkey"), ("long", CK), ("with ancestors", f"{RK},{NK},{CK}"), ("columns", "customer.orders.lineitem.l_linenumber")])
+def I3_I9_keys_and_columns(spark, sf_dir):
+    join = ",".join
+    return [("short", join(TREE.get_level_keys("customer"))), ("long", join(TREE.get_level_keys("customer", form="long"))), ("with ancestors", join(TREE.get_level_keys("customer", include_ancestors=True, form="long"))), ("columns", join(SALES.get_level_columns("lineitem")))]
+
+
+@facts([("flat", "n_nationkey,n_name"), ("packed", "n_nationkey,n_name"), ("long", f"{RK},region.r_name"), ("types", "c_custkey:bigint,c_name:string,c_acctbal:double,c_mktsegment:string")])
+def I4_I5_fields_and_schema(spark, sf_dir):
+    flat = customers(spark, sf_dir)
+    packed = TREE.pack(flat, "region")
+    types = TREE.get_level_schema("customer", packed)
+    return [("flat", ",".join(TREE.get_level_fields("nation", flat))), ("packed", ",".join(TREE.get_level_fields("nation", packed))), ("long", ",".join(TREE.get_level_fields("region", flat, form="long"))), ("types", ",".join(f"{n}:{k.simpleString()}" for n, k in types.items()))]
+
+
+@facts([("flat", "customer"), ("packed", "nation"), ("whole", "region"), ("two branches", "ValueError"), ("one of them", "supplier"), ("none", "ValueError")])
+def I6_infer_current_level(spark, sf_dir):
+    flat = customers(spark, sf_dir)
+    both = flat.withColumn(SK, F.lit(1))
+    return [("flat", TREE.infer_current_level(flat)), ("packed", TREE.infer_current_level(TREE.pack(flat, "nation"))), ("whole", TREE.infer_current_level(TREE.pack(flat, "region"))), ("two branches", raised(lambda: TREE.infer_current_level(both))), ("one of them", TREE.infer_current_level(both, axis="supplier")), ("none", raised(lambda: TREE.infer_current_level(spark.range(1))))]
+
+
+@facts([("0", "3 levels, paths joined by '.'"), ("1", f"customer <customer>: {S_CK}"), ("2", f"  orders <{S_O}>: {S_OK}; inherits {S_CK}"), ("3", f"    lineitem <{S_L}>: {S_L}.l_linenumber; inherits {S_CK}, {S_OK}")])
+def I7_describe(spark, sf_dir):
+    return [(str(k), line) for k, line in enumerate(SALES.describe().split("\n"))]
+
+
+@facts([("flat", "True customer region,nation,customer 0 0"), ("expected", "False customer region,nation,customer 1 0"), ("packed", "True nation region,nation,customer 0 0"), ("no scalar", "False customer region,nation,customer 1 0"), ("no key inside", "False region region 1 0"), ("nothing", "False None  1 1")])
+def I11_validate_schema(spark, sf_dir):
+    """Compatible, level, levels that are there, number of errors and of warnings."""
+    flat = customers(spark, sf_dir)
+    bare = flat.select(col(RK), F.array(F.struct(F.lit("x").alias("n_name"))).alias(N))
+    cases = {"flat": (flat, None), "expected": (flat, "nation"), "packed": (TREE.pack(flat, "nation"), None), "no scalar": (flat.withColumn(NK, F.array(F.lit(1))), None), "no key inside": (bare, None), "nothing": (spark.range(1), None)}
+    out = []
+    for name, (df, level) in cases.items():
+        r = TREE.validate_schema(df, expected_level=level)
+        there = [n for n in r.present_levels if name != "no key inside" or n != "nation"]
+        out.append((name, f"{r.is_compatible} {r.inferred_level} {','.join(there)} {len(r.errors)} {len(r.warnings)}"))
+    return out
+
+
+@facts([("escape", "net\\.sales"), ("join", "a.net\\.sales"), ("split", "a|net.sales")])
+def I12_paths(spark, sf_dir):
+    return [("escape", TREE.escape_field("net.sales")), ("join", TREE.join_path(["a", "net.sales"])), ("split", "|".join(TREE.split_path("a.net\\.sales")))]
+
+
+@facts([("levels", "region,nation,customer"), ("keys", f"{RK},{NK}"), ("level_of", "customer"), ("columns", "9"), ("repr", "HierarchyView(levels=['region', 'nation', 'customer'], empty_parents='keep', restricted=[])")])
+def V9_introspection(spark, sf_dir):
+    v = view(spark, sf_dir, "region", "nation", "customer", empty_parents="keep")
+    return [("levels", ",".join(v.levels)), ("keys", ",".join(v.key_columns("nation"))), ("level_of", v.level_of(BAL)), ("columns", len(v.columns)), ("repr", repr(v))]
+
+
+@facts([("unknown column", "KeyError"), ("two branches", "ValueError"), ("aggregate beside rows", "ValueError"), ("finer column", "ValueError"), ("lost key", "ValueError"), ("no promote", "ValueError"), ("promote down", "ValueError"), ("no such promote", "ValueError"), ("varies", "HierarchyValidationError"), ("taken", "ValueError"), ("unknown level", "KeyError"), ("absent level", "KeyError"), ("no table", "ValueError"), ("no key", "HierarchyValidationError")])
+def V11_F3e_H17_errors(spark, sf_dir):
+    v = view(spark, sf_dir, "region", "nation", "customer", "supplier")
+    add = lambda level, name, value=F.lit(1), **o: raised(lambda: v.with_level(level, lambda t: t.withColumn(name, value), **o))
+    return [
+        ("unknown column", raised(lambda: v.filter(col(f"{CU}.nothing") > 1))), ("two branches", raised(lambda: v.filter(col(BAL) > col(f"{SU}.s_acctbal")))), ("aggregate beside rows", raised(lambda: v.filter(col(BAL) > F.avg(col(BAL))))),
+        ("finer column", add("nation", f"{N}.x", col(BAL))), ("lost key", raised(lambda: v.with_level("customer", lambda t: t.drop(NK)))), ("no promote", add("customer", f"{N}.x")), ("promote down", add("nation", f"{CU}.x", promote="first")),
+        ("no such promote", add("customer", f"{N}.x", promote="any")), ("varies", add("customer", f"{N}.x", col(CK), promote="unique")), ("taken", add("customer", f"{N}.n_name", promote="first")), ("unknown level", raised(lambda: v.level("planet"))),
+        ("absent level", raised(lambda: v.level("orders"))), ("no table", raised(lambda: HierarchyView.from_tables({}, TREE))), ("no key", raised(lambda: HierarchyView.from_tables({"region": spark.range(1)}, TREE))),
+    ]
+
+
+@facts([("recurse", "ValueError"), ("unknown column", "ValueError"), ("unknown field", "ValueError"), ("no dictionary", "TypeError"), ("bad mode", "ValueError"), ("field outside", "TypeError")])
+def E5_errors(spark, sf_dir):
+    df = _accounts(spark, sf_dir)
+    fails = lambda spec, *o: raised(lambda: apply_nested_operations(df, spec, *o))
+    return [("recurse", fails({"c_custkey": {"x": None}})), ("unknown column", fails({"nothing": None})), ("unknown field", fails({"who": {"nothing": None}})), ("no dictionary", fails({"who": 3})), ("bad mode", fails({"who": None}, "both")), ("field outside", fails({"who": field("name")}))]
+
+
+@facts([("top", "2"), ("below", "3"), ("deep", "4")])
+def E7_fixed_size_arrays(spark, sf_dir):
+    """Arrays of structs keep their size where their elements are mapped, at any depth."""
+    item = F.array(F.struct(F.lit(1).alias("v"), F.lit(2).alias("w")))
+    made = F.struct(item.alias("below", metadata={FIXED_SIZE: 3}), F.struct(item.alias("deep", metadata={FIXED_SIZE: 4})).alias("s"))
+    df = spark.range(1).select(item.alias("top", metadata={FIXED_SIZE: 2}), made.alias("in"))
+    twice = {"v": lambda x: x * 2}
+    out = apply_nested_operations(df, {"top": twice, "in": {"below": twice, "s": {"deep": twice}}}).schema
+    inner = out["in"].dataType
+    return [("top", out["top"].metadata[FIXED_SIZE]), ("below", inner["below"].metadata[FIXED_SIZE]), ("deep", inner["s"].dataType["deep"].metadata[FIXED_SIZE])]
+
+
+@query("SELECT c_custkey::BIGINT AS customer_key, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, c_custkey % 2 = 1 AS is_null, CASE WHEN c_custkey % 2 = 0 THEN 'x' END AS literal FROM customer")
+def E8c_E9_E13_null_structs_and_literals(spark, sf_dir):
+    """A null struct stays null; None keeps a field, a literal makes one."""
+    df = _accounts(spark, sf_dir).withColumn("who", F.when(F.col("c_custkey") % 2 == 0, F.col("who")))
+    made = apply_nested_operations(df, {"c_custkey": None, "who": {"name": None, "literal": F.lit("x")}})
+    return made.select(long("c_custkey").alias("customer_key"), F.col("who.name").alias("name"), F.col("who").isNull().alias("is_null"), F.col("who.literal").alias("literal"))
+
+
+@query("SELECT c_custkey::BIGINT AS customer_key, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, -1) AS balance, c_acctbal <= 0 AS missing, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer")
+def W13_null_functions(spark, sf_dir):
+    level = view(spark, sf_dir, "region", "nation", "customer").level("customer")
+    known = F.when(col(BAL) > 0, col(BAL))
+    return level.select(long(CK).alias("customer_key"), F.coalesce(known, F.lit(-1.0)).alias("balance"), known.isNull().alias("missing"), F.nullif(col(f"{CU}.c_mktsegment"), F.lit("BUILDING")).alias("segment"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers nested by region and nation, with each region's balances rolled up over two hops."""
+    """Lines nested by order and customer, with each customer's quantities rolled up over two hops."""
     return A13_attribute_over_hops(spark, sf_dir)

@@ -7,24 +7,26 @@ from lamella import HierarchicalPacker, HierarchySpec, HierarchyValidationError,
 from lamella.plans.naming import col
 from tests.conftest import rows
 
-LINEAR = HierarchySpec.from_levels([LevelSpec("country", ["code"]), LevelSpec("city", ["id"]), LevelSpec("street", ["id"], required_fields=["id"])])
+LINEAR = HierarchySpec.from_levels([LevelSpec("farm", ["tag"]), LevelSpec("field", ["id"]), LevelSpec("bed", ["id"], required_fields=["id"])])
 TREE = HierarchySpec.from_levels(
     [
-        LevelSpec("country", ["code"]),
-        LevelSpec("city", ["id"], parent="country"),
-        LevelSpec("street", ["id"], parent="city"),
-        LevelSpec("building", ["id"], parent="street"),
-        LevelSpec("service", ["kind"], parent="city"),
+        LevelSpec("farm", ["tag"]),
+        LevelSpec("field", ["id"], parent="farm"),
+        LevelSpec("bed", ["id"], parent="field"),
+        LevelSpec("plant", ["id"], parent="bed"),
+        LevelSpec("pump", ["make"], parent="field"),
     ]
 )
-K, C = "country.code", "country.city.id"
+K, C = "farm.tag", "farm.field.id"
+#: Children in an order that doesn't depend on how joins deal the rows.
+ORDERED = HierarchySpec.from_levels(LevelSpec("farm", ["tag"]), LevelSpec("field", ["id"], order_by=["`farm.field.id`"]), LevelSpec("bed", ["id"], required_fields=["id"], order_by=["`farm.field.bed.id`"]))
 
 
 @pytest.fixture(scope="module")
 def flat(spark):
-    names = [K, "country.name", C, "country.city.population", "country.city.street.id", "country.city.street.length"]
-    data = [("US", "USA", "NYC", 8, "s2", 20), ("US", "USA", "NYC", 8, "s1", 10), ("US", "USA", "LA", 4, "s3", 30), ("FR", "France", "PAR", 2, "s4", None)]
-    return spark.createDataFrame(data, "`" + "` string, `".join(names[:3]) + "` string, `country.city.population` long, `country.city.street.id` string, `country.city.street.length` long").select(*[col(n) for n in names]).coalesce(1)
+    names = [K, "farm.name", C, "farm.field.acres", "farm.field.bed.id", "farm.field.bed.width"]
+    data = [("oak", "Oak Hill", "north", 10, "s2", 20), ("oak", "Oak Hill", "north", 10, "s1", 10), ("oak", "Oak Hill", "low", 5, "s3", 30), ("elm", "Elm End", "pond", 2, "s4", None)]
+    return spark.createDataFrame(data, "`" + "` string, `".join(names[:3]) + "` string, `farm.field.acres` long, `farm.field.bed.id` string, `farm.field.bed.width` long").select(*[col(n) for n in names]).coalesce(1)
 
 
 @pytest.fixture(scope="module")
@@ -33,24 +35,24 @@ def tables(spark):
         return spark.createDataFrame(data, schema).coalesce(1)
 
     k, c = f"`{K}` string", f"`{C}` string"
-    s = "`country.city.street.id` string"
+    s = "`farm.field.bed.id` string"
     return {
-        "country": make([("US", "USA"), ("FR", "France"), ("DE", "Germany")], f"{k}, `country.name` string"),
-        "city": make([("US", "NYC", 8), ("US", "LA", 4), ("FR", "PAR", 2), ("DE", "BER", 3)], f"{k}, {c}, `country.city.population` long"),
-        "street": make([("US", "NYC", "s1", 10), ("US", "NYC", "s2", 20), ("US", "LA", "s3", 30), ("FR", "PAR", "s4", 40)], f"{k}, {c}, {s}, `country.city.street.length` long"),
-        "building": make([("US", "NYC", "s1", "b1", 5), ("US", "NYC", "s2", "b2", 6), ("US", "LA", "s3", "b3", 7), ("FR", "PAR", "s4", "b4", 8)], f"{k}, {c}, {s}, `country.city.street.building.id` string, `country.city.street.building.floors` long"),
-        "service": make([("US", "NYC", "bus", 1), ("US", "NYC", "tram", 2), ("US", "LA", "bus", 3), ("FR", "PAR", "metro", 4), ("DE", "BER", "bus", 5)], f"{k}, {c}, `country.city.service.kind` string, `country.city.service.budget` long"),
+        "farm": make([("oak", "Oak Hill"), ("elm", "Elm End"), ("ash", "Ash Row")], f"{k}, `farm.name` string"),
+        "field": make([("oak", "north", 10), ("oak", "low", 5), ("elm", "pond", 2), ("ash", "brow", 3)], f"{k}, {c}, `farm.field.acres` long"),
+        "bed": make([("oak", "north", "s1", 10), ("oak", "north", "s2", 20), ("oak", "low", "s3", 30), ("elm", "pond", "s4", 40)], f"{k}, {c}, {s}, `farm.field.bed.width` long"),
+        "plant": make([("oak", "north", "s1", "b1", 5), ("oak", "north", "s2", "b2", 6), ("oak", "low", "s3", "b3", 7), ("elm", "pond", "s4", "b4", 8)], f"{k}, {c}, {s}, `farm.field.bed.plant.id` string, `farm.field.bed.plant.buds` long"),
+        "pump": make([("oak", "north", "hand", 1), ("oak", "north", "wind", 2), ("oak", "low", "hand", 3), ("elm", "pond", "diesel", 4), ("ash", "brow", "hand", 5)], f"{k}, {c}, `farm.field.pump.make` string, `farm.field.pump.litres` long"),
     }
 
 
-@pytest.mark.parametrize("level", ["country", "city", "street"])
+@pytest.mark.parametrize("level", ["farm", "field", "bed"])
 def test_pack_and_unpack_are_inverse_at_every_level(flat, level):
     p = HierarchicalPacker(LINEAR)
     packed = p.pack(flat, level)
     assert p.infer_current_level(packed) == level
-    again = p.unpack(p.pack(flat, "country"), level)
+    again = p.unpack(p.pack(flat, "farm"), level)
     assert packed.columns == again.columns and rows(packed) == rows(again)
-    assert rows(p.unpack(packed, "street")) == rows(flat)
+    assert rows(p.unpack(packed, "bed")) == rows(flat)
     assert rows(p.denormalize(p.normalize(flat, at_level=level), at_level=level)) == rows(packed)
     assert rows(p.pack(flat, level, parent_strategy="split_join")) == rows(packed)
     for how in ("balanced", "hash"):
@@ -59,31 +61,31 @@ def test_pack_and_unpack_are_inverse_at_every_level(flat, level):
 
 
 def test_children_keep_input_order_or_the_declared_one(flat):
-    first = HierarchicalPacker(LINEAR).pack(flat, "country").filter(col(K) == "US").first()
-    assert [s["id"] for s in first["country.city"][0]["street"]] == ["s2", "s1"]
-    spec = HierarchySpec.from_levels([LevelSpec("country", ["code"]), LevelSpec("city", ["id"], order_by=[col(C)]), LevelSpec("street", ["id"], order_by=[col("country.city.street.id")])])
-    got = HierarchicalPacker(spec).pack(flat, "country").filter(col(K) == "US").first()["country.city"]
-    assert [c["id"] for c in got] == ["LA", "NYC"] and [s["id"] for s in got[1]["street"]] == ["s1", "s2"]
+    first = HierarchicalPacker(LINEAR).pack(flat, "farm").filter(col(K) == "oak").first()
+    assert [s["id"] for s in first["farm.field"][0]["bed"]] == ["s2", "s1"]
+    spec = HierarchySpec.from_levels([LevelSpec("farm", ["tag"]), LevelSpec("field", ["id"], order_by=[col(C)]), LevelSpec("bed", ["id"], order_by=[col("farm.field.bed.id")])])
+    got = HierarchicalPacker(spec).pack(flat, "farm").filter(col(K) == "oak").first()["farm.field"]
+    assert [c["id"] for c in got] == ["low", "north"] and [s["id"] for s in got[1]["bed"]] == ["s1", "s2"]
 
 
 def test_branches_fold_apart_and_split_again(tables):
     p = HierarchicalPacker(TREE)
     nested = p.denormalize(tables)
-    us = nested.filter(col(K) == "US").first()["country.city"]
-    nyc = next(c for c in us if c["id"] == "NYC")
-    assert [s["id"] for s in nyc["street"]] == ["s1", "s2"] and [s["kind"] for s in nyc["service"]] == ["bus", "tram"]
+    oak = nested.filter(col(K) == "oak").first()["farm.field"]
+    north = next(c for c in oak if c["id"] == "north")
+    assert [s["id"] for s in north["bed"]] == ["s1", "s2"] and [s["make"] for s in north["pump"]] == ["hand", "wind"]
     back = p.split_levels(nested)
-    for name in ("country", "city", "service"):
+    for name in ("farm", "field", "pump"):
         assert rows(back[name]) == rows(tables[name])
-    for axis in ("building", "service"):
-        assert rows(p.pack(p.unpack(nested.filter(col(K) != "DE"), axis), "country")) == rows(nested.filter(col(K) != "DE"))
+    for axis in ("plant", "pump"):
+        assert rows(p.pack(p.unpack(nested.filter(col(K) != "ash"), axis), "farm")) == rows(nested.filter(col(K) != "ash"))
 
 
 def test_a_frame_flat_along_two_branches_keeps_every_child_once(tables):
     p = HierarchicalPacker(TREE)
-    crossed = tables["country"].join(tables["city"], K).join(tables["street"], [K, C]).join(tables["service"], [K, C])
-    city = p.pack(crossed, "city").filter(col(C) == "NYC").first()
-    assert sorted(s["id"] for s in city["country.city.street"]) == ["s1", "s2"] and sorted(s["kind"] for s in city["country.city.service"]) == ["bus", "tram"]
+    crossed = tables["farm"].join(tables["field"], K).join(tables["bed"], [K, C]).join(tables["pump"], [K, C])
+    field = p.pack(crossed, "field").filter(col(C) == "north").first()
+    assert sorted(s["id"] for s in field["farm.field.bed"]) == ["s1", "s2"] and sorted(s["make"] for s in field["farm.field.pump"]) == ["hand", "wind"]
 
 
 def test_tables_from_foreign_keys(spark):
@@ -104,84 +106,84 @@ def test_tables_from_foreign_keys(spark):
 
 def test_attributes_over_hops(flat):
     p = HierarchicalPacker(LINEAR)
-    packed = p.pack(flat, "country")
-    wanted = [LevelAttribute("length", "street", a, a) for a in ("sum", "mean", "min", "max", "count", "first", "last", "single", "list", "set")]
-    got = {r[K]: r for r in p.enrich(packed, *wanted, LevelAttribute("population", "city", "sum", "people"), at_level="country").collect()}
-    us, fr = got["US"], got["FR"]
-    assert us["country.sum"] == 60 and us["country.mean"] == (15 + 30) / 2 and us["country.count"] == 3 and us["country.people"] == 12
-    assert us["country.list"] == [[20, 10], [30]] and us["country.first"] == 20 and us["country.last"] == 30 and us["country.max"] == 30
-    assert fr["country.sum"] == 0 and fr["country.mean"] is None and fr["country.count"] == 1 and fr["country.set"] == [[]]
-    promoted = p.promote_attribute(flat, "length", from_level="street", to_level="city", agg="max")
-    assert {r[C]: r["country.city.length"] for r in promoted.collect()} == {"NYC": 20, "LA": 30, "PAR": None}
+    packed = p.pack(flat, "farm")
+    wanted = [LevelAttribute("width", "bed", a, a) for a in ("sum", "mean", "min", "max", "count", "first", "last", "single", "list", "set")]
+    got = {r[K]: r for r in p.enrich(packed, *wanted, LevelAttribute("acres", "field", "sum", "people"), at_level="farm").collect()}
+    oak, elm = got["oak"], got["elm"]
+    assert oak["farm.sum"] == 60 and oak["farm.mean"] == (15 + 30) / 2 and oak["farm.count"] == 3 and oak["farm.people"] == 15
+    assert oak["farm.list"] == [[20, 10], [30]] and oak["farm.first"] == 20 and oak["farm.last"] == 30 and oak["farm.max"] == 30
+    assert elm["farm.sum"] == 0 and elm["farm.mean"] is None and elm["farm.count"] == 1 and elm["farm.set"] == [[]]
+    promoted = p.promote_attribute(flat, "width", from_level="bed", to_level="field", agg="max")
+    assert {r[C]: r["farm.field.width"] for r in promoted.collect()} == {"north": 20, "low": 30, "pond": None}
     with pytest.raises(ValueError):
-        p.attribute_expr("code", from_level="country", to_level="city")
+        p.attribute_expr("tag", from_level="farm", to_level="field")
 
 
 def test_child_predicates(spark):
     p = HierarchicalPacker(LINEAR)
     df = spark.createDataFrame(
-        [("PASS", [("a", 9)]), ("FAIL", [("a", 9), ("b", 1)]), ("EMPTY", []), ("NULL", None), ("NULLATTR", [("a", None)])],
-        f"`{K}` string, `country.city` array<struct<id string, population long>>",
+        [("all", [("a", 9)]), ("some", [("a", 9), ("b", 1)]), ("none", []), ("unknown", None), ("gap", [("a", None)])],
+        f"`{K}` string, `farm.field` array<struct<id string, acres long>>",
     )
-    big = lambda x: x["population"] > 5
-    some = p.any_child_satisfies(df, from_level="city", to_level="country", condition=big)
-    every = p.all_children_satisfy(df, from_level="city", to_level="country", condition=big)
-    assert sorted(r[0] for r in some.collect()) == ["FAIL", "PASS"] and sorted(r[0] for r in every.collect()) == ["EMPTY", "NULL", "PASS"]
+    big = lambda x: x["acres"] > 5
+    some = p.any_child_satisfies(df, from_level="field", to_level="farm", condition=big)
+    every = p.all_children_satisfy(df, from_level="field", to_level="farm", condition=big)
+    assert sorted(r[0] for r in some.collect()) == ["all", "some"] and sorted(r[0] for r in every.collect()) == ["all", "none", "unknown"]
     with pytest.raises(ValueError):
-        p.any_child_satisfies(df, from_level="street", to_level="country", condition=big)
+        p.any_child_satisfies(df, from_level="bed", to_level="farm", condition=big)
 
 
 def test_view_filters_all_levels(tables):
     v = HierarchyView.from_tables(tables, HierarchicalPacker(TREE))
-    seen = v.filter(col("country.city.service.kind") == "bus").tables()
-    # DE has a bus but no streets: pruning takes its city, and then its service, away
-    assert sorted(r[C] for r in seen["city"].collect()) == ["LA", "NYC"] and seen["service"].count() == 2 and seen["street"].count() == 3 and seen["country"].count() == 1
-    kept = HierarchyView.from_tables(tables, HierarchicalPacker(TREE), empty_parents="keep").filter(col("country.city.service.kind") == "bus").tables()
-    assert kept["city"].count() == 4 and kept["service"].count() == 3
-    assert v.filter(col(K) == "US").tables()["building"].count() == 3
-    across = v.filter(col("country.city.street.length") > col("country.city.population") * 4).tables()
-    assert sorted(r["country.city.street.id"] for r in across["street"].collect()) == ["s3", "s4"]
+    seen = v.filter(col("farm.field.pump.make") == "hand").tables()
+    # ash has a hand but no streets: pruning takes its field, and then its pump, away
+    assert sorted(r[C] for r in seen["field"].collect()) == ["low", "north"] and seen["pump"].count() == 2 and seen["bed"].count() == 3 and seen["farm"].count() == 1
+    kept = HierarchyView.from_tables(tables, HierarchicalPacker(TREE), empty_parents="keep").filter(col("farm.field.pump.make") == "hand").tables()
+    assert kept["field"].count() == 4 and kept["pump"].count() == 3
+    assert v.filter(col(K) == "oak").tables()["plant"].count() == 3
+    across = v.filter(col("farm.field.bed.width") > col("farm.field.acres") * 4).tables()
+    assert sorted(r["farm.field.bed.id"] for r in across["bed"].collect()) == ["s3", "s4"]
     with pytest.raises(ValueError, match="branches"):
-        v.filter(col("country.city.street.length") > col("country.city.service.budget"))
+        v.filter(col("farm.field.bed.width") > col("farm.field.pump.litres"))
     with pytest.raises(KeyError):
-        v.filter(col("country.city.nothing") > 1)
+        v.filter(col("farm.field.nothing") > 1)
 
 
 def test_view_window_and_aggregate_predicates(tables):
     from pyspark.sql import Window
 
     v = HierarchyView.from_tables(tables, HierarchicalPacker(TREE), empty_parents="keep")
-    n = "`country.city.street.length`"
+    n = "`farm.field.bed.width`"
     top = v.filter(F.col(n) == F.max(n).over(Window.partitionBy(f"`{K}`")))
-    assert sorted(r["country.city.street.id"] for r in top.tables()["street"].collect()) == ["s3", "s4"]
-    assert v.filter(F.max(n) > 1000).tables()["street"].count() == 0
+    assert sorted(r["farm.field.bed.id"] for r in top.tables()["bed"].collect()) == ["s3", "s4"]
+    assert v.filter(F.max(n) > 1000).tables()["bed"].count() == 0
     with pytest.raises(ValueError, match="over"):
         v.filter(F.col(n) > F.avg(n))
 
 
 def test_view_equals_packing_the_filtered_frame(flat):
-    p = HierarchicalPacker(LINEAR)
+    p = HierarchicalPacker(ORDERED)
     v = HierarchyView.from_frame(flat, p)
-    for predicate in (col("country.city.street.length") >= 20, col("country.city.population") > 3, col("country.name") == "USA", col(C).isin("LA", "PAR")):
-        want = p.pack(flat.filter(predicate), "country")
+    for predicate in (col("farm.field.bed.width") >= 20, col("farm.field.acres") > 3, col("farm.name") == "Oak Hill", col(C).isin("low", "pond")):
+        want = p.pack(flat.filter(predicate), "farm")
         got = v.filter(predicate)
         assert rows(got.nested()) == rows(want)
         for name, table in p.split_levels(want).items():
             assert rows(got.tables()[name]) == rows(table)
-        assert rows(got.level("city")) == rows(p.unpack(want, "city").drop("country.city.street"))
+        assert rows(got.level("field")) == rows(p.unpack(want, "field").drop("farm.field.bed"))
 
 
 def test_view_with_level_and_promotion(flat, tmp_path, spark):
     v = HierarchyView.from_frame(flat, HierarchicalPacker(LINEAR))
-    share = v.with_level("street", lambda t: t.withColumn("country.city.street.share", col("country.city.street.length") / col("country.city.population")))
-    got = {r["country.city.street.id"]: r["country.city.street.share"] for r in share.tables()["street"].collect()}
-    assert got == {"s1": 1.25, "s2": 2.5, "s3": 7.5, "s4": None} and "country.city.population" not in share.tables()["street"].columns
-    up = v.with_level("street", lambda t: t.withColumn("country.city.total", F.sum("`country.city.street.length`").over(__import__("pyspark").sql.Window.partitionBy(f"`{C}`"))), promote="unique")
-    assert {r[C]: r["country.city.total"] for r in up.tables()["city"].collect()} == {"NYC": 30, "LA": 30, "PAR": None}
+    share = v.with_level("bed", lambda t: t.withColumn("farm.field.bed.share", col("farm.field.bed.width") / col("farm.field.acres")))
+    got = {r["farm.field.bed.id"]: r["farm.field.bed.share"] for r in share.tables()["bed"].collect()}
+    assert got == {"s1": 1.0, "s2": 2.0, "s3": 6.0, "s4": None} and "farm.field.acres" not in share.tables()["bed"].columns
+    up = v.with_level("bed", lambda t: t.withColumn("farm.field.total", F.sum("`farm.field.bed.width`").over(__import__("pyspark").sql.Window.partitionBy(f"`{C}`"))), promote="unique")
+    assert {r[C]: r["farm.field.total"] for r in up.tables()["field"].collect()} == {"north": 30, "low": 30, "pond": None}
     with pytest.raises(ValueError, match="promote"):
-        v.with_level("street", lambda t: t.withColumn("country.city.x", F.lit(1)))
+        v.with_level("bed", lambda t: t.withColumn("farm.field.x", F.lit(1)))
     with pytest.raises(ValueError, match="key"):
-        v.with_level("street", lambda t: t.drop(C))
+        v.with_level("bed", lambda t: t.drop(C))
     v.sink_parquet(str(tmp_path))
     again = HierarchyView.scan_parquet(str(tmp_path), HierarchicalPacker(LINEAR), spark=spark)
     assert rows(again.nested()) == rows(v.nested())
@@ -191,19 +193,19 @@ def test_view_with_level_and_promotion(flat, tmp_path, spark):
 
 def test_introspection_and_errors(flat):
     p = HierarchicalPacker(LINEAR)
-    assert p.get_level_fields("city", flat) == ["id", "population"] == p.get_level_fields("city", p.pack(flat, "country"))
-    assert p.get_level_keys("street", include_ancestors=True, form="long") == [K, C, "country.city.street.id"]
-    assert p.validate_schema(flat).is_compatible and not p.validate_schema(flat, expected_level="city").is_compatible
-    assert [d.name for d in discover_levels(p.pack(flat, "country"))] == ["country", "city", "street"]
-    assert "Ancestor keys: country.code, country.city.id" in p.describe()
+    assert p.get_level_fields("field", flat) == ["id", "acres"] == p.get_level_fields("field", p.pack(flat, "farm"))
+    assert p.get_level_keys("bed", include_ancestors=True, form="long") == [K, C, "farm.field.bed.id"]
+    assert p.validate_schema(flat).is_compatible and not p.validate_schema(flat, expected_level="field").is_compatible
+    assert [d.name for d in discover_levels(p.pack(flat, "farm"))] == ["farm", "field", "bed"]
+    assert "inherits farm.tag, farm.field.id" in p.describe()
     assert p.validate(flat) == []
     with pytest.raises(HierarchyValidationError):
         p.validate(flat.withColumn(K, F.lit(None).cast("string")))
     with pytest.raises(HierarchyValidationError):
-        p.check_uniform(flat.withColumn("country.name", col("country.city.street.id")), "country")
+        p.check_uniform(flat.withColumn("farm.name", col("farm.field.bed.id")), "farm")
     with pytest.raises(HierarchyValidationError):
-        p.pack(flat.withColumn("other", F.lit(1)), "city", extra_columns="error")
-    assert "other" in p.pack(flat.withColumn("other", F.lit(1)), "city").columns
+        p.pack(flat.withColumn("other", F.lit(1)), "field", extra_columns="error")
+    assert "other" in p.pack(flat.withColumn("other", F.lit(1)), "field").columns
     for bad in ([LevelSpec("a"), LevelSpec("a")], [LevelSpec("a"), LevelSpec("b", parent="c"), LevelSpec("c", parent="a")], [LevelSpec("a", parent="b"), LevelSpec("b")]):
         with pytest.raises(ValueError):
             HierarchySpec.from_levels(bad)
@@ -222,22 +224,88 @@ def test_separators(spark, sep):
 
 def test_co_located_pack_shuffles_once(flat):
     p = HierarchicalPacker(LINEAR)
-    plan = p.pack(flat, "country", co_locate=True)._jdf.queryExecution().executedPlan().toString()
+    plan = p.pack(flat, "farm", co_locate=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_balanced_buckets_hold_whole_entities(spark):
-    p = HierarchicalPacker(HierarchySpec.from_levels([LevelSpec("a", ["id"]), LevelSpec("b", ["id"])]))
-    df = spark.range(1000).selectExpr("CASE WHEN id % 40 = 3 THEN NULL ELSE id % 40 END AS `a.id`", "id AS `a.b.id`")
-    got = p.balanced_buckets(df, 8).groupBy("`a.id`").agg(F.count_distinct("__hier_bucket").alias("n"), F.first("__hier_bucket").alias("b")).collect()
-    assert len(got) == 40 and all(r["n"] == 1 for r in got) and {r["b"] for r in got} == set(range(8))
+def greedy(sizes, partitions):
+    share, out, bucket, filled = max(1, -(-sum(sizes) // partitions)), [], 0, 0
+    for size in sizes:
+        if filled and filled + size > share:
+            bucket, filled = bucket + 1, 0
+        out.append(bucket)
+        filled += size
+    return out
+
+
+TWO = HierarchicalPacker(HierarchySpec.from_levels(LevelSpec("a", ["id"]), LevelSpec("b", ["id"])))
+
+
+def test_buckets_take_entities_until_one_would_carry_them_over(spark):
+    sizes = [1, 10, 1, 1, 1, 1, 1, 4, 30, 2, 2]
+    keys = [None, *range(1, len(sizes))]
+    df = spark.createDataFrame([(k, i) for k, n in zip(keys, sizes) for i in range(n)], "`a.id` long, `a.b.id` long").repartition(5)
+    for partitions in (1, 2, 4, 8, 100):
+        got = {(r["a.id"], r["__hier_bucket"]) for r in TWO.balanced_buckets(df, partitions).collect()}
+        assert got == set(zip(keys, greedy(sizes, partitions)))
+    assert TWO.balanced_buckets(df.limit(0), 4).count() == 0
+
+
+def test_buckets_of_many_entities_by_join_and_in_runs(spark, monkeypatch):
+    from lamella.streaming import bounded
+
+    monkeypatch.setattr(bounded, "FEW", 3)
+    monkeypatch.setattr(bounded, "FETCH", 7)
+    sizes = [(k * 7) % 5 + 1 + 40 * (k % 11 == 0) for k in range(90)]
+    df = spark.createDataFrame([(k, i) for k, n in enumerate(sizes) for i in range(n)], "`a.id` long, `a.b.id` long")
+    got = {(r["a.id"], r["__hier_bucket"]) for r in TWO.balanced_buckets(df, 20).collect()}
+    assert got == set(enumerate(greedy(sizes, 20)))
+
+
+def test_balanced_packing_is_sorted_and_shuffles_once(spark, tmp_path):
+    df = spark.createDataFrame([(k % 60, k) for k in range(900)], "`a.id` long, `a.b.id` long")
+    lazy = TWO.pack_streaming(df, "a", partitions=12)
+    assert plan_of(lazy).count("Exchange") == 1
+    first, again = (TWO.pack_streaming(df, "a", partitions=12, defer=False, tmp_dir=str(tmp_path)) for _ in range(2))
+    assert rows(first) == rows(again) == rows(TWO.pack(df, "a"))
+    placed = first.selectExpr("_metadata.file_name AS file", "_metadata.row_index AS row", "`a.id` AS id").orderBy("file", "row").collect()
+    assert [r["id"] for r in placed] == list(range(60)) and len({r["file"] for r in placed}) >= 10
+
+
+def test_packing_fails_on_attributes_that_vary(spark):
+    df = spark.createDataFrame([(1, "x", 5), (1, "y", 6), (2, None, 7), (2, "z", 8)], "`a.id` long, `a.name` string, `a.b.id` long")
+    with pytest.raises(Exception, match="several values"):
+        TWO.pack(df, "a").collect()
+    assert {r["a.id"]: r["a.name"] for r in TWO.pack(df.coalesce(1), "a", validate=False).collect()} == {1: "x", 2: "z"}
+    assert {r["a.id"]: r["a.name"] for r in TWO.pack(df.filter("`a.id` = 2"), "a").collect()} == {2: "z"}
+
+
+def test_roll_up_equals_enriching_what_is_packed(flat):
+    p = HierarchicalPacker(ORDERED, preserve_child_order=False)
+    wanted = [LevelAttribute("width", "bed", a, a) for a in ("sum", "mean", "min", "max", "count", "first", "last", "single")]
+    for level in ("farm", "field"):
+        want = p.enrich(p.pack(flat, level), *wanted, at_level=level)
+        got = p.roll_up(flat, *wanted, at_level=level)
+        single = got.columns[-1]
+        kept = [c for c in got.columns if not c.endswith(".single")]
+        assert rows(got.select(*[col(c) for c in kept])) == rows(want.select(*[col(c) for c in kept])), single
+    with pytest.raises(ValueError):
+        p.roll_up(flat, LevelAttribute("width", "bed", "list"), at_level="farm")
+
+
+def test_aliases_name_computed_keys():
+    from lamella.plans.spec import named
+
+    assert named(F.lower(F.col("x")).alias("k AS 'v'")).name == "k AS 'v'" and named("plain") == "plain"
+    with pytest.raises(ValueError):
+        named(F.col("x"))
 
 
 def test_unpack_runs_on_a_stream(spark, flat, tmp_path):
     p = HierarchicalPacker(LINEAR)
-    packed = p.pack(flat, "country")
+    packed = p.pack(flat, "farm")
     packed.write.parquet(str(tmp_path / "in"))
-    stream = p.unpack_streaming(spark.readStream.schema(packed.schema).parquet(str(tmp_path / "in")), "street")
+    stream = p.unpack_streaming(spark.readStream.schema(packed.schema).parquet(str(tmp_path / "in")), "bed")
     query = stream.writeStream.format("memory").queryName("unpacked").start()
     query.processAllAvailable()
     query.stop()
@@ -247,20 +315,20 @@ def test_unpack_runs_on_a_stream(spark, flat, tmp_path):
 def test_pack_streaming_from_a_path_and_written(spark, flat, tmp_path):
     p = HierarchicalPacker(LINEAR)
     flat.write.parquet(str(tmp_path / "flat"))
-    got = p.pack_streaming(str(tmp_path / "flat"), "country", partitions=2, defer=False, tmp_dir=str(tmp_path), spark=spark)
-    assert rows(p.unpack(got, "street")) == rows(flat)
-    empty = p.pack_streaming(flat.limit(0), "city")
-    assert empty.count() == 0 and empty.schema == p.pack(flat, "city").schema
+    got = p.pack_streaming(str(tmp_path / "flat"), "farm", partitions=2, defer=False, tmp_dir=str(tmp_path), spark=spark)
+    assert rows(p.unpack(got, "bed")) == rows(flat)
+    empty = p.pack_streaming(flat.limit(0), "field")
+    assert empty.count() == 0 and empty.schema == p.pack(flat, "field").schema
     for bad in ({"partitions": 0}, {"partition_strategy": "round"}):
         with pytest.raises(ValueError):
-            p.pack_streaming(flat, "city", **bad)
+            p.pack_streaming(flat, "field", **bad)
 
 
 def test_null_root_keys_keep_their_attributes(spark):
     p = HierarchicalPacker(LINEAR)
-    df = spark.createDataFrame([(None, "none", "a", 1), (None, "none", "b", 2), ("x", None, "c", 3)], f"`{K}` string, `country.name` string, `{C}` string, `country.city.population` long")
-    assert rows(p.pack(df, "country", parent_strategy="split_join")) == rows(p.pack(df, "country"))
-    assert {r[K]: (r["country.name"], len(r["country.city"])) for r in p.pack(df, "country").collect()} == {None: ("none", 2), "x": (None, 1)}
+    df = spark.createDataFrame([(None, "none", "a", 1), (None, "none", "b", 2), ("x", None, "c", 3)], f"`{K}` string, `farm.name` string, `{C}` string, `farm.field.acres` long")
+    assert rows(p.pack(df, "farm", parent_strategy="split_join")) == rows(p.pack(df, "farm"))
+    assert {r[K]: (r["farm.name"], len(r["farm.field"])) for r in p.pack(df, "farm").collect()} == {None: ("none", 2), "x": (None, 1)}
 
 
 def plan_of(df):
@@ -269,18 +337,18 @@ def plan_of(df):
 
 def test_attributes_read_only_their_own_leaf(spark, flat, tmp_path):
     p = HierarchicalPacker(LINEAR)
-    p.pack(flat, "country").write.parquet(str(tmp_path / "packed"))
+    p.pack(flat, "farm").write.parquet(str(tmp_path / "packed"))
     packed = spark.read.parquet(str(tmp_path / "packed"))
-    schema = plan_of(packed.select(p.attribute_expr("population", from_level="city", to_level="country", agg="sum"))).split("ReadSchema: ")[1]
-    assert "population" in schema and "length" not in schema and "street" not in schema
+    schema = plan_of(packed.select(p.attribute_expr("acres", from_level="field", to_level="farm", agg="sum"))).split("ReadSchema: ")[1]
+    assert "acres" in schema and "width" not in schema and "bed" not in schema
 
 
 def test_view_pushes_filters_and_columns_to_the_scans(spark, flat, tmp_path):
     p = HierarchicalPacker(LINEAR)
     HierarchyView.from_frame(flat, p).sink_parquet(str(tmp_path))
     v = HierarchyView.scan_parquet(str(tmp_path), p, spark=spark, empty_parents="keep")
-    plan = plan_of(v.filter(col(K) == "US").tables()["street"].select(col("country.city.street.length")))
-    assert "EqualTo(country.code,US)" in plan or "EqualTo(`country.code`,US)" in plan
-    plan = plan_of(v.level("street").select(col("country.city.street.length")))
-    assert "population" not in plan and "country.name" not in plan
-    assert "Join" not in plan_of(v.tables()["street"])
+    plan = plan_of(v.filter(col(K) == "oak").tables()["bed"].select(col("farm.field.bed.width")))
+    assert "EqualTo(farm.tag,oak)" in plan or "EqualTo(`farm.tag`,oak)" in plan
+    plan = plan_of(v.level("bed").select(col("farm.field.bed.width")))
+    assert "acres" not in plan and "farm.name" not in plan
+    assert "Join" not in plan_of(v.tables()["bed"])

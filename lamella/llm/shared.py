@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.sources.scratch import delete_path, new_path, shared_folder, written
+from lamella.sources.scratch import delete_path, new_path, shared_folder, small_batches, written
 
-__all__ = ["claim", "components", "delete_path", "fewer", "give_back", "new_path", "shared_folder", "written"]
+__all__ = ["claim", "components", "delete_path", "fewer", "fresh", "give_back", "new_path", "others", "shared_folder", "small_batches", "written"]
 
 _STORES: list[dict] = []
 
@@ -36,6 +36,23 @@ def give_back() -> None:
         trim(0)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that ``df`` has no column of, in upper or lower case."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """``df``'s columns but those that ``names``, in upper or lower case, would repeat."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def fewer(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
     """``df`` in a number of tasks that follows its known row count, without another shuffle."""
     return df.coalesce(max(8, rows // per_task))

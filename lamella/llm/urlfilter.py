@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import written
-
-#: Keys that are left for later levels below this number are finished by the driver (16 bytes each).
-SMALL = 100_000
+from lamella.llm.shared import delete_path, fresh, others, written
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -116,90 +113,149 @@ def _unsigned(s: pd.Series) -> np.ndarray:
     return s.to_numpy(np.int64).view(np.uint64)
 
 
-def build_cascade(universe: DataFrame, wrong: float = 1 / 8) -> list[Level]:
-    """Levels for the distinct keys ``h1, h2, listed`` of ``universe``.
+class Cascade:
+    """The levels of each shard of a list, broadcast apart so that a task loads those that it meets."""
 
-    Level 0 encodes the listed keys; level 1 those other keys of the universe that level 0 holds
-    by mistake; level 2 the listed keys that level 1 holds; and so on until a level makes no
-    mistake. The result is exact on the whole universe. Each level is built and tried by all
-    tasks; only bits, already joined by word, come to the driver.
-    """
-    sides = {True: universe.filter("listed").select("h1", "h2"), False: universe.filter("NOT listed").select("h1", "h2")}
-    n = {side: df.count() for side, df in sides.items()}
-    levels: list[Level] = []
-    side = True
-    while n[True] + n[False] > SMALL and n[side]:
-        first = min(0.5, max(1e-6, n[True] / max(1, n[False]))) if not levels else wrong
-        level = Level.sized(len(levels), n[side], first)
-
-        def words(batches: Iterator[pd.DataFrame], level: Level = level) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                at, bits = level.set_words(_unsigned(b["h1"]), _unsigned(b["h2"]))
-                yield pd.DataFrame({"word": at, "bits": bits.view(np.int64)})
-
-        joined = sides[side].mapInPandas(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-        level.fill(joined["word"].to_numpy(np.int64), joined["bits"].to_numpy(np.int64).view(np.uint64))
-        levels.append(level)
-
-        def held(batches: Iterator[pd.DataFrame], level: Level = level) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b[level.holds(_unsigned(b["h1"]), _unsigned(b["h2"]))]
-
-        side = not side
-        sides[side], _ = written(sides[side].mapInPandas(held, "h1 bigint, h2 bigint"), "held")
-        n[side] = sides[side].count()
-    keys = {s: [_unsigned(p[c]) for c in ("h1", "h2")] for s, df in sides.items() for p in [df.limit(SMALL).toPandas()]} if n[side] else {}
-    while n[side]:
-        first = min(0.5, max(1e-6, n[True] / max(1, n[False]))) if not levels else wrong
-        level = Level.sized(len(levels), n[side], first)
-        level.fill(*level.set_words(*keys[side]))
-        levels.append(level)
-        side = not side
-        inside = level.holds(*keys[side])
-        keys[side] = [h[inside] for h in keys[side]]
-        n[side] = int(inside.sum())
-    return levels
-
-
-def _lookup(levels: Broadcast):
-    @F.pandas_udf("boolean")
-    def found(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(member(levels.value, _unsigned(a), _unsigned(b)))
+    def __init__(self, shards: int):
+        self.shards, self.levels, self.sent = shards, [[] for _ in range(shards)], [None] * shards
+
+    def send(self, spark: SparkSession, shard: int) -> None:
+        if self.sent[shard] is not None:
+            self.sent[shard].destroy()
+        self.sent[shard] = spark.sparkContext.broadcast(self.levels[shard])
+        if self.shards > 1:  # the driver holds one shard's bits at a time
+            self.levels[shard] = None
+
+    def added(self, spark: SparkSession, shard: int, level: Level) -> None:
+        own = self.levels[shard] if self.levels[shard] is not None else list(self.sent[shard].value)
+        _let_go(self.sent[shard], self.shards)
+        self.levels[shard] = [*own, level]
+        self.send(spark, shard)
+
+    def test(self, of: Callable[[list[Level], np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """A function of shards and hashes that applies ``of`` to each shard's levels and keys; it holds one shard at a time if there are several."""
+        sent, shards = list(self.sent), self.shards
+
+        def run(shard: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(h1), dtype=bool)
+            for k in np.unique(shard).tolist():
+                at = np.flatnonzero(shard == k)
+                out[at] = of(sent[k].value, h1[at], h2[at])
+                _let_go(sent[k], shards)
+            return out
+
+        return run
+
+
+def _let_go(sent: Broadcast | None, shards: int) -> None:
+    """Forgets the loaded value of one shard among several; it is loaded again from the worker's file when next asked for."""
+    if sent is not None and shards > 1 and hasattr(sent, "_value"):
+        del sent._value
+
+
+def _last_holds(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return levels[-1].holds(h1, h2)
+
+
+def _held(keys: DataFrame, cascade: Cascade) -> DataFrame:
+    """The keys that the latest level of their shard holds."""
+    test = cascade.test(_last_holds)
 
-    return found
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[test(b["shard"].to_numpy(), _unsigned(b["h1"]), _unsigned(b["h2"]))]
+
+    return keys.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields))
+
+
+def _encode(keys: DataFrame, number: int, cascade: Cascade, wrong: float) -> None:
+    """A further level, which holds ``keys``: tasks set bits and join them by word, and the driver takes one shard's words after another."""
+    spark = keys.sparkSession
+    sizes = {r["shard"]: r["n"] for r in keys.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    made = [Level.sized(number, max(1, sizes.get(k, 0)), wrong) for k in range(cascade.shards)]
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, part in b.groupby("shard"):
+                at, bits = made[k].set_words(_unsigned(part["h1"]), _unsigned(part["h2"]))
+                yield pd.DataFrame({"shard": np.int32(k), "word": at, "bits": bits.view(np.int64)})
+
+    joined = keys.select("h1", "h2", "shard").mapInPandas(words, "shard int, word bigint, bits bigint").groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+    joined, path = written(joined, "words")
+    for k in range(cascade.shards):
+        own = (joined.filter(F.col("shard") == k) if cascade.shards > 1 else joined).select("word", "bits").toPandas()
+        made[k].fill(own["word"].to_numpy(np.int64), own["bits"].to_numpy(np.int64).view(np.uint64))
+        cascade.added(spark, k, made[k])
+        made[k] = Level(number, made[k].bits, made[k].probes)
+    delete_path(spark, path)
+
+
+def build_cascade(corpus: DataFrame, listed: DataFrame, shards: int = 1, first: float = 1 / 64, wrong: float = 1 / 8) -> Cascade:
+    """The cascade that tells which keys (``h1, h2, shard``) of ``corpus`` are among those of ``listed``, for each of them.
+
+    Level 0 encodes the list, without a look at the corpus. Only the corpus keys that it holds, the
+    listed ones and a share ``first`` of the others, are made distinct and joined with the list to
+    tell the two apart. Level 1 encodes the others that were held by mistake, level 2 the listed
+    keys that level 1 holds, and so on, each with a share ``wrong`` of mistakes, until a level
+    makes none: the result is exact on every key of the corpus. Every level, of any size, is
+    built and tried by tasks.
+    """
+    spark = corpus.sparkSession
+    cascade = Cascade(shards)
+    _encode(listed, 0, cascade, first)
+    inside = _held(corpus, cascade).distinct().join(listed.select("h1", "h2", F.lit(True).alias("yes")), ["h1", "h2"], "left")
+    positives, path = written(inside.select("h1", "h2", "shard", F.coalesce("yes", F.lit(False)).alias("yes")), "positives")
+    paths = [path]
+    sides = {True: positives.filter("yes").select("h1", "h2", "shard"), False: positives.filter("NOT yes").select("h1", "h2", "shard")}
+    side, number = False, 1
+    while not sides[side].isEmpty():
+        _encode(sides[side], number, cascade, wrong)
+        side, number = not side, number + 1
+        sides[side], path = written(_held(sides[side], cascade), "held")
+        paths.append(path)
+    for path in paths:
+        delete_path(spark, path)
+    return cascade
 
 
 def in_list(df: DataFrame, key: Column, listed: DataFrame, out: str = "listed", most_bytes: int = 32 << 20) -> DataFrame:
-    """``df`` with a boolean column: whether ``key`` is among the first column of ``listed``; null keys are not.
+    """``df`` with a boolean column ``out`` (replaced if there is one): whether ``key`` is among the first column of ``listed``; null keys are not.
 
-    Exact without a join of ``df``'s rows: the cascade is built over the distinct keys of ``df``
-    and the listed ones and looked up by each row. It is broadcast, so its size is held below
-    ``most_bytes``: a longer list is split by key into shards, each with its own cascade and its
-    own pass over the rows that belong to it.
+    Exact without a join of ``df``'s rows: the cascade is built for the corpus's complete key
+    universe, the distinct keys of ``df``, and looked up by each row. It is broadcast, so what is
+    sent at a time is held below ``most_bytes``: a longer list is split by key into shards, and rows go
+    to the tasks of their shard, salted so that a frequent key has many. ``df`` is read once to
+    build and once to look up. An empty list lists nothing, an empty table gives an empty table.
     """
+    spark = df.sparkSession
+    k, a, b, s, salt = fresh(df, "_key", "_h1", "_h2", "_shard", "_salt")
     h1, h2 = key_hashes(key)
-    source = df.withColumns({"_key": key, "_h1": h1, "_h2": h2})
-    corpus = source.filter("_key IS NOT NULL").select("_h1", "_h2").distinct().select(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
-    own = listed.select(F.col(f"`{listed.columns[0]}`").alias("_key")).filter("_key IS NOT NULL")
-    own = own.select(*[c.alias(n) for c, n in zip(key_hashes(F.col("_key")), ("h1", "h2"), strict=True)]).distinct().withColumn("listed", F.lit(True))
-    universe, _ = written(corpus.join(own, ["h1", "h2"], "full").withColumn("listed", F.coalesce("listed", F.lit(False))), "universe")
-    n, yes = universe.agg(F.count(F.lit(1)), F.count_if("listed")).first()
-    bits = Level.sized(0, max(1, yes), min(0.5, max(1e-6, yes / max(1, n - yes)))).bits * 2
+    own = listed.select(F.col(f"`{listed.columns[0]}`").alias("key")).filter("key IS NOT NULL")
+    own, _ = written(own.select(*[c.alias(n) for c, n in zip(key_hashes(F.col("key")), ("h1", "h2"), strict=True)]).distinct(), "listed")
+    bits = Level.sized(0, max(1, own.count()), 1 / 64).bits * 5 // 4  # later levels are a small part of the first
     shards = max(1, -(-bits // (8 * most_bytes)))
-    parts = []
-    for k in range(shards):
-        here = F.pmod(F.col("h1"), F.lit(shards)) == k
-        found = _lookup(df.sparkSession.sparkContext.broadcast(build_cascade(universe.filter(here))))
-        rows = source if shards == 1 else source.filter(F.pmod(F.col("_h1"), F.lit(shards)) == k)
-        parts.append(rows.withColumn(out, F.col("_key").isNotNull() & found("_h1", "_h2")))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result.drop("_key", "_h1", "_h2")
+    dealt = lambda c: F.pmod(c, F.lit(shards)).cast("int")
+    source = df.select(*[F.col(f"`{c}`") for c in others(df, out)], key.isNotNull().alias(k), h1.alias(a), h2.alias(b), dealt(h1).alias(s))
+    corpus = source.filter(F.col(k)).select(F.col(a).alias("h1"), F.col(b).alias("h2"), F.col(s).alias("shard"))
+    cascade = build_cascade(corpus, own.withColumn("shard", dealt(F.col("h1"))), shards)
+    test = cascade.test(member)
+
+    @F.pandas_udf("boolean")
+    def found(shard: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(test(shard.to_numpy(), _unsigned(a), _unsigned(b)))
+
+    if shards > 1:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salted = source.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(-(-parts // shards))))
+        source = salted.repartition(max(parts, shards), s, salt).drop(salt)
+    return source.withColumn(out, F.col(k) & found(s, a, b)).drop(k, a, b, s)
 
 
 def judge(pages: DataFrame, rules: list[Rule], blocked_hosts: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict`` for every row, in which the longest fitting rule decides, and the list of blocked hosts where none fits."""
+    """``page_id, host, path, rule, verdict`` for every row, in which the longest fitting rule decides, and the list of blocked hosts where none fits.
+
+    Rows with a null id or url, and repeated rows, are judged like any other; an empty table gives an empty table.
+    """
     host, path = host_and_path(F.col(f"`{url}`"))
     split = pages.select(F.col(f"`{page_id}`").alias("page_id"), host.alias("host"), path.alias("path"))
     listed = in_list(split, F.col("host"), blocked_hosts, "_blocked")

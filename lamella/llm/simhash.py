@@ -61,32 +61,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def linked_fingerprints(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def linked_fingerprints(distinct: DataFrame, radius: int = 2, most: int = 64) -> DataFrame:
     """Edges ``a, b`` that connect all fingerprints (column ``fp``, distinct) within ``radius`` bits.
 
-    Candidates are fingerprints that share a masked value with another in some table of the
-    covering family; no pair within the radius is missed, and most fingerprints go here. The rest
-    are verified without forming the pairs of a bucket: every candidate goes to all values within
-    half the radius of itself, and two fingerprints are within the radius exactly if they meet
-    at such a value. All who meet at one value are within the radius of each other and number at
-    most as many as that ball has points (65 for radius 2), so the smallest stands for them.
-    An odd radius lets only one side move by the larger half.
+    Each fingerprint goes to one bucket, its masked value, in every table of the covering family;
+    two within the radius share a bucket in some table. Pairs are verified inside the buckets by
+    the bits that differ, and only those within the radius leave them. That is for buckets of at
+    most ``most`` fingerprints. What lies in a larger one is verified without its pairs: it goes to
+    all values within half the radius of itself, and two fingerprints are within the radius exactly
+    if they meet at such a value; those who meet at one number at most as many as that ball has
+    points (65 for radius 2) and are within the radius of each other, so the smallest stands for
+    them. So no pair is lost, whatever the sizes. An odd radius lets only one side of a large
+    bucket's pairs move by the larger half.
     """
     tables = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
     keyed = distinct.select("fp", F.posexplode(tables).alias("_table", "_mask")).select("fp", "_table", F.expr("fp & _mask").alias("_key"))
-    shared, _ = written(keyed.groupBy("_table", "_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_table", "_key"), "buckets")
-    candidates = keyed.join(shared, ["_table", "_key"], "left_semi").select("fp").distinct()
+    shared, _ = written(keyed.groupBy("_table", "_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "buckets")
+    held, _ = written(keyed.join(shared, ["_table", "_key"]), "held")
+    small = held.filter(F.col("_n") <= most).groupBy("_table", "_key").agg(F.collect_list("fp").alias("_all"))
+    near = lambda x: F.filter("_all", lambda y: (x < y) & (F.bit_count(x.bitwiseXOR(y)) <= radius))
+    inside = F.flatten(F.transform("_all", lambda x: F.transform(near(x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    edges = small.select(F.explode(inside).alias("_edge")).select("_edge.a", "_edge.b").distinct()
+    crowd = held.filter(F.col("_n") > most).select("fp").distinct()
     single = F.array(*[F.lit(_signed(1 << i)) for i in range(BITS)])
     ball = F.array(F.col("fp"))
     for _ in range(radius // 2):
         ball = F.array_distinct(F.concat(ball, F.flatten(F.transform(ball, lambda x: F.transform(single, lambda m: x.bitwiseXOR(m))))))
     if radius % 2 == 0:
-        met = candidates.select("fp", F.explode(ball).alias("_at")).groupBy("_at").agg(F.collect_list("fp").alias("_all")).filter("size(_all) > 1")
-        return met.select(F.array_min("_all").alias("a"), F.explode("_all").alias("b")).filter("a <> b")
+        met = crowd.select("fp", F.explode(ball).alias("_at")).groupBy("_at").agg(F.collect_list("fp").alias("_all")).filter("size(_all) > 1")
+        return edges.union(met.select(F.array_min("_all").alias("a"), F.explode("_all").alias("b")).filter("a <> b"))
     wide = F.array_distinct(F.concat(ball, F.flatten(F.transform(ball, lambda x: F.transform(single, lambda m: x.bitwiseXOR(m))))))
-    near = candidates.select("fp", F.explode(ball).alias("_at"))
-    far = candidates.select(F.col("fp").alias("b"), F.explode(wide).alias("_at"))
-    return near.join(far, "_at").filter("fp < b").select(F.col("fp").alias("a"), "b").distinct()
+    own = crowd.select("fp", F.explode(ball).alias("_at"))
+    far = crowd.select(F.col("fp").alias("b"), F.explode(wide).alias("_at"))
+    return edges.union(own.join(far, "_at").filter("fp < b").select(F.col("fp").alias("a"), "b").distinct())
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 2) -> DataFrame:

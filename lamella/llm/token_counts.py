@@ -4,39 +4,163 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.shared import fresh, give_back, others, written
 from lamella.llm.wordbpe import whole_text
 
+BLOCKS = "block bigint, token string, packed binary"
 
-def token_count(text: Column, tokenizer: str) -> Column:
-    """Number of tokens of ``text`` as the library gives them for the file ``tokenizer``.
 
-    Pieces are counted once per distinct pre-token run (a word between white space) and worker,
-    and joined there to the document's word frequencies. A shuffle join of the same two tables
-    would move a row per document and distinct word, more bytes than the texts themselves; the
-    lookup needs no exchange at all, has no hot key, and a lost task only refills its store.
+class _Index(dict):
+    """Key -> its number, in order of first use."""
 
-    Null and empty texts have 0 tokens. Texts of any length are counted whole.
+    def __missing__(self, key: str) -> int:
+        self[key] = out = len(self)
+        return out
+
+
+def frequencies(texts: list[str], split, pre_tokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of the texts, and for each the texts that hold it and how often.
+
+    ``tokens, bounds, docs, times``: token k stands ``times[i]`` times in text ``docs[i]`` for each i
+    from ``bounds[k]`` up to ``bounds[k + 1]``. A count over 255 takes several places of one text.
+    """
+    words, tokens = _Index(), _Index()
+    rows = [np.fromiter(map(words.__getitem__, own), np.int64, len(own)) for own in map(split, texts)]
+    if not words:
+        return [], np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    pair, n = np.unique(doc * len(words) + np.concatenate(rows), return_counts=True)
+    doc, word = np.divmod(pair, len(words))
+    parts = [[tokens[t] for t in pre_tokens(w)] for w in words]
+    sizes = np.array([len(p) for p in parts])
+    starts, flat = np.r_[0, np.cumsum(sizes)], np.fromiter((t for p in parts for t in p), np.int64)
+    long = sizes[word]
+    at = np.repeat(starts[word] - np.r_[0, np.cumsum(long)[:-1]], long) + np.arange(long.sum())
+    key = flat[at] * len(rows) + np.repeat(doc, long)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], np.repeat(n, long)[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    n = np.add.reduceat(n, first) if len(first) else n
+    token, doc = np.divmod(key[first], len(rows))
+    again = -(-n // 255)
+    last = np.cumsum(again) - 1
+    token, doc, times = np.repeat(token, again), np.repeat(doc, again), np.full(again.sum(), 255)
+    if len(last):
+        times[last] = n - 255 * (again - 1)
+    return list(tokens), np.searchsorted(token, np.arange(len(tokens) + 1)), doc, times
+
+
+def _blocks(texts: DataFrame, tokenizer: str, most_bytes: int = 4_000_000, most_texts: int = 60_000) -> DataFrame:
+    """Frequencies of the texts (``digest, text``) by block, a bounded number of distinct texts each.
+
+    A row per block and distinct pre-token; ``packed`` has the texts that hold it, by their place
+    in the block, two bytes each, and then how often, one byte each. One more row per block lists the
+    texts' digests; its ``token`` is the block's number after two spaces, with which no pre-token begins.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = whole_text(tokenizer)
+        part, number = TaskContext.get().partitionId(), 0
+        held: dict[bytes, str] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            nonlocal held, size, number
+            tokens, bounds, docs, times = frequencies(list(held.values()), encoder.split, encoder.pre_tokens)
+            block = (part << 32) + number
+            # each token's places, and after them its times
+            sizes = np.diff(bounds)
+            flat, at = np.empty(3 * len(docs), np.uint8), 3 * np.repeat(bounds[:-1], sizes)
+            within = np.arange(len(docs)) - np.repeat(bounds[:-1], sizes)
+            for byte in (0, 1):
+                flat[at + 2 * within + byte] = docs >> 8 * byte & 255
+            flat[at + 2 * np.repeat(sizes, sizes) + within] = times
+            packed = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer((3 * bounds).astype("<i4").tobytes()), pa.py_buffer(flat.tobytes())])
+            listed = pa.array([b"".join(held)], pa.binary())
+            held, size, number = {}, 0, number + 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block] * (len(tokens) + 1), pa.int64()), pa.array([*tokens, f"  {block}"]), pa.concat_arrays([packed, listed])],
+                names=["block", "token", "packed"],
+            )
+
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest not in held:
+                    held[digest] = text.as_py()
+                    size += len(held[digest])
+                    if size >= most_bytes or len(held) >= most_texts:
+                        yield rows()
+        if held:
+            yield rows()
+        give_back()
+
+    return texts.mapInArrow(of, BLOCKS)
+
+
+def text_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
+    """``digest, n_tokens`` of the distinct texts of ``digest, text`` (no nulls).
+
+    Pieces are counted once per distinct pre-token of the corpus. That table is joined to the
+    pre-token frequencies of the texts, and products are summed by text; no ids are made. Frequencies
+    travel by block of texts, three bytes for a text and pre-token, so the exchanges move less than
+    the texts; a frequent pre-token has a row per block, and large sides of the join split. Files
+    whose texts don't fall into independent pre-tokens are counted by the library, text by text.
     """
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = whole_text(tokenizer)
-        for texts in batches:
-            yield pd.Series([encoder.count(t) for t in texts], dtype="int64")
+        for b in batches:
+            yield pd.DataFrame({"digest": b["digest"], "n_tokens": [len(encoder.whole(t)) for t in b["text"]]})
+
+    if not whole_text(tokenizer).by_word:
+        counted = texts.mapInPandas(whole, "digest binary, n_tokens bigint")
+        return written(counted.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")[0]
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = whole_text(tokenizer)
+        for b in batches:
+            yield pd.DataFrame({"token": b["token"], "n": [len(encoder.piece_ids(t)) for t in b["token"]]})
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        names = rows["n"].isna().to_numpy()
+        digests = rows["packed"][names].iloc[0]
+        total = np.zeros(len(digests) // 16)
+        sizes = rows["packed"].str.len().to_numpy()[~names] // 3
+        if len(sizes):
+            flat = np.frombuffer(b"".join(rows["packed"][~names]), np.uint8).astype(np.int64)
+            start, long = np.repeat(3 * (np.cumsum(sizes) - sizes), sizes), np.repeat(sizes, sizes)
+            within = np.arange(sizes.sum()) - start // 3
+            docs = flat[start + 2 * within] + (flat[start + 2 * within + 1] << 8)
+            total = np.bincount(docs, flat[start + 2 * long + within] * np.repeat(rows["n"].to_numpy(float)[~names], sizes), len(total))
+        return pd.DataFrame({"digest": [digests[k : k + 16] for k in range(0, len(digests), 16)], "n_tokens": total.astype(np.int64)})
 
-    return count(F.coalesce(text, F.lit("")))
+    blocks, _ = written(_blocks(texts, tokenizer), "frequencies")
+    known = blocks.filter(~F.startswith("token", F.lit("  "))).select("token").distinct()
+    counted, _ = written(known.mapInPandas(pieces, "token string, n bigint"), "pieces")
+    joined = blocks.join(counted, "token", "left").select("block", "packed", "n")
+    counts = joined.groupBy("block").applyInPandas(sums, "digest binary, n_tokens bigint")
+    return written(counts.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")[0]
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 2048) -> DataFrame:
     """``df`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
-    One row per input row, repeated rows included; an empty table gives an empty table. Columns
-    of these names in ``df`` are replaced; all others pass through untouched.
+    One row per input row, repeated rows included; equal texts are counted once per block and meet
+    by their MD5. Null and empty texts have 0 tokens; texts of any length are counted whole; an
+    empty table gives an empty table. Columns of these names in ``df`` are replaced; all others
+    pass through untouched. ``df`` is read twice.
     """
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    out = df.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": token_count(whole, tokenizer)})
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    digest, own = fresh(df, "_digest", "_own")
+    counts = text_counts(df.select(F.unhex(F.md5(whole.cast("binary"))).alias("digest"), whole.alias("text")), tokenizer)
+    kept = others(df, "n_bytes", "n_tokens", "over_limit")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.octet_length(whole).cast("long").alias("n_bytes"), F.unhex(F.md5(whole.cast("binary"))).alias(digest))
+    out = rows.join(counts.withColumnRenamed("digest", own), F.col(digest) == F.col(own))
+    return out.select(*[F.col(f"`{c}`") for c in kept], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -6,7 +6,6 @@ import json
 import os
 import re
 from array import array
-from collections import Counter
 
 import numpy as np
 
@@ -19,43 +18,31 @@ WHITE_SPACE_NORMALIZER = [
     {"type": "Lowercase"},
 ]
 PRE_TOKEN_REGEX = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
-NUMBERS = "0-9²³¹¼-¾"
 
-#: Latin-1 characters that the two sides may not take alike as white space or text.
+#: Latin-1 characters that Python and the library may not take alike as white space or text.
 UNSAFE = bytes([*range(9), *range(14, 32), *range(127, 161)])
-PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
-def splits(text: str) -> bool:
-    """Whether a text may be split at white space: Latin-1 without ``UNSAFE`` characters and without what may be a special token."""
+def latin(text: str) -> bool:
+    """Whether Python's own lower case and split are the library's normalizer and white space: Latin-1 without ``UNSAFE`` characters."""
     try:
         data = text.encode("latin-1")
     except UnicodeEncodeError:
         return False
-    return len(data.translate(None, UNSAFE)) == len(data) and "<|" not in text
-
-
-def byte_letters() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
-    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+    return len(data.translate(None, UNSAFE)) == len(data)
 
 
 class _Words(dict):
-    """White-space-free word -> its ids as bytes, four each; a missing word is encoded once and kept."""
+    """Word -> its ids as bytes, four each; a missing word is encoded once and kept."""
 
-    def __init__(self, model, limit: int):
+    def __init__(self, owner: WholeText, limit: int):
         super().__init__()
-        self.model, self.limit, self.letters = model, limit, byte_letters()
+        self.owner, self.limit = owner, limit
 
     def __missing__(self, word: str) -> bytes:
         ids = array("I")
-        for part in PRE_TOKEN.findall(word):
-            if not part.isascii():
-                part = "".join([self.letters[b] for b in part.encode()])
-            ids.extend([t.id for t in self.model.tokenize(part)])
+        for part in self.owner.pre_tokens(word):
+            ids.extend(self.owner.piece_ids(part))
         self[word] = out = ids.tobytes()
         return out
 
@@ -64,15 +51,16 @@ class WholeText:
     """A tokenizer file (``.json`` for tokenizers, ``.model`` for sentencepiece), called as the library is by default, without added special tokens.
 
     For files of the white-space kind, words between white space are encoded independently of
-    their neighbours by construction (white space is dropped and no pre-token contains any), so
-    each distinct word is encoded once and looked up after that. At most ``limit`` words are
-    kept; beyond that the store is emptied and refilled. Other files, and texts with characters
-    outside Latin-1 or a possible special token, are given to the library whole.
+    their neighbours by construction (white space is dropped and no pre-token contains any), in
+    any script. A text is normalized once, by the file's own normalizer unless it is plain
+    Latin-1, and split into words; each distinct word goes through the file's own pre-tokenizer
+    and model once and is looked up after that. At most ``limit`` words are kept; beyond that the
+    store is emptied and refilled. Texts go to the library whole for files of another kind only.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.words = None
+        self.by_word = False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -88,32 +76,40 @@ class WholeText:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        if (made.get("normalizer") or {}).get("normalizers") == WHITE_SPACE_NORMALIZER and (steps[0].get("pattern") or {}).get("Regex") == PRE_TOKEN_REGEX:
-            self.words = _Words(tokenizer.model, limit)
+        added = made.get("added_tokens") or []
+        plain = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+        self.by_word = plain and (made.get("normalizer") or {}).get("normalizers") == WHITE_SPACE_NORMALIZER and (steps[0].get("pattern") or {}).get("Regex") == PRE_TOKEN_REGEX
+        self.tokenizer, self.words = tokenizer, _Words(self, limit)
+        self.special = {t["content"]: t["id"] for t in added}
+        self.apart = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if added else None
+
+    def split(self, text: str | None) -> list[str]:
+        """The normalized words of a text; a special token's string is a word by itself, marked by a space before it."""
+        text = text or ""
+        parts = self.apart.split(text) if self.apart and any(t in text for t in self.special) else [text]
+        out: list[str] = []
+        for k, part in enumerate(parts):
+            if k % 2:
+                out.append(" " + part)
+            elif latin(part):
+                out += part.lower().split()
+            else:
+                out += filter(None, self.tokenizer.normalizer.normalize_str(part).split(" "))
+        return out
 
-    def _split(self, text: str) -> list[str] | None:
-        """The words of a text that may be split at white space, else None."""
-        if self.words is None or not splits(text):
-            return None
-        if len(claim(self.words)) > self.words.limit:
-            self.words.clear()
-        return text.lower().split()
+    def pre_tokens(self, word: str) -> list[str]:
+        """What the model sees of a word: its pre-tokens, in the letters that stand for bytes."""
+        return [word] if word[:1] == " " else [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
 
-    def ids(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        split = self._split(text)
-        if split is None:
-            return np.array(self.whole(text), dtype=np.uint32)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, split)), dtype=np.uint32)
+    def piece_ids(self, pre_token: str) -> list[int]:
+        return [self.special[pre_token[1:]]] if pre_token[:1] == " " else [t.id for t in self.tokenizer.model.tokenize(pre_token)]
 
-    def count(self, text: str | None) -> int:
-        """Sum over distinct words of pieces times frequency; no ids are gathered."""
-        text = text or ""
-        split = self._split(text)
-        if split is None:
-            return len(self.whole(text))
-        words = self.words
-        return sum(len(words[w]) * n for w, n in Counter(split).items()) // 4
+    def ids(self, text: str | None) -> np.ndarray:
+        if not self.by_word:
+            return np.array(self.whole(text or ""), dtype=np.uint32)
+        if len(claim(self.words)) > self.words.limit:
+            self.words.clear()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), dtype=np.uint32)
 
 
 _OPEN: dict[str, WholeText] = {}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,17 +14,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = "struct<width:int,height:int,channels:int,samples:binary,hash:string,tiles:array<struct<row:int,col:int,npy:binary,hash:string>>,error:string>"
+FIELDS = (
+    "struct<width:int,height:int,channels:int,maximum:int,samples:binary,samples_bytes:bigint,samples_sha256:string,tail_crc32:bigint,"
+    "hash:string,tiles:array<struct<row:int,col:int,npy:binary,hash:string>>,tiles_crc32:bigint,error:string>"
+)
 HEAD = re.compile(rb"P([1-6])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)")
 
 
 def decode(data: bytes) -> np.ndarray:
     """An array of height x width x channels (1 or 3) of 8 or 16 bits from Netpbm P1 to P6 or an uncompressed BMP of 8, 24 or 32 bits.
 
-    Raises ValueError for anything else and for data that is too short.
+    Samples are as stored; ``decode_scaled`` also says what the largest may be. Raises
+    ValueError for anything else and for data that is too short.
     """
+    return decode_scaled(data)[0]
+
+
+def decode_scaled(data: bytes) -> tuple[np.ndarray, int]:
+    """``decode``'s array and the value that stands for full brightness: the header's maximum, 255 for bits and BMP."""
     if data[:2] == b"BM":
-        return _bmp(data)
+        return _bmp(data), 255
     m = HEAD.match(data)
     if not m:
         raise ValueError("neither Netpbm nor BMP")
@@ -54,8 +65,12 @@ def decode(data: bytes) -> np.ndarray:
     if len(values) < count:
         raise ValueError("too few samples")
     if kind in (1, 4):
-        values = (1 - values) * 255
-    return values.astype(np.uint16 if most > 255 else np.uint8).reshape(height, width, channels)
+        values, most = (1 - values) * 255, 255
+    elif not 0 < most < 65536:
+        raise ValueError("a maximum value outside 1 to 65535")
+    elif len(values) and values.max() > most:
+        raise ValueError("a sample above the maximum value")
+    return values.astype(np.uint16 if most > 255 else np.uint8).reshape(height, width, channels), most
 
 
 def _bmp(data: bytes) -> np.ndarray:
@@ -121,36 +136,43 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def features(media: Column, size: int = 32, tile: int = 16) -> Column:
+def features(media: Column, size: int = 64, tile: int = 32, keep: bool = True) -> Column:
     """Decodes a column of Netpbm or BMP bytes.
 
-    Gives the samples as stored (rows from the top, channels together), the whole image's
-    difference hash, and the image area-resized to ``size`` x ``size`` 8-bit samples as NPY tiles
-    of ``tile`` x ``tile``, each with its own hash. Null media give nulls; media that can't be
-    decoded give ``error`` and null for the rest; an image without pixels has no tiles.
+    Gives the samples as stored (rows from the top, channels together) with their length, SHA-256
+    and the CRC-32 of the last 16, the whole image's difference hash, and the image area-resized to
+    ``size`` x ``size`` 8-bit samples, scaled from the stored maximum to 255, as NPY tiles of
+    ``tile`` x ``tile``, each with its own hash, and the CRC-32 of all of them. Without ``keep`` the
+    bytes of samples and tiles stay in the worker, and only what is computed from them comes back.
+    Null media give nulls; media that can't be decoded give ``error`` and null for the rest; an
+    image without pixels has no tiles.
     """
 
     def one(data: bytes | None) -> dict | None:
         if data is None:
             return None
         try:
-            pixels = decode(data)
+            pixels, most = decode_scaled(data)
         except (ValueError, OverflowError) as e:
             return {"error": str(e)}
         height, width, channels = pixels.shape
-        out = {"width": width, "height": height, "channels": channels, "samples": pixels.tobytes(), "hash": None, "tiles": []}
+        samples = pixels.tobytes()
+        out = {"width": width, "height": height, "channels": channels, "maximum": most, "samples": samples if keep else None, "hash": None, "tiles": [], "tiles_crc32": 0}
+        out |= {"samples_bytes": len(samples), "samples_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:])}
         if pixels.size:
             out["hash"] = difference_hash(pixels)
-            small = np.clip(np.rint(area_resize(pixels, size, size)), 0, 255).astype(np.uint8)
+            small = np.clip(np.rint(area_resize(pixels, size, size) * (255 / most)), 0, 255).astype(np.uint8)
             for r in range(0, size, tile):
                 for c in range(0, size, tile):
                     part = small[r : r + tile, c : c + tile]
-                    out["tiles"].append({"row": r // tile, "col": c // tile, "npy": npy(part), "hash": difference_hash(part)})
+                    stored = npy(part)
+                    out["tiles_crc32"] = zlib.crc32(stored, out["tiles_crc32"])
+                    out["tiles"].append({"row": r // tile, "col": c // tile, "npy": stored if keep else None, "hash": difference_hash(part)})
         return out
 
     @F.pandas_udf(FIELDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ["width", "height", "channels", "samples", "hash", "tiles", "error"]
+        names = ["width", "height", "channels", "maximum", "samples", "samples_bytes", "samples_sha256", "tail_crc32", "hash", "tiles", "tiles_crc32", "error"]
         for values in batches:
             rows = [one(v) or {} for v in values]
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
@@ -171,21 +193,19 @@ def stored_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Each text stored as an image and read back: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``.
 
     ``feature`` is the image's difference hash, then its tiles' hashes, then the CRC-32 of the
-    NPY tiles. Null texts are empty; equal texts give equal values.
+    NPY tiles. Everything from ``payload_bytes`` to ``tail_crc32`` is of the samples decoded from the
+    stored bytes. Null texts are empty; equal texts give equal values; an empty table gives an empty table.
     """
     body = F.col(f"`{text}`")
     stored = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.octet_length(F.coalesce(body, F.lit(""))).cast("long").alias("n_bytes"), text_as_ppm(body).alias("media"))
-    read = stored.withColumn("f", features(F.col("media")))
-    samples = F.col("f.samples")
-    tiles = F.col("f.tiles")
-    whole = F.aggregate(F.transform(tiles, lambda t: t["npy"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    read = stored.withColumn("f", features(F.col("media"), keep=False))
     return read.select(
         "doc_id",
         "n_bytes",
-        F.octet_length(samples).cast("long").alias("payload_bytes"),
-        F.sha2(samples, 256).alias("payload_sha256"),
-        F.crc32(F.substring(samples, -16, 16)).alias("tail_crc32"),
+        F.col("f.samples_bytes").alias("payload_bytes"),
+        F.col("f.samples_sha256").alias("payload_sha256"),
+        F.col("f.tail_crc32").alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws("-", F.col("f.hash"), F.concat_ws("", F.transform(tiles, lambda t: t["hash"])), F.hex(F.crc32(whole))).alias("feature"),
+        F.concat_ws("-", F.col("f.hash"), F.concat_ws("", F.transform(F.col("f.tiles"), lambda t: t["hash"])), F.hex(F.col("f.tiles_crc32"))).alias("feature"),
     )

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import written
+from lamella.llm.shared import fresh, others, written
 from lamella.llm.wordbpe import whole_text
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -122,8 +122,9 @@ def token_pieces(df: DataFrame, tokenizer: str, text: str = "text", tokens: int
             yield pd.Series(out)
 
     new = ["piece", "start", "length", "ids_crc32"] + ["ids"] * ids
-    kept = [F.col(f"`{c}`") for c in df.columns if c != text and c not in new]
-    return df.select(*kept, F.explode(cut(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))).alias("_piece")).select(*kept, "_piece.*")
+    kept = [F.col(f"`{c}`") for c in others(df, text, *new)]
+    (made,) = fresh(df, "_piece")
+    return df.select(*kept, F.explode(cut(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))).alias(made)).select(*kept, f"{made}.*")
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), score: str = "dot", order: tuple[str, ...] = ()) -> DataFrame:
@@ -137,20 +138,23 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), score: str = "dot",
 
     ``order`` names columns that tell pieces of one length apart; it makes ranks repeatable when
     a task runs again, and defaults to all columns. Equal rows are interchangeable. An empty
-    table gives an empty table. ``pieces`` is read more than once: pass a written table.
+    table gives an empty table. Columns of ``pieces`` called ``sequence_id`` or ``offset`` are
+    replaced, all others pass through whatever their names. ``pieces`` is read more than once:
+    pass a written table.
     """
-    names = list(order) or [c for c in pieces.columns if c != "length"]
+    kept = others(pieces, "sequence_id", "offset")
+    names = list(order) or [c for c in kept if c.lower() != "length"]
+    group, n, before, rank, spot = fresh(pieces, "_group", "_n", "_before", "_rank", "_place")
     spark = pieces.sparkSession
-    groups = pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    groups = max(256, 4 * int(groups))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(groups)))
-    sizes, _ = written(dealt.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n")), "lengths")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    groups = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pieces.withColumn(group, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(groups)))
+    sizes, _ = written(dealt.groupBy("length", group).agg(F.count(F.lit(1)).alias(n)), "lengths")
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum(n).alias("n")).collect()}
     runs = plan(counts, capacity, score)
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_group").orderBy(*[F.col(f"`{c}`") for c in names])
-    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    earlier = Window.partitionBy("length").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", group, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy("length", group).orderBy(*[F.col(f"`{c}`") for c in names])
+    ranked = dealt.withColumn(rank, F.row_number().over(within) - 1).join(starts, ["length", group]).withColumn(rank, F.col(rank) + F.col(before))
     shared = spark.sparkContext.broadcast(runs)
 
     @F.pandas_udf("struct<sequence_id:bigint,offset:bigint>")
@@ -161,8 +165,8 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), score: str = "dot",
         k = rank.to_numpy(np.int64) - r["rank"][at]
         return pd.DataFrame({"sequence_id": r["sequence"][at] + k // r["per_bin"][at], "offset": r["offset"][at] + k % r["per_bin"][at] * r["length"][at]})
 
-    out = ranked.withColumn("_place", place("length", "_rank"))
-    return out.select(*[F.col(f"`{c}`") for c in pieces.columns], "_place.*")
+    out = ranked.withColumn(spot, place("length", rank))
+    return out.select(*[F.col(f"`{c}`") for c in kept], f"{spot}.*")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: Capacity = Capacity(), score: str = "dot") -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import claim, give_back
+from lamella.llm.shared import claim, fresh, give_back, others, written
 
 EDGES = string.punctuation + string.whitespace + "«»“”„’‘…–—"
 
@@ -22,11 +22,13 @@ EDGES = string.punctuation + string.whitespace + "«»“”„’‘…–—"
 @dataclass(frozen=True)
 class Settings:
     """``bits``: log2 of the number of coordinates. ``sample``: the bound on labelled rows that
-    are learned from. alpha, beta, l1 and l2 are the usual ones of FTRL-proximal; a large l1
+    are learned from, ``sample_bytes`` that on their features, four bytes each, which one task
+    holds. alpha, beta, l1 and l2 are the usual ones of FTRL-proximal; a large l1
     leaves few weights other than 0. ``epochs``: passes over the sample."""
 
     bits: int = 20
     sample: int = 12_000
+    sample_bytes: int = 256 << 20
     alpha: float = 4.0
     beta: float = 1.0
     l1: float = 4.0
@@ -115,9 +117,9 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, settings: Settings) ->
 def train(df: DataFrame, text: str = "text", label: str = "label", settings: Settings = Settings()) -> Model:
     """Learns from rows with a label of 0 or 1 and any text; others are ignored.
 
-    ``df`` must be bounded by the caller (see ``sampled_labels``). Features are made by all tasks;
-    one task then sorts the bounded sample by a hash, so that a repeated run gives the same
-    model, and learns. Without rows of both labels the model is a constant: the share of ones,
+    ``df``'s rows must be bounded by the caller (see ``sampled_labels``). Features are made by all tasks;
+    if they exceed ``settings.sample_bytes``, fewer rows are taken, by the hash of their text. One task
+    then sorts the bounded sample by that hash, so that a repeated run gives the same model, and learns. Without rows of both labels the model is a constant: the share of ones,
     or one half of no rows.
     """
     bits = settings.bits
@@ -140,7 +142,10 @@ def train(df: DataFrame, text: str = "text", label: str = "label", settings: Set
         yield pd.DataFrame({"bias": [bias], "index": [at.tobytes()], "weight": [w[at].astype("f4").tobytes()]})
 
     known = df.filter(F.col(f"`{label}`").isin(0, 1)).select(F.col(f"`{label}`").cast("int").alias("_y"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
-    rows = known.select("_y", features("_t").alias("_x"), F.xxhash64("_t").alias("_order"))
+    rows, _ = written(known.select("_y", features("_t").alias("_x"), F.xxhash64("_t").alias("_order")), "features")
+    size = rows.agg(F.sum(F.octet_length("_x").cast("long"))).first()[0] or 0
+    if size > settings.sample_bytes:
+        rows = rows.filter(F.pmod("_order", F.lit(1 << 24)) < int(0.95 * settings.sample_bytes / size * (1 << 24)))
     learned = rows.repartition(1).mapInPandas(learn, "bias double, index binary, weight binary").collect()
     if learned:
         r = learned[0]
@@ -189,12 +194,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """``docs`` with ``held_out, score, predicted``.
 
     Learns from documents whose labels may be used, on at most ``settings.sample`` labelled ids
-    (the least text of each, should ids repeat), and scores every document. Only the
-    text enters a score. Columns of the new names are replaced, others pass through.
+    (the least text of each, should ids repeat), and scores every document, repeated rows and
+    rows without an id included. Only the text enters a score; null and empty texts get the bias
+    alone. Columns of the new names are replaced, others pass through; an empty table gives an empty table.
     """
     usable = sampled_labels(labels.filter(~held_out(F.col(f"`{doc_id}`"))), doc_id, label, settings.sample)
     side = usable.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").alias("_label"))
     known = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).join(F.broadcast(side), "_id")
     model = train(known.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), "_text", "_label", settings)
-    out = docs.withColumns({"held_out": held_out(F.col(f"`{doc_id}`")), "score": toxicity(F.col(f"`{text}`"), model)})
+    (id_, body), kept = fresh(docs, "_id", "_text"), others(docs, "held_out", "score", "predicted")
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{doc_id}`").alias(id_), F.col(f"`{text}`").alias(body))
+    out = out.select(*[F.col(f"`{c}`") for c in kept], held_out(F.col(id_)).alias("held_out"), toxicity(F.col(body), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

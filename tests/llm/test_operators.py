@@ -1,7 +1,10 @@
 """The corpus operators against brute force, round trips and the libraries they agree with."""
 
 import base64
+import gzip
 import hashlib
+import io
+import math
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -74,6 +77,43 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.pages_through_archives(pages.limit(0)).count() == 0
 
 
+def test_archives_have_a_member_per_record_and_bounded_files(spark, tmp_path):
+    """Pages of a megabyte, in archives of about two; a record's member is unpacked without the others."""
+    rng = np.random.default_rng(31)
+    html = [bytes(rng.integers(33, 127, 1_000_000, dtype=np.uint8)).decode() for _ in range(12)] + ["x" * 17_000_000, "", None]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, str(tmp_path / "a"), file_bytes=2_000_000)
+    files = sorted((tmp_path / "a").rglob("*.warc.gz"))
+    assert len(files) >= 6 and all(f.stat().st_size < 3_200_000 for f in files) and not list((tmp_path / "a").rglob("*.txt"))
+    kinds, sizes = [], []
+    for f in files:
+        left = f.read_bytes()
+        while left:
+            one = zlib.decompressobj(31)
+            record = one.decompress(left)
+            left = one.unused_data
+            assert one.eof and (not record or record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n"))
+            kinds += [record.split(b"\r\n")[1]] if record else []
+            sizes.append(len(record))
+        assert sum(1 for _ in warc.parse(f.read_bytes())) == sum(1 for _ in warc.parse(gzip.decompress(f.read_bytes())))
+    assert len(kinds) == 45 and kinds.count(b"WARC-Type: response") == 14 and kinds.count(b"WARC-Type: revisit") == 1
+    assert all(len(part) <= 1 << 20 for f in files for part in warc.plain_bytes(f.read_bytes()))
+    got = {r["requests"][0]["headers"]["warc-target-uri"]: r["response"] for r in warc.assemble(warc.read_archives(spark, str(tmp_path / "a")).cache()).collect()}
+    for i, h in enumerate(html):
+        r = got[f"http://h/{i}"]
+        assert bytes(r["payload"]) == (h or "").encode()
+    assert got["http://h/14"]["headers"]["warc-refers-to"] == got["http://h/13"]["record_id"]
+
+
+def test_warc_links_of_any_length(spark):
+    def record(i, kind, to):
+        return (i, kind, to, {}, 1, b"p", 1, "d")
+
+    chain = [record("r", "response", []), record("q0", "request", ["r"])] + [record(f"q{k}", "request", [f"q{k - 1}"]) for k in range(1, 9)] + [record("n", "metadata", ["n2"]), record("n2", "metadata", ["n"]), record(None, "metadata", ["r"])]
+    got = warc.assemble(spark.createDataFrame(chain, warc.RECORD)).collect()
+    assert [(r["record_id"], [x["record_id"] for x in r["requests"]], r["metadata"]) for r in got] == [("r", [f"q{k}" for k in range(9)], [])]
+
+
 def test_warc_assembly_follows_links_both_ways(spark):
     def record(i, kind, to):
         return (i, kind, to, {"k": i}, 1, b"p", 1, "d")
@@ -134,6 +174,24 @@ def test_packing_documents(spark, odd, docs):
     assert packing.pack_documents(odd.limit(0), default_path()).count() == 0
 
 
+def test_all_three_capacities_bind(spark):
+    """Packed under each set of bounds: every bound holds, and taking any of the three away changes what fits."""
+    lengths = np.clip(np.random.default_rng(5).lognormal(4.5, 1.2, 4000).astype(int), 1, 1500)
+    df = spark.createDataFrame([(i, int(n), "z", "y", 0.5) for i, n in enumerate(lengths)], "doc_id int, length long, _group string, Offset string, _n double")
+    full = packing.Capacity(2048, 12, 1100 * 2048)
+    used = {}
+    for name, capacity in {"all": full, "tokens": packing.Capacity(10**6, 12, 1100 * 2048), "documents": packing.Capacity(2048, None, 1100 * 2048), "attention": packing.Capacity(2048, 12)}.items():
+        out = packing.pack(df, capacity)
+        assert out.columns == ["doc_id", "length", "_group", "_n", "sequence_id", "offset"]
+        got = out.toPandas()
+        assert sorted(got["doc_id"]) == list(range(len(lengths))) and set(got["_group"]) == {"z"} and set(got["_n"]) == {0.5}
+        sums = got.assign(square=got["length"] ** 2).groupby("sequence_id").agg(tokens=("length", "sum"), documents=("doc_id", "size"), attention=("square", "sum"))
+        assert (sums[["tokens", "documents", "attention"]].to_numpy() <= capacity.vector()).all()
+        assert (got.sort_values("offset").groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all()
+        used[name] = len(sums)
+    assert all(used[name] < used["all"] for name in ("tokens", "documents", "attention"))
+
+
 # 3
 
 
@@ -161,6 +219,48 @@ def test_area_resize_equals_counting_every_part():
     assert np.allclose(media.area_resize(image, 3, 4), want)
 
 
+def slow_resize(image, height, width):
+    """Each target cell's mean, by the part of every pixel that lies in it."""
+    h, w, channels = image.shape
+    out = np.zeros((height, width, channels))
+    for r in range(height):
+        for c in range(width):
+            for y in range(h):
+                for x in range(w):
+                    inside = max(0.0, min(y + 1, (r + 1) * h / height) - max(y, r * h / height)) * max(0.0, min(x + 1, (c + 1) * w / width) - max(x, c * w / width))
+                    out[r, c] += inside * image[y, x]
+    return out * height * width / (h * w)
+
+
+def slow_hash(image):
+    grey = slow_resize(image.astype(float), 8, 9).mean(axis=2)
+    return f"{int(''.join('1' if grey[r, c] < grey[r, c + 1] else '0' for r in range(8) for c in range(8)), 2):016x}"
+
+
+def test_features_equal_a_slow_version(spark):
+    """Tiles are NPY files of the resized image, scaled to 255; hashes are of the whole and of each tile."""
+    rng = np.random.default_rng(33)
+    ramp = np.arange(65536, dtype=">u2").reshape(256, 256)
+    cases = [
+        (b"P6\n5 7\n255\n", rng.integers(0, 256, (7, 5, 3)), 255), (b"P5\n6 4\n15\n", rng.integers(0, 16, (4, 6, 1)), 15), (b"P6\n3 9\n1000\n", rng.integers(0, 1001, (9, 3, 3)), 1000),
+    ]
+    stored = [head + image.astype(">u2" if most > 255 else np.uint8).tobytes() for head, image, most in cases]
+    made = spark.createDataFrame([(i, d) for i, d in enumerate(stored)], "i int, m binary").select("i", media.features(F.col("m"), 8, 4).alias("f")).orderBy("i").collect()
+    for (_, image, most), r in zip(cases, made):
+        f = r["f"]
+        want = slow_resize(image.astype(float), 8, 8) * 255 / most
+        tiles = {(t["row"], t["col"]): np.load(io.BytesIO(t["npy"])) for t in f["tiles"]}
+        got = np.concatenate([np.concatenate([tiles[a, b] for b in (0, 1)], axis=1) for a in (0, 1)])
+        assert got.dtype == np.uint8 and np.abs(got - want).max() <= 0.5 + 1e-6
+        assert f["hash"] == slow_hash(image) and all(t["hash"] == slow_hash(tiles[t["row"], t["col"]]) for t in f["tiles"])
+        assert f["maximum"] == most and bytes(f["samples"]) == image.astype(np.uint16 if most > 255 else np.uint8).tobytes()
+        assert f["tiles_crc32"] == zlib.crc32(b"".join(t["npy"] for t in f["tiles"])) and f["samples_sha256"] == hashlib.sha256(f["samples"]).hexdigest()
+    wide = spark.createDataFrame([(b"P5\n256 256\n65535\n" + ramp.tobytes(),), (b"P5\n2 1\n9\n\x00\x0a",), (b"P5\n1 1\n0\n\x00",)], "m binary").select(media.features(F.col("m")).alias("f")).collect()
+    levels = np.concatenate([np.load(io.BytesIO(t["npy"])).ravel() for t in wide[0]["f"]["tiles"]])
+    assert levels.min() < 4 and levels.max() > 251 and len(np.unique(levels)) > 60
+    assert wide[1]["f"]["error"] and wide[2]["f"]["error"]
+
+
 def test_texts_as_images(odd, spark):
     got = media.stored_texts(odd).collect()
     by_text = defaultdict(set)
@@ -201,6 +301,57 @@ def test_toxicity_of_odd_tables(odd, spark):
     assert toxicity.score_documents(odd.limit(0), labels).count() == 0
 
 
+def test_ftrl_equals_a_scalar_loop():
+    rng = np.random.default_rng(35)
+    settings = toxicity.Settings(bits=8, alpha=0.7, l1=0.3, l2=0.2, epochs=3)
+    examples = [np.unique(rng.integers(0, 256, int(rng.integers(0, 30)))).astype(np.int32) for _ in range(120)]
+    labels = rng.integers(0, 2, 120).astype(float)
+    n, z, bias, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= settings.l1:
+            return 0.0
+        return -(z[i] - math.copysign(settings.l1, z[i])) / ((settings.beta + math.sqrt(n[i])) / settings.alpha + settings.l2)
+
+    for _ in range(settings.epochs):
+        for x, y in zip(examples, labels):
+            own = {int(i): weight(int(i)) for i in x}
+            g = 1 / (1 + math.exp(-(bias + sum(own.values())))) - y
+            for i, w in own.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / settings.alpha * w
+                n[i] += g * g
+            bias_n += g * g
+            bias -= settings.alpha / (settings.beta + math.sqrt(bias_n)) * g
+    got_bias, got = toxicity.ftrl(examples, labels, settings)
+    assert abs(got_bias - bias) < 1e-9 and np.allclose(got, [weight(i) for i in range(256)], atol=1e-9) and (got == 0).any() and (got != 0).any()
+
+
+def test_coordinates_equal_a_slow_list_of_grams():
+    for text in ["", None, "One two, THREE four! two --", "a b", "a", "“Quoted” words… and so on - " * 5]:
+        bare = [w.strip(toxicity.EDGES) for w in (text or "").lower().split()]
+        bare = [w for w in bare if w]
+        h, odd = [xxhash.xxh64_intdigest(w, 7) for w in bare], 0x9E3779B97F4A7C15
+        grams = [x * odd for x in h] + [xxhash.xxh64_intdigest(w[:5], 9) * odd for w in bare]
+        grams += [(h[i] * 3 + h[i + 1]) * odd for i in range(len(h) - 1)] + [(h[i] * 5 + h[i + 2] * 7) * odd for i in range(len(h) - 2)]
+        assert sorted(toxicity.coordinates(text, 20).tolist()) == sorted(g % 2**64 >> 44 for g in grams)
+
+
+def test_scores_are_the_sum_of_the_weights_of_a_text(spark, docs):
+    model = toxicity.train(docs.withColumn("label", F.col("text").contains("stupid").cast("int")))
+    dense = model.dense()
+    got = docs.limit(50).select("text", toxicity.toxicity(F.col("text"), model).alias("score")).collect()
+    for r in got:
+        z = model.bias + sum(float(dense[i]) for i in set(toxicity.coordinates(r["text"], model.bits).tolist()))
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-6
+
+
+def test_a_sample_over_its_bytes_is_cut_by_hash(spark, docs):
+    labelled = docs.withColumn("label", F.col("text").contains("stupid").cast("int"))
+    small = toxicity.train(labelled, settings=toxicity.Settings(sample_bytes=60_000))
+    again = toxicity.train(labelled.repartition(5), settings=toxicity.Settings(sample_bytes=60_000))
+    assert (small.index == again.index).all() and small.bias == again.bias != toxicity.train(labelled).bias
+
+
 def test_model_is_sparse_and_repeatable(spark, docs):
     labelled = docs.withColumn("label", F.col("text").contains("stupid").cast("int"))
     a, b = toxicity.train(labelled), toxicity.train(labelled.repartition(3))
@@ -210,19 +361,36 @@ def test_model_is_sparse_and_repeatable(spark, docs):
 # 5
 
 
-@pytest.mark.parametrize("small", [100_000, 40])
-def test_cascade_is_exact_on_its_universe(spark, monkeypatch, small):
-    monkeypatch.setattr(urlfilter, "SMALL", small)
-    df = spark.range(900).selectExpr("CASE WHEN id % 50 = 7 THEN NULL ELSE concat('h', id % 600) END AS host", "id AS listed")
-    listed = spark.range(700).filter("id % 3 = 0").selectExpr("concat('h', id) AS k")
+def test_cascade_is_exact_on_its_universe(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 50 = 7 THEN NULL ELSE concat('h', id % 2000) END AS host", "id AS listed", "'k' AS _key", "id AS _h1", "'s' AS _shard")
+    listed = spark.range(2100).filter("id % 3 = 0").selectExpr("concat('h', id) AS k")
     keys = {r[0] for r in listed.collect()}
-    for most in (32 << 20, 20):
-        got = urlfilter.in_list(df, F.col("host"), listed, "inside", most_bytes=most).collect()
-        assert len(got) == 900 and all(r["inside"] == (r["host"] in keys) for r in got)
+    for most in (32 << 20, 200):  # one cascade, and several shards
+        out = urlfilter.in_list(df, F.col("host"), listed, "inside", most_bytes=most)
+        got = out.collect()
+        assert out.columns == [*df.columns, "inside"] and len(got) == 3000 and all(r["inside"] == (r["host"] in keys) for r in got)
+        assert {r["_key"] for r in got} == {"k"} and sorted(r["_h1"] for r in got) == list(range(3000)) and {r["_shard"] for r in got} == {"s"}
     assert urlfilter.in_list(df.limit(0), F.col("host"), listed).count() == 0
+    assert urlfilter.in_list(df, F.col("host"), listed).columns == ["host", "_key", "_h1", "_shard", "listed"]
     assert not any(r["inside"] for r in urlfilter.in_list(df, F.col("host"), listed.limit(0), "inside").collect())
 
 
+def test_levels_alternate_and_undo_each_others_mistakes(spark):
+    def keys(df):
+        return df.select(*[c.alias(n) for c, n in zip(urlfilter.key_hashes(F.col("k")), ("h1", "h2"))], F.lit(0).alias("shard"))
+
+    corpus, listed = spark.range(20000).selectExpr("cast(id AS string) AS k"), spark.range(5000).selectExpr("cast(id * 3 AS string) AS k")
+    cascade = urlfilter.build_cascade(keys(corpus), keys(listed), first=1 / 8)
+    levels = cascade.sent[0].value
+    rows = keys(corpus).toPandas()
+    h1, h2 = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
+    inside = np.array([int(r["k"]) % 3 == 0 and int(r["k"]) < 15000 for r in corpus.collect()])
+    assert len(levels) >= 4 and (urlfilter.member(levels, h1, h2) == inside).all()
+    for k in range(len(levels)):  # without any one level some key is judged wrongly, without the last ones too
+        assert (urlfilter.member(levels[:k], h1, h2) != inside).any()
+    assert levels[0].holds(h1[inside], h2[inside]).all() and 0 < levels[0].holds(h1[~inside], h2[~inside]).mean() < 0.3
+
+
 def test_rules(spark):
     urls = ["HTTP://Example.COM/en/7?x", "x://a.example.com/en/7", "http://notexample.com/en/7", "http://com/en/", "http://b.example.net/de/8#t", "http://c.net/de/9", "no scheme", None, "http://x.org", "://é.org/es/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -278,6 +446,22 @@ def test_linked_fingerprints_equal_all_pairs(spark):
         assert got == want
 
 
+def test_tables_decide_the_links_and_crowded_buckets_lose_none(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    prints = sorted({int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in rng.integers(0, 2**62, 5) for i, j in rng.integers(0, 63, (40, 2))})
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    want = slow_components([(a, b) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 2], prints)
+    for most in (2, 64, 10**6):  # by balls, mixed, and by pairs in buckets alone
+        got = slow_components([(r["a"], r["b"]) for r in simhash.linked_fingerprints(df, 2, most).collect()], prints)
+        assert got == want
+    edges = simhash.linked_fingerprints(df, 2, 10**6).collect()
+    assert all(0 < (r["a"] ^ r["b"]).bit_count() <= 2 for r in edges)
+    one = simhash.covering_masks(2)[:1]
+    monkeypatch.setattr(simhash, "covering_masks", lambda radius: one)
+    fewer = {(r["a"], r["b"]) for r in simhash.linked_fingerprints(df, 2, 10**6).collect()}
+    assert fewer == {(r["a"], r["b"]) for r in edges if not (r["a"] ^ r["b"]) & one[0]} and len(fewer) < len(edges)
+
+
 def test_simhash_near_duplicates(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -341,12 +525,38 @@ def test_short_near_copies_of_any_length_are_linked(spark):
     assert got == {d: d // 2 * 2 for d, _ in rows}
 
 
-def test_segments_move_with_the_text():
-    words = [f"w{x}".encode() for x in np.random.default_rng(1).integers(0, 900, 600)]
-    keys, sizes, n = similar.segments(b" ".join(words))
-    edited, _, _ = similar.segments(b" ".join([*words[:300], b"new", *words[301:]]))
-    assert n == 600 and sizes.sum() <= 600 and len(set(keys.tolist()) - set(edited.tolist())) <= 3
-    assert similar.segments(b" ")[2] == 0 and similar.segments(None)[2] == 0
+def test_overlaps_equal_counting():
+    rng = np.random.default_rng(25)
+    sets = [set(rng.integers(0, 60, int(rng.integers(0, 40))).tolist()) for _ in range(50)] + [set(range(1000, 1000 + n)) for n in (0, 30, 31)]
+    row = np.array([i for i, x in enumerate(sets) for _ in x])
+    element = np.array([e for x in sets for e in x], dtype=np.uint64)
+    for few in (1, 4, 100):
+        got = similar.overlaps(row, element, len(sets), few)
+        assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(len(sets)) for j in range(len(sets)) if i != j)
+
+
+def test_what_the_base_does_not_link_is_linked_all_the_same(spark):
+    """Families with many copies too far from their base, some of which are near copies of each other; keys dealt over many blocks."""
+    rng = np.random.default_rng(26)
+    rows, n = [], 150
+    for _ in range(2):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        for k in range(160):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 14))):
+                copy[int(rng.integers(0, n))] = f"e{rng.integers(0, 10**9)}"
+            rows.append(copy)
+            if k % 5 == 0:  # a copy of the copy
+                again = list(copy)
+                again[int(rng.integers(0, n))] = f"f{rng.integers(0, 10**9)}"
+                rows.append(again)
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    sets = [frozenset(substring.shingles(" ".join(r).encode(), 5).tolist()) for r in rows]
+    prints = [slow_simhash(" ".join(r)) for r in rows]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 2]
+    want = slow_components(links, range(len(rows)))
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert got == want and 3 <= len(set(want.values())) < len(rows)
 
 
 # 7
@@ -355,7 +565,7 @@ def test_segments_move_with_the_text():
 def test_pieces_equal_the_library(spark, odd):
     model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
     texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    texts += ["", None, " ", "  a   b  ", "\n\tx", "日本語 😀 é́", "▁x y", "a" * 500 + " b", "<s>x</s> <0x41>", "word " * 5000]
+    texts += ["", None, " ", "  a   b  ", "\n\tx", "日本語 😀 é́", "▁x y", "a▁▁b ▁", "a" * 500 + " b", "x" * 193 + "▁" + "é" * 400, "<s>x</s> <0x41>", "word " * 5000]
     for text, ids in zip(texts, model.encode(texts)):
         assert ids.tolist() == model.library.encode(text or "") and model.decode(ids) == model.library.decode(ids.tolist())
     out = pieces.encoded_documents(odd, public_tokenizers.path("piece_bpe_32k.model")).collect()
@@ -363,6 +573,30 @@ def test_pieces_equal_the_library(spark, odd):
     assert pieces.encoded_documents(odd.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_best_sums_of_byte_pair_pieces_equal_a_slow_search(spark, odd):
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    score = {t: float(s) for t, s, k in zip(model.texts, model.scores, model.kinds) if k == pieces.NORMAL}
+    low = min(score.values()) - 10
+    words = sorted({w for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(20).collect() for w in r["text"].split()})[:300] + ["日本x", "a" * 40]
+
+    def best(word):
+        at = [0.0]
+        for end in range(1, len(word) + 1):
+            at.append(max((at[k] + score.get(word[k:end], low if end - k == 1 else -math.inf) for k in range(max(0, end - model.longest), end))))
+        return at[-1]
+
+    for word, ids in zip(words, model.encode(words, True)):
+        got = sum(score.get(model.texts[i], 0.0) for i in ids if model.kinds[i] == pieces.NORMAL) + low * sum(1 for c in word if c not in score)
+        assert abs(got - best("▁" + word)) <= 1e-4 * abs(got) and model.decode(ids) == word
+    long = " ".join(["x" * 700, "y" * 193, "z"])
+    assert model.decode(model.encode([long], True)[0]) == long
+    rows = {r["doc_id"]: r for r in pieces.encoded_documents(odd, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    for i in (4, 7, 8):
+        ids = model.encode([ODD[i]], True)[0]
+        assert (rows[i]["n_best"], rows[i]["best_crc32"]) == (len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+        assert rows[i]["n_pieces"] == len(model.library.encode(ODD[i]))
+
+
 def unigram_file(path, listed):
     """A small unigram model, written field by field."""
     import struct
@@ -408,7 +642,7 @@ def exact_links(vectors, least=0.95):
     return [(a, b) for a, b in combinations(sorted(unit), 2) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least]
 
 
-@pytest.mark.parametrize("settings", [embed_dedup.Settings(), embed_dedup.Settings(cell=60, block=40)])
+@pytest.mark.parametrize("settings", [embed_dedup.Settings(), embed_dedup.Settings(cell=60, block=40), embed_dedup.Settings(cell=10**6, block=60)])
 def test_embedding_links(spark, settings):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((30, 64))
@@ -451,7 +685,7 @@ def test_compact_windows_equal_the_definition():
     rng = np.random.default_rng(0)
     for n in (10, 46, 47, 100, 500):
         values = substring.mixed(rng.integers(0, n // 2 + 1, n).astype(np.uint64))
-        placed = (values & ~substring.PLACE) | np.arange(n, dtype=np.uint64)
+        placed, _ = substring.placed(values)
         want = []
         for i in range(n):
             a = b = i
@@ -527,6 +761,59 @@ def test_passages_of_lines_that_earlier_documents_have(spark):
     assert all(min(s["start"] for s in r["spans"]) <= 50 and max(s["end"] for s in r["spans"]) >= 110 for r in found)
 
 
+def test_columns_of_any_name_pass_through(spark):
+    rng = np.random.default_rng(51)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = word(70)
+    rows = [(i, " ".join(word(30) + shared + word(30)), f"v{i}", i, "d", "s") for i in range(4)] + [(None, None, "n", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, source long, _digest string, _spans string")
+    assert {(r["doc_id"], r["source"]) for r in substring.repeated_passages(df).collect()} >= {(1, 0), (2, 0), (3, 0)}
+    out = substring.without_repeats(df)
+    assert out.columns == df.columns and sorted((r["_id"], r["source"], r["_digest"], r["_spans"]) for r in out.collect() if r["doc_id"] is not None) == [(f"v{i}", i, "d", "s") for i in range(4)]
+    assert sorted(len((r["text"] or "").split()) for r in out.collect()) == [0, 60, 60, 60, 130]
+    assert similar.near_duplicates(df).count() == 4
+
+
+def test_places_far_into_a_text_are_in_order():
+    n = (1 << 24) + 300
+    values = substring.mixed(np.arange(n, dtype=np.uint64))
+    values[n - 150] = 0
+    c, left, right = substring.compact_windows(values, 46)
+    assert (np.diff(c) > 0).all() and (left <= c).all() and (c <= right).all() and (right - left >= 45).all()
+    at = np.flatnonzero(c == n - 150)
+    assert len(at) == 1 and (left[at[0]], right[at[0]]) == (0, n - 1)
+
+
+def test_edited_passages_of_lines_that_earlier_documents_have(spark):
+    rng = np.random.default_rng(61)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    texts, later, at = {}, {}, 0
+    for _ in range(60):
+        lines = [word(20) for _ in range(5)]
+        for line in lines:
+            for _ in range(2):
+                texts[at] = word(40) + line + word(40)
+                at += 1
+        passage = sum(lines, [])
+        edited = list(passage)
+        edited[int(rng.integers(30, 70))] = "edit"
+        texts[at], texts[at + 1] = word(70) + passage + word(70), word(50) + edited + word(90)
+        later[at + 1] = at
+        at += 2
+    found = substring.repeated_passages(spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["source"] for r in found} == later
+
+
+def test_a_source_of_many_documents_is_joined_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(substring, "GROUP", 7)
+    rng = np.random.default_rng(62)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    shared = word(60)
+    rows = [(i, " ".join(word(20) + shared + word(20))) for i in range(60)]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in found) == [(i, 0) for i in range(1, 60)]
+
+
 def test_cut_keeps_what_is_around():
     assert substring.cut(b"a b  c\nd e", [(1, 3)]) == b"a \nd e" and substring.cut(b"a b", [(0, 2)]) == b"" and substring.cut(b" a b c ", [(1, 2), (0, 1)]) == b"   c "
 
@@ -547,10 +834,47 @@ def test_token_counts_equal_the_library(spark, odd, docs):
     assert token_counts.count_tokens(odd.limit(0), default_path()).count() == 0
 
 
+SCRIPTS = ["it’s “quoted” — naïve… 3.5€", "<|startoftext|><|endoftext|>x <|EndOfText|>", "é z", "Ω ß ẞ ΑΣ σ", "مرحبا بالعالم", "नमस्ते दुनिया", "\ufeffbom \u2003wide", "🇩🇪👨‍👩‍👧 x", "日本語のテキスト", "don't DON'T l'été 12½"]
+
+
+def test_frequencies_and_pieces_per_pre_token_add_up_in_any_script():
+    whole = WholeText(default_path())
+    texts = [*SCRIPTS, "the the the cat, the", "", "word " * 700, *SCRIPTS]
+    tokens, bounds, docs, times = token_counts.frequencies(texts, whole.split, whole.pre_tokens)
+    got = defaultdict(int)
+    for k, token in enumerate(tokens):
+        for i in range(bounds[k], bounds[k + 1]):
+            got[int(docs[i]), token] += int(times[i])
+    want = defaultdict(int)
+    for d, text in enumerate(texts):
+        for w in whole.split(text):
+            for t in whole.pre_tokens(w):
+                want[d, t] += 1
+    assert got == want and times.max() <= 255 and times.min() >= 1
+    pieces_of = {t: len(whole.piece_ids(t)) for t in tokens}
+    for d, text in enumerate(texts):
+        assert sum(n * pieces_of[t] for (doc, t), n in got.items() if doc == d) == len(whole.whole(text)) and whole.ids(text).tolist() == whole.whole(text)
+
+
+def test_token_counts_come_through_the_join(spark):
+    """Texts that repeat, in blocks of few texts; the plan joins frequencies with the pieces of distinct pre-tokens."""
+    rows = [(i, t) for i, t in enumerate([*SCRIPTS, *SCRIPTS, "x " * 3000, None])]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens_ string").withColumnRenamed("n_tokens_", "text").withColumns({"N_Tokens": F.lit("old"), "_digest": F.lit("kept"), "_own": F.lit(1)})
+    out = token_counts.count_tokens(df, default_path(), limit=100)
+    assert out.columns == ["doc_id", "text", "_digest", "_own", "n_bytes", "n_tokens", "over_limit"]
+    whole = WholeText(default_path()).whole
+    for r in out.collect():
+        n = len(whole(r["text"] or ""))
+        assert (r["n_tokens"], r["over_limit"], r["_digest"], r["_own"]) == (n, n > 100, "kept", 1)
+    blocks = token_counts._blocks(df.filter("text IS NOT NULL").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text"), default_path(), most_texts=3).collect()
+    lists = [r for r in blocks if r["token"].startswith("  ")]
+    assert len({r["block"] for r in blocks}) == len(lists) >= 4 and all(len(r["packed"]) <= 3 * 16 for r in lists)
+
+
 def test_words_are_kept_within_a_bound():
     small = WholeText(default_path(), limit=10)
     texts = [f"tree{i} {'x' * i} house" for i in range(60)]
-    assert [small.count(t) for t in texts] == [len(small.whole(t)) for t in texts] and len(small.words) <= 14
+    assert [small.ids(t).tolist() for t in texts] == [small.whole(t) for t in texts] and len(small.words) <= 14
 
 
 # pipeline

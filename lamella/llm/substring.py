@@ -14,10 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import claim, delete_path, give_back, written
+from lamella.llm.shared import claim, delete_path, fresh, give_back, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-PLACE = np.uint64((1 << 24) - 1)
+#: Pairs with one source that are joined with one copy of its text.
+GROUP = 400
 SPANS = "array<struct<start:int,end:int,source_start:int,source_end:int,similarity:double>>"
 
 
@@ -79,6 +80,23 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return mixed(out)
 
 
+def placed(values: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """The values with their last bits replaced by their places, so that none are equal, and the mask of those bits: 24, more in texts of more places."""
+    mask = np.uint64((1 << max(24, len(values).bit_length())) - 1)
+    return (values & ~mask) | np.arange(len(values), dtype=np.uint64), mask
+
+
+def running_least(values: np.ndarray, window: int) -> np.ndarray:
+    """The least of each ``window`` values in a row."""
+    n = len(values)
+    padded = np.full(-(-n // window) * window, ~np.uint64(0))
+    padded[:n] = values
+    rows = padded.reshape(-1, window)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: n - window + 1], ahead[window - 1 : n])
+
+
 def compact_windows(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``centre, left, right`` of all compact windows that hold a subsequence of ``window`` places or more.
 
@@ -92,15 +110,10 @@ def compact_windows(values: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
     n = len(values)
     if n < window:
         return (np.empty(0, np.int64),) * 3
-    placed = (values & ~PLACE) | np.arange(n, dtype=np.uint64)
-    padded = np.full(-(-n // window) * window, ~np.uint64(0))
-    padded[:n] = placed
-    rows = padded.reshape(-1, window)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[: n - window + 1], ahead[window - 1 : n])
+    own, mask = placed(values)
+    least = running_least(own, window)
     least = least[np.r_[True, least[1:] != least[:-1]]]
-    centre = (least & PLACE).astype(np.int64)
+    centre = (least & mask).astype(np.int64)
     keys, at = least.tolist(), centre.tolist()
     left, right = [0] * len(at), [n - 1] * len(at)
     stack: list[int] = []
@@ -113,6 +126,11 @@ def compact_windows(values: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
     return centre, np.array(left), np.array(right)
 
 
+def _salts(s: Settings) -> np.ndarray:
+    """What makes one hash of a shingle into that of each hash function."""
+    return mixed(np.arange(1, s.hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _windows(docs: DataFrame, s: Settings) -> DataFrame:
     """``key, doc_id, place``: a row per document, hash function and compact window.
 
@@ -120,8 +138,7 @@ def _windows(docs: DataFrame, s: Settings) -> DataFrame:
     needed for subsequences of the least length; the farthest of the document's windows with that key),
     and the number of the hash function.
     """
-    salts = mixed(np.arange(1, s.hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    most = s.window - 1
+    salts, most = _salts(s), s.window - 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +198,30 @@ def _agreeing(pairs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _grams(crowded: DataFrame, s: Settings) -> DataFrame:
-    """``gram, doc_id``: hashes of the runs of ``passage`` words of a text that may lack their first holder as a partner.
-
-    Two documents with the same run have the same minimum there for all functions. If fewer than
-    ``enough`` of them made the pair meet, the others are also held by an earlier document, so the run starts
-    where that many windows with three holders or more overlap.
+    """``gram, doc_id``: keys of the places of a text that may lack their first holder as a partner.
+
+    Two documents with the same passage have the same minimum there for all functions, with an edited
+    one for most. If fewer than ``enough`` of them made the pair meet, the others are also held by an
+    earlier document, so the passage starts where that many windows with three holders or more overlap.
+    The keys at such a start are the run of ``passage`` words there and, for each two functions, both
+    minima of the window there: an earlier document that has one of the two lines that they come
+    from does not have the key.
     """
     offsets = [*range(0, s.window - 1, s.words), s.window - 1]
+    salts, odd = _salts(s), np.uint64(0xD6E8FEB86659FD93)
+    twos = [(i, j) for j in range(s.hashes) for i in range(j)]
+
+    def keys(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        run = np.zeros(len(starts), np.uint64)
+        for k in offsets:
+            run = mixed(run * odd + own[starts + k])
+        least = []
+        for salt in salts:
+            values = mixed(own ^ salt)
+            with_place, mask = placed(values)
+            least.append(values[(running_least(with_place, s.window)[starts] & mask).astype(np.int64)])
+        both = [np.unique(mixed(mixed(least[i] * odd + least[j]) + np.uint64(i * s.hashes + j))) for i, j in twos]
+        return np.concatenate([np.unique(run), *both])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,11 +237,9 @@ def _grams(crowded: DataFrame, s: Settings) -> DataFrame:
                 np.add.at(steps, np.maximum(first[inside], 0), 1)
                 np.add.at(steps, np.minimum(last[inside] + 1, n), -1)
                 starts = np.flatnonzero(np.cumsum(steps[:n]) > s.hashes - s.enough)
-                out = np.zeros(len(starts), np.uint64)
-                for k in offsets:
-                    out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + own[starts + k])
-                grams.append(np.unique(out))
-                ids.append(np.full(len(grams[-1]), doc_id))
+                if len(starts):
+                    grams.append(keys(own, starts))
+                    ids.append(np.full(len(grams[-1]), doc_id))
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))], names=["gram", "doc_id"])
         give_back()
@@ -285,8 +317,9 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``spans`` are in words (runs without the bytes 9-13 and 32), ends exclusive; ``digest`` is the
     MD5 of the text that they belong to. Documents are compared with the first holder of each of
     their min-hashes and, where these have more holders, with the first holder of each run of
-    ``passage`` words, which is how the work stays linear and no run of equal words is missed. An edited passage
-    is compared by min-hashes alone. Null ids, null and short texts have no
+    ``passage`` words and of each two min-hashes of a window, which is how the work stays linear and no run
+    of equal words is missed. A source that many documents share is dealt, with copies of its
+    text, to several groups. Null ids, null and short texts have no
     passages; repeats within one id are no result; an empty table gives an empty table.
     """
     s = settings
@@ -323,11 +356,14 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def verify(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([matching_passages(shingles(x, s.words), shingles(y, s.words), s) for x, y in zip(xs, ys, strict=True)])
 
-    # pairs grow with the corpus, so they are never broadcast; both joins read one exchange of the texts
-    x, y = docs.alias("x"), docs.alias("y")
-    own = x.join(pairs.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("x.doc_id") == F.col("_id")).select("_id", "source", F.col("x.text").alias("_x"))
-    both = own.hint("merge").join(y, F.col("source") == F.col("y.doc_id")).select(F.col("_id").alias("doc_id"), F.md5("_x").alias("digest"), "source", verify("_x", F.col("y.text")).alias("spans"))
-    return both.filter("size(spans) > 0")
+    # pairs grow with the corpus, so they are never broadcast; a source is joined in groups of bounded size
+    sources = pairs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("_groups"))
+    sources, _ = written(sources, "sources")
+    dealt = pairs.join(sources.hint("merge"), "source").select(F.col("doc_id").alias("_id"), "source", F.pmod(F.xxhash64("doc_id"), F.col("_groups")).cast("int").alias("_group"))
+    copies = sources.hint("merge").join(docs, F.col("source") == F.col("doc_id")).select(F.col("source").alias("_source"), F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_copy"), F.col("text").alias("_y"))
+    own = docs.join(dealt.hint("merge"), F.col("doc_id") == F.col("_id")).select("_id", "source", "_group", F.col("text").alias("_x"))
+    both = own.hint("merge").join(copies.hint("merge"), (F.col("source") == F.col("_source")) & (F.col("_group") == F.col("_copy")))
+    return both.select(F.col("_id").alias("doc_id"), F.md5("_x").alias("digest"), "source", verify("_x", "_y").alias("spans")).filter("size(spans) > 0")
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -348,17 +384,18 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def without_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """``df`` with repeated passages cut from every document but the first that holds them.
 
-    All rows and columns stay; texts without repeats are untouched.
+    All rows and columns stay, whatever their names; texts without repeats, null ids and null texts are
+    untouched; an empty table gives an empty table.
     """
     found = repeated_passages(df, text, doc_id, settings)
-    spans = found.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"))
-    spans, _ = written(spans, "spans")
+    (id_, digest, mine), body = fresh(df, "_id", "_digest", "_spans"), F.col(f"`{text}`")
+    spans = found.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("all"))
+    spans, _ = written(spans.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(mine)), "spans")
 
     @F.pandas_udf("string")
     def shorten(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
         return pd.Series([t if x is None else cut(t.encode(), [(y["start"], y["end"]) for y in x]).decode() for t, x in zip(texts, all_spans, strict=True)])
 
-    body = F.col(f"`{text}`")
-    joined = df.join(spans, (F.col(f"`{doc_id}`").cast("long") == F.col("_id")) & (F.md5(body.cast("binary")) == F.col("_digest")), "left")
-    cut_text = F.when(F.col("_spans").isNull(), body).otherwise(shorten(body, "_spans"))
-    return joined.withColumn(text, cut_text).select(*[F.col(f"`{c}`") for c in df.columns])
+    joined = df.join(spans, (F.col(f"`{doc_id}`").cast("long") == F.col(id_)) & (F.md5(body.cast("binary")) == F.col(digest)), "left")
+    cut_text = F.when(F.col(mine).isNull(), body).otherwise(shorten(body, mine))
+    return joined.select(*[cut_text.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

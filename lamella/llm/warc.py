@@ -148,17 +148,19 @@ def plain_bytes(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    left = memoryview(data)
-    while len(left):
+    at = 0
+    while at < len(data):
         one = zlib.decompressobj(31)
-        used = 0
-        while not one.eof and used < len(left):
-            chunk = left[used : used + (1 << 16)]
-            used += len(chunk)
-            yield one.decompress(chunk, 1 << 20)
-            while one.unconsumed_tail:
-                yield one.decompress(one.unconsumed_tail, 1 << 20)
-        left = left[used - len(one.unused_data) :]
+        while not one.eof:
+            chunk = one.unconsumed_tail
+            if not chunk:
+                chunk = data[at : at + (1 << 16)]
+                at += len(chunk)
+            part = one.decompress(chunk, 1 << 20)
+            if not chunk and not part:  # the archive ends within a member
+                return
+            yield part
+        at -= len(one.unused_data)
 
 
 def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:

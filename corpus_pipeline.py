@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import packing, similar, substring, toxicity
-from lamella.llm.shared import written
+from lamella.llm.shared import delete_path, fresh, new_path, scratch_scope, small_batches, written
 from lamella.llm.wordbpe import default_path
 
 
@@ -23,13 +23,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id with another text, and rows without an id, take part by a key of their
     own; rows without an id lead a group only if none in it has one. Of rows with neither id nor text one stays.
     """
-    repeated, _ = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated")), "repeated")
-    own = F.when(F.col("doc_id").isNull() | F.col("_repeated").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
-    keyed = docs.filter("doc_id IS NOT NULL OR text IS NOT NULL").join(repeated, F.col("doc_id") == F.col("_repeated"), "left").withColumn("_row", own)
-    groups = similar.near_duplicates(keyed, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first")
-    first = keyed.select("_row", "doc_id").distinct().join(groups, "_row").groupBy("component_id").agg(least).select("first._row")
-    kept = keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    row, often = fresh(docs, "_row", "_often")
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated, _ = written(ids.filter("n > 1").select(F.col("doc_id").alias(often)), "repeated")
+    own = F.when(F.col("doc_id").isNull() | F.col(often).isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keyed = docs.filter("doc_id IS NOT NULL OR text IS NOT NULL").join(repeated, F.col("doc_id") == F.col(often), "left").withColumn(row, own)
+    groups = similar.near_duplicates(keyed, doc_id=row)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", row)).alias("first")
+    rows = keyed.select(F.col(row), F.col("doc_id").alias("id")).distinct().join(groups, F.col(row) == F.col("doc_id")).select(F.col("id").alias("doc_id"), row, "component_id")
+    first = rows.groupBy("component_id").agg(least).select(F.col(f"first.{row}").alias("_first"))
+    kept = keyed.join(first, F.col(row) == F.col("_first"), "left_semi").dropDuplicates([row]).select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id IS NULL AND text IS NULL").dropDuplicates(["text"]))
 
 
@@ -50,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to the table ``documents``, each stage's rows written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs, _ = written(docs, f"stage{k}")
-    return docs
+    """Applies STAGES to the table ``documents``, each stage's rows written and read again; what a stage keeps for itself goes when its rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = new_path(spark, f"stage{k}")
+        with scratch_scope(spark), small_batches(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

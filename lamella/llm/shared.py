@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.sources.scratch import delete_path, new_path, shared_folder, small_batches, written
+from lamella.sources.scratch import delete_path, new_path, scratch_scope, shared_folder, small_batches, written
 
-__all__ = ["claim", "components", "delete_path", "fewer", "fresh", "give_back", "new_path", "others", "shared_folder", "small_batches", "written"]
+__all__ = ["claim", "components", "delete_path", "fewer", "fresh", "give_back", "new_path", "others", "scratch_scope", "shared_folder", "small_batches", "written"]
 
 _STORES: list[dict] = []
 

@@ -125,8 +125,11 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def difference_hash(pixels: np.ndarray) -> str:
-    """64 bits, 16 hex digits: whether each of 8 x 9 cells' means is less than that of its right neighbour."""
-    grey = area_resize(pixels, 8, 9).mean(axis=2)
+    """64 bits, 16 hex digits: whether each of 8 x 9 cells' means is less than that of its right neighbour.
+
+    Means count to a millionth, so that equal cells stay equal however their sums were rounded.
+    """
+    grey = np.round(area_resize(pixels, 8, 9).mean(axis=2), 6)
     return np.packbits(grey[:, :-1] < grey[:, 1:]).tobytes().hex()
 
 

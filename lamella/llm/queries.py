@@ -52,7 +52,7 @@ RULES = [
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list of blocked hosts holds those whose MD5 begins with 0 or 1, an eighth of all."""
+    """The list of blocked hosts holds those whose MD5 begins with 0 or 1, an eighth of all. All levels of the cascade are built by tasks, however few keys there are."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     host, _ = urlfilter.host_and_path(F.col("url"))
     blocked = pages.select(host.alias("host")).distinct().filter(F.substring(F.md5(F.col("host").cast("binary")), 1, 1).isin("0", "1"))
@@ -93,6 +93,17 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, m::BIGINT AS component_id, vec_id = m AS kept
+FROM embeddings JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = vec_id
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document with passages that an earlier document has too: those documents, the spans and how many words they cover."""
     found = substring.repeated_passages(_table(spark, sf_dir, "documents"))
@@ -108,4 +119,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_transactions, op2_best_fit_packing, op3_media_columns, op4_toxicity, op5_url_filters, op6_simhash_near_dedup, op7_sentencepiece, op8_embedding_near_dedup, op9_substring_dedup, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_transactions": OP1_SQL, "op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_transactions": OP1_SQL, "op5_url_filters": OP5_SQL, "op8_embedding_near_dedup": OP8_SQL}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from lamella.llm.shared import fresh, give_back, others, written
 from lamella.llm.wordbpe import whole_text
 
-BLOCKS = "block bigint, token string, packed binary"
+BLOCKS = "bucket int, block bigint, tokens string, sizes binary, packed binary"
+BLOCK_COLUMNS = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
 class _Index(dict):
@@ -57,12 +59,12 @@ def frequencies(texts: list[str], split, pre_tokens) -> tuple[list[str], np.ndar
     return list(tokens), np.searchsorted(token, np.arange(len(tokens) + 1)), doc, times
 
 
-def _blocks(texts: DataFrame, tokenizer: str, most_bytes: int = 4_000_000, most_texts: int = 60_000) -> DataFrame:
+def _blocks(texts: DataFrame, tokenizer: str, buckets: int, most_bytes: int = 4_000_000, most_texts: int = 60_000) -> DataFrame:
     """Frequencies of the texts (``digest, text``) by block, a bounded number of distinct texts each.
 
-    A row per block and distinct pre-token; ``packed`` has the texts that hold it, by their place
-    in the block, two bytes each, and then how often, one byte each. One more row per block lists the
-    texts' digests; its ``token`` is the block's number after two spaces, with which no pre-token begins.
+    A row per block and bucket of pre-tokens, which their hash decides: the ``tokens``, one to a line;
+    in how many texts each stands, four bytes; which texts, by their place in the block, two bytes each;
+    and how often, one byte each. One more row per block, without tokens, lists the texts' digests.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,21 +76,22 @@ def _blocks(texts: DataFrame, tokenizer: str, most_bytes: int = 4_000_000, most_
         def rows() -> pa.RecordBatch:
             nonlocal held, size, number
             tokens, bounds, docs, times = frequencies(list(held.values()), encoder.split, encoder.pre_tokens)
+            bucket = np.array([xxhash.xxh64_intdigest(t, 5) % buckets for t in tokens], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sizes = np.diff(bounds)[order]
+            ends = np.r_[0, np.cumsum(sizes)]
+            at = np.repeat(bounds[:-1][order] - ends[:-1], sizes) + np.arange(len(docs))
+            docs, times, sizes = docs[at].astype("<u2"), times[at].astype("u1"), sizes.astype("<u4")
+            bucket = bucket[order]
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
             block = (part << 32) + number
-            # each token's places, and after them its times
-            sizes = np.diff(bounds)
-            flat, at = np.empty(3 * len(docs), np.uint8), 3 * np.repeat(bounds[:-1], sizes)
-            within = np.arange(len(docs)) - np.repeat(bounds[:-1], sizes)
-            for byte in (0, 1):
-                flat[at + 2 * within + byte] = docs >> 8 * byte & 255
-            flat[at + 2 * np.repeat(sizes, sizes) + within] = times
-            packed = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer((3 * bounds).astype("<i4").tobytes()), pa.py_buffer(flat.tobytes())])
-            listed = pa.array([b"".join(held)], pa.binary())
+            out: list[tuple] = [(block % buckets, block, None, b"", b"".join(held))]
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                x, y = int(ends[i]), int(ends[j])
+                out.append((int(bucket[i]), block, "\n".join([tokens[k] for k in order[i:j].tolist()]), sizes[i:j].tobytes(), docs[x:y].tobytes() + times[x:y].tobytes()))
             held, size, number = {}, 0, number + 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block] * (len(tokens) + 1), pa.int64()), pa.array([*tokens, f"  {block}"]), pa.concat_arrays([packed, listed])],
-                names=["block", "token", "packed"],
-            )
+            columns = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=BLOCK_COLUMNS)
 
         for batch in batches:
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -104,14 +107,29 @@ def _blocks(texts: DataFrame, tokenizer: str, most_bytes: int = 4_000_000, most_
     return texts.mapInArrow(of, BLOCKS)
 
 
+class _Pieces(dict):
+    """Pre-token -> the number of its pieces, counted when first asked for; forgotten beyond a limit."""
+
+    def __init__(self, encoder, limit: int = 2_000_000):
+        super().__init__()
+        self.encoder, self.limit = encoder, limit
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[token] = out = len(self.encoder.piece_ids(token))
+        return out
+
+
 def text_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
     """``digest, n_tokens`` of the distinct texts of ``digest, text`` (no nulls).
 
-    Pieces are counted once per distinct pre-token of the corpus. That table is joined to the
-    pre-token frequencies of the texts, and products are summed by text; no ids are made. Frequencies
-    travel by block of texts, three bytes for a text and pre-token, so the exchanges move less than
-    the texts; a frequent pre-token has a row per block, and large sides of the join split. Files
-    whose texts don't fall into independent pre-tokens are counted by the library, text by text.
+    A hash join of distinct pre-tokens with the texts' pre-token frequencies: the frequencies are
+    exchanged by the pre-token's hash, so each distinct one meets all of its frequencies in one task,
+    is counted there once, and multiplies them. What comes out goes back by block and is summed by
+    text; no ids are made. Frequencies travel by block of texts, three bytes for a text and pre-token, so
+    the exchanges move less than the texts, and a frequent pre-token has one place per block.
+    Files whose texts don't fall into independent pre-tokens are counted by the library, text by text.
     """
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,29 +141,36 @@ def text_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
         counted = texts.mapInPandas(whole, "digest binary, n_tokens bigint")
         return written(counted.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")[0]
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = whole_text(tokenizer)
-        for b in batches:
-            yield pd.DataFrame({"token": b["token"], "n": [len(encoder.piece_ids(t)) for t in b["token"]]})
-
-    def sums(rows: pd.DataFrame) -> pd.DataFrame:
-        names = rows["n"].isna().to_numpy()
-        digests = rows["packed"][names].iloc[0]
-        total = np.zeros(len(digests) // 16)
-        sizes = rows["packed"].str.len().to_numpy()[~names] // 3
-        if len(sizes):
-            flat = np.frombuffer(b"".join(rows["packed"][~names]), np.uint8).astype(np.int64)
-            start, long = np.repeat(3 * (np.cumsum(sizes) - sizes), sizes), np.repeat(sizes, sizes)
-            within = np.arange(sizes.sum()) - start // 3
-            docs = flat[start + 2 * within] + (flat[start + 2 * within + 1] << 8)
-            total = np.bincount(docs, flat[start + 2 * long + within] * np.repeat(rows["n"].to_numpy(float)[~names], sizes), len(total))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces(whole_text(tokenizer))
+        for batch in batches:
+            docs_of, sums_of = [], []
+            for tokens, sizes, packed in zip(batch.column("tokens"), batch.column("sizes"), batch.column("packed"), strict=True):
+                if not tokens.is_valid:
+                    docs_of.append(packed.as_py())
+                    sums_of.append(None)
+                    continue
+                sizes, packed = np.frombuffer(sizes.as_buffer(), "<u4"), packed.as_buffer()
+                long = int(sizes.sum())
+                docs, times = np.frombuffer(packed, "<u2", long), np.frombuffer(packed, "u1", long, 2 * long)
+                counts = np.fromiter(map(pieces.__getitem__, tokens.as_py().split("\n")), np.float64, len(sizes))
+                total = np.bincount(docs, times * np.repeat(counts, sizes))
+                some = np.flatnonzero(total)
+                docs_of.append(some.astype("<u2").tobytes())
+                sums_of.append(total[some].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(docs_of, pa.binary()), pa.array(sums_of, pa.binary())], names=["block", "docs", "sums"])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        names = rows["sums"].isna()
+        digests = rows["docs"][names].iloc[0]
+        docs, sums = np.frombuffer(b"".join(rows["docs"][~names]), "<u2"), np.frombuffer(b"".join(rows["sums"][~names]), "<u4")
+        total = np.bincount(docs, sums, len(digests) // 16)
         return pd.DataFrame({"digest": [digests[k : k + 16] for k in range(0, len(digests), 16)], "n_tokens": total.astype(np.int64)})
 
-    blocks, _ = written(_blocks(texts, tokenizer), "frequencies")
-    known = blocks.filter(~F.startswith("token", F.lit("  "))).select("token").distinct()
-    counted, _ = written(known.mapInPandas(pieces, "token string, n bigint"), "pieces")
-    joined = blocks.join(counted, "token", "left").select("block", "packed", "n")
-    counts = joined.groupBy("block").applyInPandas(sums, "digest binary, n_tokens bigint")
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_token = _blocks(texts, tokenizer, buckets).repartitionById(buckets, F.col("bucket"))
+    partial = by_token.mapInArrow(joined, "block bigint, docs binary, sums binary")
+    counts = partial.groupBy("block").applyInPandas(summed, "digest binary, n_tokens bigint")
     return written(counts.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")[0]
 
 

@@ -252,8 +252,9 @@ def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
 
     Places of x whose shingle is in y form runs, each pointing at a stretch of y. Runs join over
     gaps of up to a window. A joined span counts if it has enough words, its share of places
-    found is what two passages of that Jaccard index have (2s / (1 + s)), and the Jaccard index
-    of both spans' shingles reaches ``similarity``; if not, it is split at its widest gap and both
+    found is what two passages of that Jaccard index have (2s / (1 + s)), the stretch of y is not
+    shorter than ``similarity`` of the least passage (sets alone don't tell one word said ten times from a
+    hundred), and the Jaccard index of both spans' shingles reaches ``similarity``; if not, it is split at its widest gap and both
     parts are tried, down to single runs. So every common stretch of enough words is found, alone or
     within a longer span. Ends are word numbers, exclusive.
     """
@@ -294,7 +295,7 @@ def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
             a, b = np.unique(x[start:end]), np.unique(y[low:high])
             both = len(np.intersect1d(a, b, assume_unique=True))
             similarity = both / (len(a) + len(b) - both)
-            if similarity >= s.similarity:
+            if similarity >= s.similarity and high - low >= s.similarity * s.window:
                 out.append({"start": start, "end": end + s.words - 1, "source_start": low, "source_end": high + s.words - 1, "similarity": similarity})
                 continue
         if len(group) > 1:

@@ -352,3 +352,26 @@ def test_view_pushes_filters_and_columns_to_the_scans(spark, flat, tmp_path):
     plan = plan_of(v.level("bed").select(col("farm.field.bed.width")))
     assert "acres" not in plan and "farm.name" not in plan
     assert "Join" not in plan_of(v.tables()["bed"])
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from lamella.sources.scratch import scratch_scope, small_batches, written
+
+    place = lambda path: path.removeprefix("file://").removeprefix("file:")
+    with scratch_scope(spark):
+        _, outer = written(spark.range(3), "outer")
+        with scratch_scope(spark):
+            _, inner = written(spark.range(3), "inner")
+            assert os.path.isdir(place(inner))
+        assert os.path.isdir(place(outer)) and not os.path.exists(place(inner))
+    kept, path = written(spark.range(3), "kept")
+    assert not os.path.exists(place(outer)) and os.path.isdir(place(path)) and kept.count() == 3
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark, 500):
+        with small_batches(spark, 200):
+            assert spark.conf.get(key) == "200"
+        assert spark.conf.get(key) == "500"
+    assert spark.conf.get(key) == before

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import new_path, small_batches, written
+from lamella.llm.shared import delete_path, new_path, small_batches, written
 
 
 RECORD = "record_id string, type string, concurrent_to array<string>, headers map<string,string>, block_bytes bigint, payload binary, payload_bytes bigint, payload_digest string"
@@ -276,21 +276,22 @@ def assemble(records: DataFrame) -> DataFrame:
         found = F.filter(F.coalesce("all", F.array().cast("array<struct<record_id:string,type:string,headers:map<string,string>,payload:binary,payload_bytes:bigint,payload_digest:string>>")), lambda r: r["type"] == kind)
         return F.array_sort(found, lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0))
 
-    captures = records.filter(main).select(F.col("record_id").alias("capture"), fields.alias("response"))
-    return captures.join(grouped, "capture", "left").select(F.col("capture").alias("record_id"), "response", of("request").alias("requests"), of("metadata").alias("metadata"))
+    # the struct is made above the join, so that fields of it that nothing asks for are not joined
+    captures = records.filter(main).select("record_id", "type", "headers", "payload", "payload_bytes", "payload_digest")
+    joined = captures.join(grouped, F.col("record_id") == F.col("capture"), "left")
+    return joined.select("record_id", fields.alias("response"), of("request").alias("requests"), of("metadata").alias("metadata"))
 
 
 def fact(field: Column, name: str) -> Column:
     """The value of a line ``name: value`` in a metadata record's block; null if it has none."""
-    found = F.regexp_extract(field.cast("string"), rf"(?m)^{name}: ([^\r\n]*)", 1)
-    return F.when(found != "", found)
+    return F.get(F.regexp_extract_all(field.cast("string"), F.lit(rf"(?m)^{name}: ([^\r\n]+)"), F.lit(1)), F.lit(0))
 
 
 def pages_through_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Per page, from archives that were written and read again: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    The page's id comes from the capture's metadata record. A response's length and digest are computed from
-    the payload in its nested row. A revisit is resolved through the record that it names in
+    The page's id comes from the capture's metadata record. A response's length and digest are those
+    that were computed from its bytes when they were read. A revisit is resolved through the record that it names in
     WARC-Refers-To: length, digest and page are that response's. Null html is empty; rows with a
     null or repeated id keep a row each; an empty table gives an empty table.
     """
@@ -298,14 +299,14 @@ def pages_through_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(pages, path, min_bytes)
     records, _ = written(read_archives(spark, path), "records")
-    payload = F.col("response.payload")
+    delete_path(spark, path)
     own = assemble(records).select(
         "record_id",
         F.col("response.type").alias("record_type"),
         F.element_at("response.headers", F.lit("warc-refers-to")).alias("_refers"),
         fact(F.try_element_at("metadata", F.lit(1))["payload"], "pageId").cast("long").alias("page_id"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"),
-        base32(F.unhex(F.sha1(payload))).alias("payload_digest"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
     )
     captures, _ = written(own, "captures")
     origin = captures.filter("record_type = 'response'").select(F.col("record_id").alias("_refers"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))

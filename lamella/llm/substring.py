@@ -247,7 +247,7 @@ def _grams(crowded: DataFrame, s: Settings) -> DataFrame:
     return crowded.mapInArrow(of, "gram bigint, doc_id bigint")
 
 
-def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
+def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings, order: np.ndarray | None = None) -> list[dict]:
     """Spans of words in ``x`` that are near-duplicates of spans in ``y``, both given as shingle hashes.
 
     Places of x whose shingle is in y form runs, each pointing at a stretch of y. Runs join over
@@ -256,11 +256,11 @@ def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings) -> list[dict]:
     shorter than ``similarity`` of the least passage (sets alone don't tell one word said ten times from a
     hundred), and the Jaccard index of both spans' shingles reaches ``similarity``; if not, it is split at its widest gap and both
     parts are tried, down to single runs. So every common stretch of enough words is found, alone or
-    within a longer span. Ends are word numbers, exclusive.
+    within a longer span. Ends are word numbers, exclusive. ``order`` sorts y, if that is known.
     """
     if not len(x) or not len(y):
         return []
-    order = np.argsort(y, kind="stable")
+    order = np.argsort(y, kind="stable") if order is None else order
     ranks = np.minimum(np.searchsorted(y, x, sorter=order), len(y) - 1)
     to = order[ranks]
     hit = y[to] == x
@@ -355,7 +355,13 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     @F.pandas_udf(SPANS)
     def verify(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([matching_passages(shingles(x, s.words), shingles(y, s.words), s) for x, y in zip(xs, ys, strict=True)])
+        out, last, own, order = [], None, None, None
+        for x, y in zip(xs, ys, strict=True):  # rows of one source follow each other, so its text is hashed and sorted once
+            if y != last:
+                last, own = y, shingles(y, s.words)
+                order = np.argsort(own, kind="stable")
+            out.append(matching_passages(shingles(x, s.words), own, s, order))
+        return pd.Series(out)
 
     # pairs grow with the corpus, so they are never broadcast; a source is joined in groups of bounded size
     sources = pairs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("_groups"))

@@ -147,13 +147,14 @@ def _windows(docs: DataFrame, s: Settings) -> DataFrame:
                 own = shingles(text.as_py(), s.words)
                 if len(own) < s.window:
                     continue
+                repeats = len(np.unique(own)) < len(own)
                 for j, salt in enumerate(salts):
                     values = mixed(own ^ salt)
                     c, left, right = compact_windows(values, s.window)
                     keys.append(values[c])
                     back, on = np.minimum(c - left, most), np.minimum(right - c, most)
-                    _, which = np.unique(values[c], return_inverse=True)
-                    if len(which) and which.max() + 1 < len(which):  # a key at several places goes as far as any of them
+                    if repeats:  # a key at several places goes as far as any of them
+                        _, which = np.unique(values[c], return_inverse=True)
                         for reach in (back, on):
                             widest = np.zeros(which.max() + 1, reach.dtype)
                             np.maximum.at(widest, which, reach)
@@ -220,8 +221,9 @@ def _grams(crowded: DataFrame, s: Settings) -> DataFrame:
             values = mixed(own ^ salt)
             with_place, mask = placed(values)
             least.append(values[(running_least(with_place, s.window)[starts] & mask).astype(np.int64)])
-        both = [np.unique(mixed(mixed(least[i] * odd + least[j]) + np.uint64(i * s.hashes + j))) for i, j in twos]
-        return np.concatenate([np.unique(run), *both])
+        both = [mixed(mixed(least[i] * odd + least[j]) + np.uint64(i * s.hashes + j)) for i, j in twos]
+        # neighbouring starts mostly share their minima; what else repeats meets in the aggregation
+        return np.concatenate([k[np.r_[True, k[1:] != k[:-1]]] for k in (run, *both)])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,8 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from heapq import heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,17 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Longer words go to the library, each by itself; the tables of a batch grow with its words' length.
+#: Longer words are encoded one at a time; the tables of a batch grow with its words' length.
 LONGEST = 192
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Numbers(dict):
+    """Word -> its number, in the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -81,11 +91,15 @@ class PieceModel:
         self.bytes = {int(self.texts[i][3:5], 16): int(i) for i in at}
         usable = np.flatnonzero(np.isin(self.kinds, (NORMAL, USER, UNUSED)))
         self.longest = max((len(self.texts[i]) for i in usable), default=1)
-        rng = np.random.default_rng(5)
-        self.base = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
-        keys = np.array([self._hash(self.texts[i]) for i in usable], dtype=np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], usable[order].astype(np.int32)
+        self.by_text: dict[str, int] = {}
+        for i in usable.tolist():
+            self.by_text.setdefault(self.texts[i], i)
+        self._plant()
+        # the best sum's gains; byte-pair scores are ranks, whose sums single precision rounds in long words, and the library adds those of unigram models in single precision
+        normal = self.scores[self.kinds == NORMAL]
+        self.low = float((normal.min() if len(normal) else np.float32(0)) - np.float32(10))
+        self.merits = np.append(self.scores, np.float32(-np.inf))  # the last one is that of no piece, -1
+        self.gains = np.append(np.where(self.kinds == UNUSED, -np.inf, self.scores), -np.inf).astype(np.float32 if self.kind == UNIGRAM else np.float64)
         # words are independent if no piece holds a space mark after another character, and no piece is taken whole before merging
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", self.texts[i]) for i in usable) and not (self.kinds == USER).any() and not (self.kind == BPE and (self.kinds == UNUSED).any())
         self.limit = limit
@@ -94,14 +108,45 @@ class PieceModel:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.stores = [(array("i"), array("q", [0])) for _ in range(2)]  # the library's ids, best sums
-
-    def _hash(self, text: str) -> int:
-        out = 0
-        for c in text:
-            out = (out * int(self.base) + ord(c) + 1) & (2**64 - 1)
-        return out
+        self.known = _Numbers()
+        # ids one word after another and where each begins, of the library's and of best sums; the same for unigram models
+        self.stores = [(array("i"), array("q", [0])) for _ in range(2 if self.kind == BPE else 1)]
+
+    def _plant(self) -> None:
+        """A tree of all pieces' characters: its edges, keyed by node and character, in one open-addressed table."""
+        edges: dict[int, int] = {}
+        owner = [-1]
+        for text, i in self.by_text.items():
+            node = 0
+            for c in text:
+                key = node << 21 | ord(c)
+                node = edges.get(key, -1)
+                if node < 0:
+                    edges[key] = node = len(owner)
+                    owner.append(-1)
+            if text:
+                owner[node] = i
+        bits = max(4, (4 * len(edges)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        keys, nodes = [-1] * (1 << bits), [-1] * (1 << bits)
+        for key, node in edges.items():
+            at = (key * int(SPREAD) & 2**64 - 1) >> 64 - bits
+            while keys[at] >= 0:
+                at = at + 1 & self.mask
+            keys[at], nodes[at] = key, node
+        self.edges, self.nodes, self.owner = np.array(keys, np.int64), np.array(nodes, np.int32), np.array(owner, np.int32)
+
+    def _onward(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to, -1 for none."""
+        keys = nodes.astype(np.int64) << 21 | codes
+        at = (keys.view(np.uint64) * SPREAD >> self.shift).view(np.int64)
+        found = self.edges[at]
+        other = np.flatnonzero((found != keys) & (found >= 0))
+        while len(other):
+            at[other] = at[other] + 1 & self.mask
+            found[other] = self.edges[at[other]]
+            other = other[(found[other] != keys[other]) & (found[other] >= 0)]
+        return np.where(found == keys, self.nodes[at], -1)
 
     def normalized(self, text: str) -> str:
         if not self.plain:
@@ -111,153 +156,203 @@ class PieceModel:
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
     def _substrings(self, codes: np.ndarray) -> np.ndarray:
-        """The id of the piece that each substring is, -1 for none: words x starts x lengths (from 1)."""
-        n, length = codes.shape
-        most = min(self.longest, length)
-        prefix = np.zeros((n, length + 1), dtype=np.uint64)
-        for k in range(length):
-            prefix[:, k + 1] = prefix[:, k] * self.base + codes[:, k] + np.uint64(1)
-        out = np.full((n, length, most), -1, dtype=np.int32)
-        power = np.ones(1, dtype=np.uint64)
-        for size in range(1, most + 1):
-            power = power * self.base
-            h = prefix[:, size:] - prefix[:, : length + 1 - size] * power
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            out[:, : length + 1 - size, size - 1] = np.where(self.keys[at] == h, self.ids[at], -1)
-        return out
-
-    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start, end and piece of the parts of all words, by best sums of scores. Every position takes, over all words at once, the best of the pieces that end there; the first of equal ones counts."""
-        n, length = codes.shape
-        sub = self._substrings(codes)
-        normal = self.scores[np.isin(self.kinds, (NORMAL,))]
-        low = (normal.min() if len(normal) else np.float32(0)) - np.float32(10)
-        best = np.full((n, length + 1), -np.inf, dtype=np.float32)
-        best[:, 0] = 0
-        from_, piece = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), self.unknown, np.int32)
+        """The id of the piece that each substring is, -1 for none: lengths (from 1, up to the longest found) x starts x words. Only what begins some piece is followed further."""
+        length, n = codes.shape
+        flat, out = codes.ravel(), []
+        at, node = np.arange(length * n), np.zeros(length * n, np.int32)
+        for size in range(1, min(self.longest, length) + 1):
+            node = self._onward(node, flat[at + (size - 1) * n])
+            some = node >= 0
+            at, node = at[some], node[some]
+            if size > 1 and not len(at):
+                break
+            out.append(np.full(length * n, -1, np.int32))
+            out[-1][at] = self.owner[node]
+            some = at < (length - size) * n
+            at, node = at[some], node[some]
+        return np.concatenate(out).reshape(-1, length, n)
+
+    def _viterbi(self, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and piece (-1: none) of the parts of all words, by best sums of scores. Every position takes, over all words at once, the best of the pieces that end there; the longest of equal ones counts."""
+        most, length, n = sub.shape
+        gains = self.gains[sub]
+        gains[0][gains[0] == -np.inf] = self.low
+        best = np.full((length + 1, n), -np.inf, dtype=gains.dtype)
+        best[0] = 0
+        size = np.ones((length + 1, n), np.int32)
         for end in range(1, length + 1):
-            for start in range(max(0, end - sub.shape[2]), end):
-                ids = sub[:, start, end - start - 1]
-                usable = (ids >= 0) & (self.kinds[ids] != UNUSED)
-                score = np.where(usable, best[:, start] + self.scores[ids], -np.inf)
-                if end - start == 1:
-                    score = np.where(usable, score, best[:, start] + low)
-                    ids = np.where(usable, ids, self.unknown)
-                better = score > best[:, end]
-                best[:, end] = np.where(better, score, best[:, end])
-                from_[:, end] = np.where(better, start, from_[:, end])
-                piece[:, end] = np.where(better, ids, piece[:, end])
+            for k in range(min(most, end), 0, -1):
+                score = best[end - k] + gains[k - 1, end - k]
+                better = score > best[end]
+                np.copyto(best[end], score, where=better)
+                np.copyto(size[end], k, where=better)
         cuts = np.zeros((n, length + 1), dtype=bool)
-        at = np.full(n, length)
-        rows = np.arange(n)
-        while (at > 0).any():
+        rows, at = np.arange(n), np.full(n, length)
+        while len(rows):
             cuts[rows, at] = True
-            at = np.where(at > 0, from_[rows, at], 0)
-        cuts[:, 0] = False
+            at = at - size[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
         row, end = np.nonzero(cuts)
-        return row, from_[row, end], end, piece[row, end]
-
-    def _merge(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start, end and piece (-1: none) of the parts of all words, by byte-pair merges: in each step every word joins its best-scored pair of neighbours, the left one of equal pairs."""
-        n, length = codes.shape
-        sub = self._substrings(codes)
-        most = sub.shape[2]
-        ends = np.tile(np.arange(1, length + 1), (n, 1))  # end of the symbol that starts here, 0 if none does
-        live, rows = np.arange(n), np.arange(n)[:, None]
-        starts = np.arange(length)[None, :]
-
-        def pair_scores(of: np.ndarray) -> np.ndarray:
-            own = ends[of]
-            after = own.copy()
-            inside = (own > 0) & (own < length)
-            after[inside] = np.take_along_axis(own, np.minimum(own, length - 1), axis=1)[inside]
-            size = after - starts
-            ids = sub[of[:, None], starts, np.clip(size, 1, most) - 1]
-            ok = inside & (size <= most) & (ids >= 0)
-            return np.where(ok, self.scores[ids], -np.inf)
+        own = size[end, row]
+        piece = sub[own - 1, end - own, row]
+        return row, end - own, np.where(self.gains[piece] == -np.inf, -1, piece)
+
+    def _merge(self, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and piece (-1: none) of the parts of all words, by byte-pair merges: in each step every word joins its best-scored pair of neighbours, the left one of equal pairs."""
+        most, length, n = sub.shape
+        wide = length + 2
+        # by start of a symbol: its end (0: none starts here), the start before it, what joining it to the next one scores; the last column takes what has no place
+        ends = np.tile(np.r_[np.arange(1, length + 1), 0, 0].astype(np.int32), (n, 1))
+        before = np.tile(np.r_[wide - 1, np.arange(length), wide - 1].astype(np.int32), (n, 1))
+        scores = np.full((n, wide), -np.inf, np.float32)
+        if most > 1:
+            scores[:, :length] = self.merits[sub[1].T]
+        live, flat = np.arange(n), sub.ravel()
+
+        def joined(start: np.ndarray, end: np.ndarray, ok: np.ndarray) -> np.ndarray:
+            size = end - start
+            ok = ok & (size <= most)
+            at = ((np.where(ok, size, 1) - 1) * length + np.where(ok, start, 0)) * n + live
+            return np.where(ok, self.merits[flat[at]], -np.inf)
 
         while len(live):
-            scores = pair_scores(live)
-            best = scores.argmax(axis=1)
-            some = scores[np.arange(len(live)), best] > -np.inf
+            best = scores[live].argmax(axis=1)
+            some = scores[live, best] > -np.inf
             live, best = live[some], best[some]
             middle = ends[live, best]
-            ends[live, best] = ends[live, middle]
-            ends[live, middle] = 0
+            end = ends[live, middle]
+            left, after = before[live, best], ends[live, end]
+            ends[live, best], ends[live, middle] = end, 0
+            before[live, end] = best
+            scores[live, middle] = -np.inf
+            scores[live, best] = joined(best, after, after > 0)
+            scores[live, left] = joined(left, end, left < wide - 1)
         row, start = np.nonzero(ends)
-        end = ends[row, start]
-        size = end - start
-        return row, start, end, np.where(size <= most, sub[row, start, np.minimum(size, most) - 1], -1)
-
-    def _spell(self, word: str, parts: list[tuple[int, int, int]]) -> list[int]:
-        """Ids of a word's parts; characters without a piece become bytes, or one unknown for neighbours."""
-        ids: list[int] = []
-        for start, end, piece in parts:
-            if piece >= 0 and piece != self.unknown:
-                ids.append(piece)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in word[start:end].encode())
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)
-        return ids
-
-    def encode_words(self, words: list[str], best: bool = False) -> list[list[int]]:
-        """Ids of normalized words, those of one length together: the library's, or with ``best`` those of the best sum of scores.
-
-        The library's are the best sum's for unigram models. Words over ``LONGEST`` characters, for
-        which a batch's tables grow too large, are spelled by the library, one at a time, or for a best
-        sum in slices of that length.
+        size = ends[row, start] - start
+        return row, start, sub[size - 1, start, row]
+
+    def _long(self, word: str, best: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Start and piece (-1: none) of the parts of one word of any length: what ``_viterbi`` or ``_merge`` finds, from place to place and with memory that grows with the word only."""
+        length, find = len(word), self.by_text.get
+        if best:
+            kind = "f" if self.gains.dtype == np.float32 else "d"
+            gains, low, cell = self.gains.tolist(), self.low, array(kind, [0])
+            sums, sizes, own = array(kind, [-np.inf]) * (length + 1), array("i", [1]) * (length + 1), array("i", [-1]) * (length + 1)
+            sums[0] = 0
+            for start in range(length):
+                held = sums[start]
+                for size in range(1, min(self.longest, length - start) + 1):
+                    i = find(word[start : start + size], -1)
+                    gain = gains[i]
+                    if gain == -np.inf:
+                        if size > 1:
+                            continue
+                        i, gain = -1, low
+                    cell[0] = held + gain
+                    if cell[0] > sums[start + size]:
+                        sums[start + size], sizes[start + size], own[start + size] = cell[0], size, i
+            starts, parts, at = [], [], length
+            while at:
+                parts.append(own[at])
+                at -= sizes[at]
+                starts.append(at)
+            return np.array(starts[::-1], np.int64), np.array(parts[::-1], np.int32)
+        merits, ends, before = self.merits.tolist(), array("i", range(1, length + 1)), array("i", range(-1, length))
+        pairs: list[tuple[float, int, int, int]] = []
+
+        def offer(start: int, middle: int, end: int) -> None:
+            i = find(word[start:end], -1) if end - start <= self.longest else -1
+            if i >= 0:
+                heappush(pairs, (-merits[i], start, middle, end))
+
+        for start in range(length - 1):
+            offer(start, start + 1, start + 2)
+        while pairs:
+            _, start, middle, end = heappop(pairs)
+            if ends[start] != middle or ends[middle] != end:
+                continue
+            ends[start], ends[middle], before[end] = end, 0, start
+            if end < length:
+                offer(start, end, ends[end])
+            if start:
+                offer(before[start], start, end)
+        at = np.flatnonzero(np.frombuffer(ends, np.int32))
+        return at, np.array([find(word[k : ends[k]], -1) for k in at.tolist()], np.int32)
+
+    def _spelled(self, codes: np.ndarray, row: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and ids of parts that begin with ``codes``; characters without a piece (-1) become bytes, or one unknown for neighbours in a row."""
+        odd = piece < 0
+        if not odd.any():
+            return row, piece
+        if not self.bytes:
+            kept = np.r_[True, ~(odd[1:] & odd[:-1] & (row[1:] == row[:-1]))]
+            return row[kept], np.where(odd, self.unknown, piece)[kept]
+        n = np.where(odd, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), 1)
+        at = np.repeat(np.arange(len(n)), n)
+        k, n, c = np.arange(len(at)) - (np.cumsum(n) - n)[at], n[at], codes[at]
+        lead = np.where(n == 1, c, (0xF00 >> n) & 0xFF | c >> 6 * (n - 1))
+        byte = np.where(k == 0, lead, 0x80 | (c >> 6 * (n - 1 - k)) & 0x3F) & 0xFF
+        return row[at], np.where(odd[at], np.array([self.bytes[b] for b in range(256)], np.int32)[byte], piece[at])
+
+    def encode_words(self, words: list[str], kinds: tuple[bool, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of normalized words, one after another, and how many each has: for False the library's, for True those of the best sum of scores, which are the same for unigram models.
+
+        Words of one length go together, and both ways share their pieces' lookup. The tables of a batch
+        grow with its words' length, so words over ``LONGEST`` characters go one at a time by
+        the same rules, with the same result.
         """
         by_length: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             by_length[len(w)].append(i)
-        out: list[list[int]] = [[]] * len(words)
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in kinds]
         for length, at in by_length.items():
             if not length:
                 continue
-            if length > LONGEST:
-                for i in at:
-                    slices = [words[i][k : k + LONGEST] for k in range(0, length, LONGEST)]
-                    out[i] = list(chain.from_iterable(self.encode_words(slices, True))) if best else self._whole(words[i])
-                continue
-            step = max(1, 400_000 // (length * min(length, self.longest)))
+            step = max(1, 400_000 // (length * min(length, self.longest))) if length <= LONGEST else 1
             for k in range(0, len(at), step):
-                some = at[k : k + step]
-                codes = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le"), dtype="<u4").reshape(len(some), length).astype(np.uint64)
-                row, start, end, piece = self._merge(codes) if self.kind == BPE and not best else self._viterbi(codes)
-                plain = (piece >= 0) & (piece != self.unknown)
-                odd = set(row[~plain].tolist())
-                first = np.searchsorted(row, np.arange(len(some) + 1)).tolist()
-                flat = piece.tolist()
-                for r, i in enumerate(some):
-                    own = slice(first[r], first[r + 1])
-                    out[i] = self._spell(words[i], list(zip(start[own].tolist(), end[own].tolist(), flat[own], strict=True))) if r in odd else flat[own]
-        return out
-
-    def _whole(self, normalized: str) -> list[int]:
-        """The library's ids for text that is normalized already."""
-        text = normalized.replace(SPACE, " ")
-        return self.library.encode(text[1:] if self.dummy_prefix and text[:1] == " " else text)
-
-    def encode(self, texts: list[str | None], best: bool = False) -> list[np.ndarray]:
-        """Ids of whole texts: the library's, or with ``best`` those of the best sum of scores. Each distinct word of the batch is encoded once, and kept for later batches."""
+                some = np.array(at[k : k + step])
+                codes = np.frombuffer("".join([words[i] for i in at[k : k + step]]).encode("utf-32-le"), dtype="<u4").reshape(len(some), length).astype(np.int64)
+                sub = self._substrings(np.ascontiguousarray(codes.T)) if length <= LONGEST else None
+                for best, out in zip(kinds, found, strict=True):
+                    searched = best or self.kind != BPE
+                    if sub is None:
+                        start, piece = self._long(words[at[k]], searched)
+                        row = np.zeros(len(start), np.int64)
+                    else:
+                        row, start, piece = self._viterbi(sub) if searched else self._merge(sub)
+                    row, ids = self._spelled(codes[row, start], row, piece)
+                    out.append((some[row], ids))
+        made = []
+        for out in found:
+            word = np.concatenate([np.empty(0, np.int64), *(w for w, _ in out)])
+            ids = np.concatenate([np.empty(0, np.int32), *(i for _, i in out)])
+            made.append((ids[np.argsort(word, kind="stable")].astype(np.int32), np.bincount(word, minlength=len(words))))
+        return made
+
+    def both(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of whole texts: the library's and those of the best sum of scores. Each distinct word of the batch is encoded once, and kept for later batches."""
         if not self.by_word:
-            if best:
-                return [np.array(ids, np.int32) for ids in self.encode_words([self.normalized(t or "") for t in texts], True)]
-            return [np.array(self.library.encode(t or ""), dtype=np.int32) for t in texts]
-        if len(self.known) > self.limit:
+            whole = [self.encode_words([self.normalized(t or "")], (True,))[0][0] for t in texts]
+            return [(np.array(self.library.encode(t or ""), dtype=np.int32), ids) for t, ids in zip(texts, whole, strict=True)]
+        if len(self.known) > self.limit or len(self.known) != len(self.stores[0][1]) - 1:  # full, or left by an error
             self.forget()
         split = [PIECE_WORD.findall(self.normalized(t or "")) for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
-        for k, (flat, starts) in enumerate(self.stores):
-            for ids in self.encode_words(new, k == 1) if new else ():
-                flat.extend(ids)
-                starts.append(len(flat))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        flat, starts = self.stores[best]
+        before = len(self.known)
         rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        ids, ends = _gathered(np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32), np.frombuffer(starts, np.int64), rows)
-        return np.split(ids, np.r_[0, ends][np.cumsum([len(w) for w in split])[:-1]]) if split else []
+        new = list(islice(self.known, before, None))
+        if new:
+            for (flat, starts), (ids, sizes) in zip(self.stores, self.encode_words(new, (False, True)[: len(self.stores)]), strict=True):
+                flat.frombytes(ids.tobytes())
+                starts.frombytes((starts[-1] + np.cumsum(sizes)).tobytes())
+        cuts, made = np.cumsum([len(w) for w in split])[:-1], []
+        for flat, starts in self.stores:
+            ids, ends = _gathered(np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32), np.frombuffer(starts, np.int64), rows)
+            made.append(np.split(ids, np.r_[0, ends][cuts]) if split else [])
+        return list(zip(made[0], made[-1], strict=True))
+
+    def encode(self, texts: list[str | None], best: bool = False) -> list[np.ndarray]:
+        """Ids of whole texts: the library's, or with ``best`` those of the best sum of scores."""
+        return [pair[best] for pair in self.both(texts)]
 
     def decode(self, ids) -> str:
         """The text of ids: control pieces vanish, byte pieces join to characters, the dummy prefix goes."""
@@ -358,7 +453,7 @@ def encoded_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
         for texts in batches:
             out = []
             for some in by_size(list(texts)):
-                for t, ids, best in zip(some, own.encode(some), own.encode(some, True), strict=True):
+                for t, (ids, best) in zip(some, own.both(some), strict=True):
                     out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(best), zlib.crc32(best.astype("<u4").tobytes()), own.decode(ids) == t == own.decode(best)))
             yield pd.DataFrame(out, columns=["n", "crc", "n_best", "best_crc", "same"])
 

@@ -634,6 +634,48 @@ def test_viterbi_equals_the_library_and_all_segmentations(tmp_path):
         assert abs(sum(score[model.texts[i]] for i in model.encode([word])[0]) - best("▁" + word)) < 1e-3
 
 
+def slow_best(text, score, low, longest):
+    """The best sum of scores over all segmentations; ``low`` for a character that is no piece."""
+    at = [0.0]
+    for end in range(1, len(text) + 1):
+        at.append(max(at[k] + score.get(text[k:end], low if end - k == 1 else -math.inf) for k in range(max(0, end - longest), end)))
+    return at[-1]
+
+
+def test_words_of_any_length_have_the_best_sum(tmp_path, monkeypatch):
+    """Exact sums on both sides of ``LONGEST``, also next to characters without a piece; the way of long words gives what the tables give."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.PieceModel(path)
+    score = {t: float(s) for t, s, k in zip(model.texts, model.scores, model.kinds) if k == pieces.NORMAL}
+    low = model.low
+    run = "".join(r["text"] for r in pd.read_parquet(f"{SMALL}/documents.parquet").head(40).to_dict("records")).replace(" ", "")
+    words = [run[k * 2000 : k * 2000 + n] for k, n in enumerate([5, 60, 190, 191, 192, 193, 400, 1500])] + [".\nEationth", "end.\nHationnt", "日ation" * 70]
+    got = model.both(words)
+    for word, (library, best) in zip(words, got):
+        assert library.tolist() == model.library.encode(word) and model.decode(best) == word
+        bytes_of = [c for c in "▁" + word if c not in score]
+        assert sum(score[model.texts[i]] for i in best.tolist() if model.kinds[i] == pieces.NORMAL) + low * len(bytes_of) == slow_best("▁" + word, score, low, model.longest)
+    for longest in (2, 10**6):
+        monkeypatch.setattr(pieces, "LONGEST", longest)
+        again = pieces.PieceModel(path).both(words)
+        assert [(a.tolist(), b.tolist()) for a, b in again] == [(a.tolist(), b.tolist()) for a, b in got]
+    rng = np.random.default_rng(4)
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -3.1, 1)] + [(c, -4 - rng.random(), 1) for c in "abc"]
+    listed += [(t, -2 - 4 * rng.random(), 1) for t in ("ab", "bca", "▁ca", "abcab", "cc")]
+    for more in ([], [("a▁b", -1.5, 1)]):  # with a mark inside a piece, texts are taken whole
+        file, results = unigram_file(tmp_path / f"{len(more)}.model", listed + more), []
+        own = pieces.PieceModel(file)
+        assert own.by_word == (not more)
+        texts = ["".join(rng.choice(list("abcabcx "), 700)).strip() for _ in range(4)] + ["".join(rng.choice(list("abc"), 500))]
+        for longest in (2, 192, 10**6):
+            monkeypatch.setattr(pieces, "LONGEST", longest)
+            results.append([ids.tolist() for ids in pieces.PieceModel(file).encode(texts, True)])
+        assert results[0] == results[1] == results[2]
+        known = {t: float(np.float32(s)) for t, s, kind in listed + more if kind == 1}
+        text = "▁" + texts[-1]
+        assert abs(sum(known[own.texts[i]] for i in results[0][-1]) - slow_best(text, known, own.low, own.longest)) < 1e-2
+
+
 # 8
 
 

@@ -18,6 +18,9 @@ WHITE_SPACE_NORMALIZER = [
     {"type": "Lowercase"},
 ]
 PRE_TOKEN_REGEX = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_LETTERS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: The same pre-tokens in Latin-1 without white space.
+LATIN_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼-¾]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+")
 
 #: Latin-1 characters that Python and the library may not take alike as white space or text.
 UNSAFE = bytes([*range(9), *range(14, 32), *range(127, 161)])
@@ -32,20 +35,40 @@ def latin(text: str) -> bool:
     return len(data.translate(None, UNSAFE)) == len(data)
 
 
+class _Parts(dict):
+    """Pre-token -> its ids as bytes, four each, for those that stand beside others in words; forgotten beyond a limit."""
+
+    def __init__(self, owner: WholeText, limit: int):
+        super().__init__()
+        self.owner, self.limit = owner, limit
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        self[part] = out = array("I", self.owner.piece_ids(part)).tobytes()
+        return out
+
+
 class _Words(dict):
     """Word -> its ids as bytes, four each; a missing word is encoded once and kept."""
 
     def __init__(self, owner: WholeText, limit: int):
         super().__init__()
-        self.owner, self.limit = owner, limit
+        self.owner, self.limit, self.parts = owner, limit, _Parts(owner, limit)
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I")
-        for part in self.owner.pre_tokens(word):
-            ids.extend(self.owner.piece_ids(part))
-        self[word] = out = ids.tobytes()
+        parts = self.owner.pre_tokens(word)
+        if len(parts) == 1:
+            out = array("I", self.owner.piece_ids(parts[0])).tobytes()
+        else:
+            out = b"".join(map(self.parts.__getitem__, parts))
+        self[word] = out
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.parts.clear()
+
 
 class WholeText:
     """A tokenizer file (``.json`` for tokenizers, ``.model`` for sentencepiece), called as the library is by default, without added special tokens.
@@ -79,7 +102,9 @@ class WholeText:
         added = made.get("added_tokens") or []
         plain = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
         self.by_word = plain and (made.get("normalizer") or {}).get("normalizers") == WHITE_SPACE_NORMALIZER and (steps[0].get("pattern") or {}).get("Regex") == PRE_TOKEN_REGEX
+        self.latin = self.by_word and steps == [{"type": "Split", "pattern": {"Regex": PRE_TOKEN_REGEX}, "behavior": "Removed", "invert": True}, BYTE_LETTERS]
         self.tokenizer, self.words = tokenizer, _Words(self, limit)
+        self.letters = {c: "".join(part for part, _ in tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))) for c in range(161, 256)} if self.latin else {}
         self.special = {t["content"]: t["id"] for t in added}
         self.apart = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if added else None
 
@@ -99,6 +124,12 @@ class WholeText:
 
     def pre_tokens(self, word: str) -> list[str]:
         """What the model sees of a word: its pre-tokens, in the letters that stand for bytes."""
+        if self.latin and word[:1] != " ":
+            if word.isascii() and word.isalpha():
+                return [word]
+            if latin(word):
+                parts = LATIN_PRE_TOKEN.findall(word)
+                return parts if word.isascii() else [part.translate(self.letters) for part in parts]
         return [word] if word[:1] == " " else [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
 
     def piece_ids(self, pre_token: str) -> list[int]:

@@ -879,6 +879,21 @@ def test_token_counts_equal_the_library(spark, odd, docs):
 SCRIPTS = ["it’s “quoted” — naïve… 3.5€", "<|startoftext|><|endoftext|>x <|EndOfText|>", "é z", "Ω ß ẞ ΑΣ σ", "مرحبا بالعالم", "नमस्ते दुनिया", "\ufeffbom \u2003wide", "🇩🇪👨‍👩‍👧 x", "日本語のテキスト", "don't DON'T l'été 12½"]
 
 
+def test_latin_words_split_as_the_tokenizer_file_says(monkeypatch):
+    whole = WholeText(default_path())
+    rng = np.random.default_rng(12)
+    letters = [chr(c) for c in [*range(33, 127), *range(161, 256)]]
+    words = letters + [x + y for x in "a1.'é" for y in letters] + [y + x for x in "a1.'é" for y in letters]
+    words += ["".join(rng.choice(letters + list("'stredvml") * 6, int(rng.integers(2, 14)))) for _ in range(20_000)]
+    words += ["it's", "don't''s", "we're've'll'd'm", "a\x01b", "\x7f", "a\x85", "日本x", "é́"]
+    want = [[part for part, _ in whole.tokenizer.pre_tokenizer.pre_tokenize_str(w)] for w in words]
+    assert [whole.pre_tokens(w) for w in words] == want
+    for text in (" ".join(words[k : k + 50]) for k in range(0, len(words), 50)):
+        assert whole.ids(text).tolist() == whole.whole(text)
+    monkeypatch.setattr(whole, "tokenizer", None)
+    assert [whole.pre_tokens(w) for w in words[:5000]] == want[:5000]  # without a call to the library for each
+
+
 def test_frequencies_and_pieces_per_pre_token_add_up_in_any_script():
     whole = WholeText(default_path())
     texts = [*SCRIPTS, "the the the cat, the", "", "word " * 700, *SCRIPTS]

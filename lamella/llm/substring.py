@@ -10,13 +10,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import claim, delete_path, fresh, give_back, written
+from lamella.llm.shared import delete_path, fresh, give_back, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Pairs with one source that are joined with one copy of its text.
 GROUP = 400
 SPANS = "array<struct<start:int,end:int,source_start:int,source_end:int,similarity:double>>"
@@ -40,19 +40,6 @@ class Settings:
         return self.passage - self.words + 1
 
 
-class _WordHashes(dict):
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh64_intdigest(word, 3)
-        return out
-
-
-_WORDS = _WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (xor-shifts and odd multipliers)."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -60,12 +47,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: A 64-bit value of each byte, the same for both cases of A-Z; none for what separates words.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]
+_BYTES[[*range(9, 14), 32]] = 0
+_BASE = 0xC4CEB9FE1A85EC53
+#: Bytes of a text that are hashed at a time, if no word is longer.
+SLICE = 1 << 17
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n - 1 and maybe more, modulo 2^64."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(max(n, SLICE), base, np.uint64)
+        out[0] = 1
+        out = np.cumprod(out)
+        if n > SLICE:
+            return out
+        _POWERS[base] = out
+    return _POWERS[base]
+
+
 def word_hashes(text: bytes | None) -> np.ndarray:
-    """A 64-bit hash of each word of a text, A-Z lower-cased."""
-    if len(claim(_WORDS)) > _WORDS.limit:
-        _WORDS.clear()
-    split = (text or b"").lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, split), dtype=np.uint64, count=len(split))
+    """A 64-bit hash of each word of a text, whatever the case of A-Z: its bytes' values by powers of a base, for all words by one running sum."""
+    text, at, out = text or b"", 0, []
+    while at < len(text):
+        end = len(text)
+        if end - at > SLICE:  # up to the end of a word
+            cut = SPACE.search(text, at + SLICE)
+            end = cut.start() if cut else end
+        values = _BYTES[np.frombuffer(text, np.uint8, end - at, at)]
+        inside = np.zeros(len(values) + 2, np.int8)
+        inside[1:-1] = values != 0
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _powers(_BASE, len(values))[: len(values)], out=sums[1:])
+        starts, ends = edges[::2], edges[1::2]
+        out.append(mixed((sums[ends] - sums[starts]) * _powers(pow(_BASE, -1, 1 << 64), len(values))[starts]))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint64), *out])
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -215,15 +236,19 @@ def _grams(crowded: DataFrame, s: Settings) -> DataFrame:
     def keys(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
         run = np.zeros(len(starts), np.uint64)
         for k in offsets:
-            run = mixed(run * odd + own[starts + k])
+            run = run * odd + own[starts + k]
         least = []
         for salt in salts:
             values = mixed(own ^ salt)
             with_place, mask = placed(values)
             least.append(values[(running_least(with_place, s.window)[starts] & mask).astype(np.int64)])
-        both = [mixed(mixed(least[i] * odd + least[j]) + np.uint64(i * s.hashes + j)) for i, j in twos]
         # neighbouring starts mostly share their minima; what else repeats meets in the aggregation
-        return np.concatenate([k[np.r_[True, k[1:] != k[:-1]]] for k in (run, *both)])
+        turns = [x[1:] != x[:-1] for x in (run, *least)]
+        out = [mixed(run[np.r_[True, turns[0]]])]
+        for i, j in twos:
+            new = np.r_[True, turns[i + 1] | turns[j + 1]]
+            out.append(mixed(mixed(least[i][new] * odd + least[j][new]) + np.uint64(i * s.hashes + j)))
+        return np.concatenate(out)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,11 +292,13 @@ def matching_passages(x: np.ndarray, y: np.ndarray, s: Settings, order: np.ndarr
     to = order[ranks]
     hit = y[to] == x
     ordered = y[order]
-    if (ordered[1:] == ordered[:-1]).any():  # of equal shingles, the one that goes on where the place before points
-        follow = to.tolist()
-        for i in range(1, len(x)):
+    several = hit & (ordered[np.minimum(ranks + 1, len(y) - 1)] == x) & (ranks + 1 < len(y))
+    choices = np.flatnonzero(several[1:] & hit[:-1]) + 1
+    if len(choices):  # of equal shingles, the one that goes on where the place before points
+        follow, wanted, there = to.tolist(), x.tolist(), y.tolist()
+        for i in choices.tolist():
             on = follow[i - 1] + 1
-            if hit[i] and hit[i - 1] and on < len(y) and y[on] == x[i]:
+            if on < len(y) and there[on] == wanted[i]:
                 follow[i] = on
         to = np.array(follow)
     turn = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | hit[1:] & (to[1:] != to[:-1] + 1), True])

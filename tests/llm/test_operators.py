@@ -740,6 +740,45 @@ def test_compact_windows_equal_the_definition():
         assert sorted(zip(*(x.tolist() for x in substring.compact_windows(values, 46)))) == want
 
 
+def test_words_are_hashed_where_they_stand(monkeypatch):
+    """Equal words have equal hashes whatever stands around them, in texts hashed at once and in slices."""
+    rng = np.random.default_rng(21)
+    texts = ["", " ", "one", " a  b\tA\x0bB\x0cb\r\n", "İ ı ÀÉ àé 日本 \x1c\x85 x", "ab ba aab aba baa a aa aaa", "x" * 3000 + " y " + "z" * 70]
+    texts += ["".join(rng.choice(list("abAB \t\né"), int(rng.integers(1, 400)))) for _ in range(300)]
+    texts += [r["text"] for r in pd.read_parquet(f"{SMALL}/documents.parquet").to_dict("records")]
+    want = [substring.word_hashes(t.encode()).tolist() for t in texts]
+    hashes = {}
+    for text, got in zip(texts, want):
+        words = text.encode().lower().split()
+        assert len(got) == len(words) and all(hashes.setdefault(w, h) == h for w, h in zip(words, got))
+    assert len(set(hashes.values())) == len(hashes) and substring.word_hashes(None).tolist() == []
+    for size in (1, 7, 64):
+        monkeypatch.setattr(substring, "SLICE", size)
+        monkeypatch.setattr(substring, "_POWERS", {})
+        assert [substring.word_hashes(t.encode()).tolist() for t in texts] == want
+
+
+def test_repeated_shingles_follow_the_place_before():
+    """Spans in texts whose lines repeat, against the same rule applied at every place."""
+
+    def places(x, y):
+        first = {v: k for k, v in reversed(list(enumerate(y)))}
+        out = []
+        for i, v in enumerate(x):
+            on = out[-1] + 1 if i and out[-1] is not None else None
+            out.append(on if v in first and on is not None and on < len(y) and y[on] == v else first.get(v))
+        return out
+
+    rng, s = np.random.default_rng(22), substring.Settings()
+    for _ in range(60):
+        lines = [rng.integers(1, 1000, int(rng.integers(1, 30))).astype(np.uint64) for _ in range(6)]
+        x, y = (np.concatenate([lines[k] for k in rng.integers(0, 6, 12)]) for _ in range(2))
+        to = places(x.tolist(), y.tolist())
+        for span in substring.matching_passages(x, y, s):
+            at = [k for k in to[span["start"] : span["end"] - s.words + 1] if k is not None]
+            assert span["source_start"] in at and span["source_end"] - s.words in at and span["similarity"] >= s.similarity
+
+
 def repeats_of(texts, words=50):
     """For each document, the words inside a run of ``words`` that a document of smaller id has too."""
     split = {d: (t or "").encode().lower().split() for d, t in texts.items()}

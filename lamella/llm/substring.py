@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.shared import delete_path, fresh, give_back, written
+from lamella.llm.shared import claim, delete_path, fresh, give_back, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -72,6 +72,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def word_hashes(text: bytes | None) -> np.ndarray:
     """A 64-bit hash of each word of a text, whatever the case of A-Z: its bytes' values by powers of a base, for all words by one running sum."""
     text, at, out = text or b"", 0, []
+    claim(_POWERS)
     while at < len(text):
         end = len(text)
         if end - at > SLICE:  # up to the end of a word

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lamella.llm import embed_dedup, media, packing, pieces, queries, similar, simhash, substring, token_counts, toxicity, urlfilter, warc
-from lamella.llm.shared import components
+from lamella.llm.shared import claim, components
 from lamella.llm.wordbpe import WholeText, default_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -752,6 +752,9 @@ def test_words_are_hashed_where_they_stand(monkeypatch):
         words = text.encode().lower().split()
         assert len(got) == len(words) and all(hashes.setdefault(w, h) == h for w, h in zip(words, got))
     assert len(set(hashes.values())) == len(hashes) and substring.word_hashes(None).tolist() == []
+    other = claim({"word": 1})  # what an operator that ran in the worker before has kept
+    substring.word_hashes(b"a b")
+    assert not other
     for size in (1, 7, 64):
         monkeypatch.setattr(substring, "SLICE", size)
         monkeypatch.setattr(substring, "_POWERS", {})

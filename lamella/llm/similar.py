@@ -129,14 +129,21 @@ def _by_key(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
             yield group.iloc[i:j]
 
 
-def _grouped(rows: DataFrame, most: int = 600):
-    """The rows, dealt so that those of one key meet in groups of at most about ``most``: keys with few rows by the thousand, a key with many by pairs of its blocks."""
-    sizes, _ = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most), "sizes")
-    placed = rows.join(sizes, "key", "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / (most // 2)), F.lit(1)).cast("int"))
+def _grouped(rows: DataFrame, most: int = 600, wide: str | None = None, most_bytes: int = 16 << 20):
+    """The rows, dealt so that those of one key meet in groups of at most about ``most``: keys with few rows by the thousand, a key with many by pairs of its blocks.
+
+    Where the column ``wide`` is given, which holds bytes, groups have at most about ``most_bytes`` of them too, or two rows.
+    """
+    held = F.coalesce(F.sum(F.length(wide)), F.lit(0)) if wide else F.lit(0)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), held.alias("_held"))
+    sizes, _ = written(sizes.filter((F.col("_n") > most) | ((F.col("_held") > most_bytes) & (F.col("_n") > 2))), "sizes")
+    blocks = F.greatest(F.ceil(F.col("_n") / (most // 2)), F.least("_n", F.ceil(F.col("_held") / (most_bytes // 2))))
+    placed = rows.join(sizes, "key", "left").withColumn("_blocks", F.coalesce(blocks, F.lit(1)).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    few = F.lit(max(1, rows.count() // 2000))
+    n, total = rows.agg(F.count(F.lit(1)), held).first()
+    few = F.lit(max(1, n // 2000, total // most_bytes))
     placed = placed.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other"), "lot": F.when(F.col("_n").isNull(), F.pmod(F.xxhash64("key"), few)).otherwise(F.col("key")), "own": F.col("_n").isNotNull()})
-    return placed.drop("_n", "_blocks", "_other").groupBy("own", "lot", "low", "high")
+    return placed.drop("_n", "_held", "_blocks", "_other").groupBy("own", "lot", "low", "high")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, sketches: Sketches = Sketches()) -> DataFrame:
@@ -175,16 +182,22 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     delete_path(spark, held_path)
 
     @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(t, words)).tobytes() for t in texts])
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingles(t, words)).tobytes() for t in texts])
+        give_back()
 
     @F.pandas_udf("boolean")
-    def alike(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(xs, ys, strict=True)], dtype=bool)
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, ys in batches:
+            yield pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(xs, ys, strict=True)], dtype=bool)
+        give_back()
 
     @F.pandas_udf("binary")
-    def unlike(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes() for x, y in zip(xs, ys, strict=True)])
+    def unlike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, ys in batches:
+            yield pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes() for x, y in zip(xs, ys, strict=True)])
+        give_back()
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         """Pairs ``a, b`` with both sets; pairs grow with the corpus, so they are never broadcast."""
@@ -222,6 +235,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
             for i in range(0, len(m), 32):
                 ok[i : i + 32] &= (m[i : i + 32, None, :] == m[None, :, :]).sum(axis=2) >= least
             out.append(part.loc[ok.any(axis=1), ["key", "doc_id", "size", "root", "_id"]])
+        give_back()
         return pd.concat(out) if out else group.iloc[:0][["key", "doc_id", "size", "root", "_id"]]
 
     maybe = _grouped(sketches_of).applyInPandas(likely, "key bigint, doc_id bigint, size int, root bigint, _id bigint")
@@ -252,9 +266,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
                 if x != y:
                     up[max(x, y)] = min(x, y)
                     out.add((a, b))
+        give_back()
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    last, _ = written(components(_grouped(differing).applyInPandas(linked, "a bigint, b bigint")), "components")
+    last, _ = written(components(_grouped(differing, wide="diff").applyInPandas(linked, "a bigint, b bigint")), "components")
     out = _rooted(prints.select("doc_id").distinct(), first, "doc_id")
     for merge in (found, last):
         out = _rooted(out, merge, "root")

@@ -559,6 +559,25 @@ def test_what_the_base_does_not_link_is_linked_all_the_same(spark):
     assert got == want and 3 <= len(set(want.values())) < len(rows)
 
 
+def test_groups_of_wide_rows_are_bounded_by_bytes(spark):
+    """Few rows, each of a long text: a key's are dealt over blocks, every two of them meet once, and many keys' go to more lots."""
+    one = [(7, i, bytes(10_000)) for i in range(60)]
+    many = [(100 + i // 2, 1000 + i, bytes(10_000)) for i in range(200)]
+    rows = spark.createDataFrame(one + many, "key long, doc_id long, diff binary")
+
+    def seen(group):
+        return pd.DataFrame({"held": [sum(map(len, group["diff"]))], "rows": [[f"{k},{d},{b}" for k, d, b in zip(group["key"], group["doc_id"], group["block"], strict=True)]], "apart": [bool(group["low"].iloc[0] != group["high"].iloc[0])]})
+
+    got = similar._grouped(rows, wide="diff", most_bytes=200_000).applyInPandas(seen, "held long, rows array<string>, apart boolean").collect()
+    assert max(r["held"] for r in got) <= 400_000
+    met = defaultdict(int)
+    for r in got:
+        for (ka, a, x), (kb, b, y) in combinations([tuple(map(int, t.split(","))) for t in r["rows"]], 2):
+            if ka == kb and (not r["apart"] or x != y):
+                met[min(a, b), max(a, b)] += 1
+    assert met == {p: 1 for p in [*combinations(range(60), 2), *((i, i + 1) for i in range(1000, 1200, 2))]}
+
+
 # 7
 
 
